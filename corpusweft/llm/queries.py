@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, quality_rules
+from . import bpe, chat, decontaminate, language_id, quality_model, quality_rules
 
 #: Where the vocabulary lies on every node; never a part of the repository.
 VOCABULARY = os.environ.get("BPE_VOCABULARY", "")
@@ -41,8 +41,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_decontaminate, op2_chat, op3_bpe, op4_quality_rules)}
+    return {q.__name__: q for q in (op1_decontaminate, op2_chat, op3_bpe, op4_quality_rules, op6_quality_model, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
