@@ -34,8 +34,9 @@ SPREADS = 3.0
 #: Measures: (least spread, whether low values are beyond a fence too).
 MEASURES = {
     "symbol_ratio": (0.01, False),
-    "repeat_ratio": (0.05, False),
-    "dup_line_ratio": (0.10, False),
+    "repeat_ratio": (0.10, False),
+    "stutter_ratio": (0.05, False),
+    "dup_line_ratio": (0.20, False),
     "capital_ratio": (0.05, False),
     "shout_ratio": (0.02, False),
     "word_length": (1.0, True),
@@ -47,7 +48,7 @@ WHITE = b" \t\n\r\x0b\x0c"
 CAPITALS = bytes(range(0x41, 0x5B))
 SHOUTS = b"!?"
 _NOT_FIRST = WHITE + bytes(range(0x80, 0xC0))
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_shouts")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stutters", "n_capitals", "n_shouts")
 
 
 def dup_lines(text: bytes) -> int:
@@ -61,16 +62,17 @@ def dup_lines(text: bytes) -> int:
     return found
 
 
-def repeat_words(words: list[list[bytes]]) -> np.ndarray:
-    """For each text, how many words lie in windows of WINDOW words that the text has twice or more."""
+def repeat_words(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each text, how many words lie in windows of WINDOW words that it has twice or more, and how many equal the one before."""
     sizes = lengths(words)
     at = ends_of(sizes)
     numbers = Numbers()
     ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int64, at[-1])
+    owner = np.repeat(np.arange(len(words)), sizes)
+    stutters = np.bincount(owner[1:][(ids[1:] == ids[:-1]) & (owner[1:] == owner[:-1])], minlength=len(words))
     if at[-1] < WINDOW:
-        return np.zeros(len(words), np.int64)
+        return np.zeros(len(words), np.int64), stutters
     scrambled = mix64(ids + 1)
-    owner = np.repeat(np.arange(len(words)), sizes)
     n = at[-1] - WINDOW + 1
     keys = mix64(owner[:n] + (1 << 40))
     for j in range(WINDOW):
@@ -92,11 +94,12 @@ def repeat_words(words: list[list[bytes]]) -> np.ndarray:
         np.add.at(marks, found, 1)
         np.add.at(marks, found + WINDOW, -1)
     covered = ends_of(np.cumsum(marks[:-1]) > 0)
-    return covered[at[1:]] - covered[at[:-1]]
+    return covered[at[1:]] - covered[at[:-1]], stutters
 
 
 def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     words = [t.split() for t in texts]
+    repeats, stutters = repeat_words(words)
     count = lambda t, drop: len(t) - len(t.translate(None, drop))
     per_text = lambda f: np.fromiter(map(f, texts), np.int64, len(texts))
     return {
@@ -104,7 +107,8 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
         "word_chars": per_text(lambda t: len(t.translate(None, _NOT_FIRST))),
         "n_symbols": per_text(lambda t: count(t, SYMBOLS)),
         "n_dup_lines": per_text(dup_lines),
-        "n_repeat_words": repeat_words(words),
+        "n_repeat_words": repeats,
+        "n_stutters": stutters,
         "n_capitals": per_text(lambda t: count(t, CAPITALS)),
         "n_shouts": per_text(lambda t: count(t, SHOUTS)),
         "n_lines": per_text(lambda t: t.count(b"\n") + 1),
@@ -132,6 +136,7 @@ def with_ratios(counts: DataFrame) -> DataFrame:
         {
             "symbol_ratio": share("n_symbols", "word_chars"),
             "repeat_ratio": share("n_repeat_words", "n_words"),
+            "stutter_ratio": share("n_stutters", "n_words"),
             "dup_line_ratio": share("n_dup_lines", "n_lines"),
             "capital_ratio": share("n_capitals", "word_chars"),
             "shout_ratio": share("n_shouts", "word_chars"),
