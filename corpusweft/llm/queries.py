@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, language_id, near_dedup, quality_model, quality_rules
+from . import bpe, chat, decontaminate, language_id, lm_score, near_dedup, quality_model, quality_rules
 
 #: Where the vocabulary lies on every node; never a part of the repository.
 VOCABULARY = os.environ.get("BPE_VOCABULARY", "")
@@ -45,6 +45,10 @@ def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.corpus_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_decontaminate, op2_chat, op3_bpe, op4_quality_rules, op6_quality_model, op8_language_id, op9_near_dedup)}
+    return {q.__name__: q for q in (op1_decontaminate, op2_chat, op3_bpe, op4_quality_rules, op6_quality_model, op7_lm_score, op8_language_id, op9_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
