@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, language_id, lm_score, near_dedup, quality_model, quality_rules
+from . import bpe, chat, decontaminate, language_id, lm_score, near_dedup, quality_model, quality_rules, suffix_dedup
 
 #: Where the vocabulary lies on every node; never a part of the repository.
 VOCABULARY = os.environ.get("BPE_VOCABULARY", "")
@@ -57,8 +57,12 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_decontaminate, op2_chat, op3_bpe, op4_quality_rules, op6_quality_model, op7_lm_score, op8_language_id, op9_near_dedup)}
+    return {q.__name__: q for q in (op1_decontaminate, op2_chat, op3_bpe, op4_quality_rules, op6_quality_model, op7_lm_score, op8_language_id, op9_near_dedup, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
