@@ -2,14 +2,78 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusweft.llm import bpe, decontaminate, language_id, near_dedup, suffix_dedup
+from corpusweft.llm._batches import shared_folder
+from corpusweft.llm.queries import vocabulary_path
+
+#: Documents whose most likely language scores less are rejected, as are those without a letter.
+LEAST_LANGUAGE_SCORE = 0.3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a recognised language; learned from those whose remainder modulo 3 is not 1."""
+    model = language_id.fit(docs, language_id.remainder(3) != 1)
+    found = language_id.predict(docs, model, tuple(docs.columns), names=("_lang_pred", "_lang_score"))
+    return found.filter((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one of the smallest id; one row for each id."""
+    kept = near_dedup.near_duplicates(docs).filter("kept").select("doc_id")
+    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return chosen.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their repeated strings of 400 bytes; documents of which nothing is left go."""
+    others = tuple(c for c in docs.columns if c != "text")
+    cut = suffix_dedup.remove_repeats(docs, others, names=("_kept", "_bytes", "_removed", "_spans"))
+    text = F.when(F.col("_removed") > 0, F.try_validate_utf8(F.col("_kept").cast("string"))).otherwise(F.col("_kept").cast("string"))
+    whole = F.coalesce(text, F.regexp_replace(F.make_valid_utf8(F.col("_kept").cast("string")), "�", ""))  # a cut may split a character
+    out = cut.filter((F.col("_removed") == 0) | (F.col("_removed") < F.col("_bytes"))).withColumn("text", whole)
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("_removed") > 0, length).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of the benchmark occurs."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    marked = decontaminate.mark(docs, items, tuple(docs.columns), names=("_words", "_spans", "_items"))
+    return marked.filter(F.size("_spans") == 0).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, number of tokens, packed token ids, and digests of ids and of the bytes decoded from them."""
+    path = vocabulary_path()
+    decoded = bpe.decode(bpe.encode(docs, path), path, keep=("token_ids",))
+    return decoded.select("doc_id", (F.length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("suffix_dedup", cut_repeats),
+    ("decontaminate", decontaminate_benchmark),
+    ("bpe", tokenize),
+]
 
-STAGES: list = []
+#: SQL can express neither the language model nor the tokeniser; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``, each written to the shared folder and read again as the next one's input."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for number, (name, stage) in enumerate(STAGES):
+        out = f"{folder}/{number}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
     return docs

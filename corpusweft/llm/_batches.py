@@ -18,21 +18,23 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through files that survive lost executors.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary one is made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through files in the shared folder, which survive lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def texts_as_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
-    """The UTF-8 bytes of each text; null counts as empty."""
-    return [b"" if t is None else t for t in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
+def texts_as_bytes(batch: pa.RecordBatch, column: str | int = "text") -> list[bytes]:
+    """The UTF-8 bytes of each text of a column, by name or place; null counts as empty."""
+    return [b"" if t is None else t for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
 def lengths(items: list) -> np.ndarray:

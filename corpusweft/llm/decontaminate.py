@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ._batches import bounded_batches, ends_of, lengths, ragged, texts_as_bytes
 
@@ -207,32 +208,32 @@ def item_blocks(items: DataFrame) -> list[list[tuple]]:
     return [b for b in blocks if b] or [[]]
 
 
-def mark(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in ``keep``, ``n_words``, ``hit_spans`` (merged word spans) and ``item_ids`` (of items with occurring windows)."""
+def mark(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("n_words", "hit_spans", "item_ids")) -> DataFrame:
+    """The columns in ``keep``, and under ``names`` the number of words, the merged spans of hit words, and the ids of items with occurring windows."""
     spark = docs.sparkSession
     bounded_batches(spark)
     kind = items.schema["item_id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    spans_type = pa.list_(pa.list_(pa.int64()))
-    ids_type = pa.list_(to_arrow_type(kind))
-    base = docs.select(F.col("text").alias("_text"), *keep).withColumns({"_n": F.lit(0).cast("long"), "_spans": F.lit(None).cast("array<array<bigint>>"), "_items": F.lit(None).cast(f"array<{kind.simpleString()}>")})
-    names = ["_text", *keep, "_n", "_spans", "_items"]
-    schema = base.schema
+    spans_type, ids_type = pa.list_(pa.list_(pa.int64())), pa.list_(to_arrow_type(kind))
+    carried = [*keep, *([] if "text" in keep else ["_text"])]
+    text = carried.index("text" if "text" in keep else "_text")
+    base = docs.select(*keep, *([] if "text" in keep else [F.col("text").alias("_text")])).select(
+        *carried, F.lit(0).cast("long").alias(names[0]), F.lit(None).cast("array<array<bigint>>").alias(names[1]), F.lit(None).cast(f"array<{kind.simpleString()}>").alias(names[2])
+    )
+    n, schema = len(carried), base.schema
     for block in item_blocks(items):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             patterns = Patterns(sent.value)
             for batch in batches:
-                n_words, spans, found = found_in(texts_as_bytes(batch, "_text"), patterns)
-                before, known = batch.column(len(keep) + 2).to_pylist(), batch.column(len(keep) + 3).to_pylist()
+                n_words, spans, found = found_in(texts_as_bytes(batch, text), patterns)
+                before, known = batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist()
                 spans = [united([*(a or []), *b]) for a, b in zip(before, spans)]
                 ids = [sorted({*(a or []), *b}) for a, b in zip(known, found)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep) + 1)), pa.array(n_words, pa.int64()), pa.array(spans, spans_type), pa.array(ids, ids_type)], names=names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(n_words, pa.int64()), pa.array(spans, spans_type), pa.array(ids, ids_type)], names=[*carried, *names])
 
         base = base.mapInArrow(run, schema)
-    return base.select(*keep, F.col("_n").alias("n_words"), F.col("_spans").alias("hit_spans"), F.col("_items").alias("item_ids"))
+    return base.select(*keep, *names)
 
 
 def n_hit(spans: Column) -> Column:

@@ -199,25 +199,26 @@ def fit(docs: DataFrame, learnable: Column) -> Model | None:
     return Model(languages, np.ascontiguousarray((w[:-1] * idf[:, None] * SCALE / t).T.astype(np.float32)), w[-1] / t)
 
 
-def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in ``keep``, ``lang_pred`` and ``lang_score``."""
+def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """The columns in ``keep``, and the language and its score under ``names``."""
     spark = docs.sparkSession
     bounded_batches(spark)
     if model is None:
-        return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("lang_score"))
+        return docs.select(*keep, F.lit("und").alias(names[0]), F.lit(0.0).alias(names[1]))
     sent = spark.sparkContext.broadcast(model)  # FEATURES x languages numbers
-    schema = docs.select(*keep).withColumns({"lang_pred": F.lit(""), "lang_score": F.lit(0.0)}).schema
+    schema = docs.select(*keep).withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0)}).schema
+    text = keep.index("text") if "text" in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chance, has = sent.value.scores(texts_as_bytes(batch, "_text"))
+            chance, has = sent.value.scores(texts_as_bytes(batch, text))
             best = chance.argmax(1)
-            names = np.array(sent.value.languages, object)[best]
-            names[~has] = "und"
+            found = np.array(sent.value.languages, object)[best]
+            found[~has] = "und"
             score = np.where(has, chance[np.arange(len(best)), best], 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(names.tolist(), pa.string()), pa.array(score)], names=[*keep, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(found.tolist(), pa.string()), pa.array(score)], names=[*keep, *names])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if "text" in keep else [F.col("text").alias("_text")])).mapInArrow(run, schema)
 
 
 def remainder(modulus: int) -> Column:

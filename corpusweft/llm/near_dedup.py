@@ -3,10 +3,11 @@
 A document's set of word shingles gives ``REGISTERS`` registers: the truncated logarithm, to a base close to 1, of the least
 of exponentially distributed hashes. Registers of a union are the larger ones, and equal registers are as likely as the sets
 are similar. Documents with equal sets become one class. Bands of registers put classes into buckets; in each bucket every
-member is paired with one pivot, another one in each band, so that pairs stay in proportion to members. A pair goes on when
-the likelihood of its registers, given both set sizes, allows the similarity; the full sets then decide. Where a bucket
-still holds several components, its pairs across components are estimated in blocks and the rest is verified too, best
-estimates first, until none is left. So no link is given up for a bucket's size.
+member is paired with one pivot, mostly the same in all bands, so that pairs stay in proportion to members. A pair goes on
+when the likelihood of its registers, given both set sizes, allows the similarity; the full sets then decide. Members that
+are still in another component than their pivot meet a second pivot, another one in each band. Where a bucket even then holds
+several components, its pairs across components are estimated in blocks, and what the estimates allow is verified, some of
+each two components at a time, until none is left. So no link is given up for a bucket's size.
 
 Contract
 --------
@@ -24,7 +25,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._batches import Numbers, bounded_batches, checkpointed, ends_of, lengths, mix64, texts_as_bytes
@@ -190,10 +191,15 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def bucketed(classes: DataFrame) -> DataFrame:
-    """(bucket, doc_id, pivot, n) of buckets with n >= 2 classes; pivots differ from band to band."""
+    """(bucket, doc_id, pivot, second, n) of buckets with n >= 2 classes."""
     exploded = classes.select("doc_id", F.explode("bands").alias("bucket"))
-    pivots = exploded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc_id", "bucket").alias("h"), F.col("doc_id").alias("pivot"))).alias("p")).filter("n >= 2")
-    return exploded.join(pivots.select("bucket", "n", "p.pivot"), "bucket")
+    least = lambda *of: F.min(F.struct(F.xxhash64(*of).alias("h"), F.col("doc_id").alias("of")))
+    pivots = exploded.groupBy("bucket").agg(F.count("*").alias("n"), least("doc_id").alias("p"), least("doc_id", "bucket").alias("q")).filter("n >= 2")
+    return exploded.join(pivots.select("bucket", "n", F.col("p.of").alias("pivot"), F.col("q.of").alias("second")), "bucket")
+
+
+def ordered(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
 def across(buckets: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -227,17 +233,24 @@ def class_links(docs: DataFrame, classes: DataFrame, known: DataFrame) -> DataFr
     """(node, component) of the classes' representatives that are linked to others, by text or by the known links."""
     buckets = checkpointed(bucketed(classes))
     slim = classes.select("doc_id", "registers", "n_shingles")
-    pairs = buckets.filter(F.col("doc_id") != F.col("pivot")).select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
-    pairs = checkpointed(likely(pairs, slim))
     nodes = lambda p: p.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    label = lambda s: labels.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}"))
+    apart = lambda frame, x, y: frame.join(label(x), x, "left").join(label(y), y, "left").filter(F.coalesce(f"c_{x}", x) != F.coalesce(f"c_{y}", y))
+    pairs = checkpointed(likely(buckets.filter("doc_id <> pivot").select(*ordered("doc_id", "pivot")).distinct(), slim))
     links = checkpointed(verified(pairs, full_sets(docs, nodes(pairs))).union(known.select("a", "b")))
     labels = checkpointed(components(links))
+    lone = apart(buckets.filter("n >= 3").select("doc_id", "pivot", "second"), "doc_id", "pivot").select("doc_id", "second")
+    more = apart(lone.filter("doc_id <> second").distinct(), "doc_id", "second").select(*ordered("doc_id", "second")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = checkpointed(likely(more, slim))
+    if more.limit(1).count():
+        pairs = pairs.union(more)
+        links = links.union(checkpointed(verified(more, full_sets(docs, nodes(more)))))
+        labels = checkpointed(components(links))
     left = checkpointed(across(buckets, labels, slim).join(pairs, ["a", "b"], "left_anti"))
     allowed = PAIRS_FIRST
     while True:
-        side = lambda s: labels.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}"))
-        open_ones = left.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumns({"c_a": F.coalesce("c_a", "a"), "c_b": F.coalesce("c_b", "b")}).filter("c_a <> c_b")
-        between = Window.partitionBy(F.least("c_a", "c_b"), F.greatest("c_a", "c_b")).orderBy(F.xxhash64("a", "b"), "a", "b")
+        open_ones = apart(left, "a", "b").select("a", "b", F.coalesce("c_a", "a").alias("x"), F.coalesce("c_b", "b").alias("y"))
+        between = Window.partitionBy(F.least("x", "y"), F.greatest("x", "y")).orderBy(F.xxhash64("a", "b"), "a", "b")
         ranked = checkpointed(open_ones.withColumn("rank", F.row_number().over(between)).select("a", "b", "rank"))
         now = ranked.filter(F.col("rank") <= allowed).select("a", "b")
         if not now.limit(1).count():

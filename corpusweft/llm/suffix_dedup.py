@@ -286,15 +286,15 @@ def united(ranges: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in ``keep``, ``kept`` (the remaining bytes), ``n_bytes``, ``n_removed`` and ``n_spans``."""
+def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, ...] = ("kept", "n_bytes", "n_removed", "n_spans")) -> DataFrame:
+    """The columns in ``keep``, and under ``names`` the remaining bytes and the numbers of bytes, removed bytes and removed runs."""
     bounded_batches(docs.sparkSession)
-    schema = docs.select(*keep).withColumns({"kept": F.lit(b""), "n_bytes": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long")}).schema
+    schema = docs.select(*keep).withColumns({names[0]: F.lit(b""), **{n: F.lit(0).cast("long") for n in names[1:]}}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, removed, spans = [], [], []
-            texts = texts_as_bytes(batch, "_text")
+            texts = texts_as_bytes(batch, len(keep))
             for text, ranges in zip(texts, batch.column(len(keep) + 1).to_pylist()):
                 cuts = united(ranges)
                 at, parts = 0, []
@@ -304,7 +304,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Data
                 kept.append(b"".join([*parts, text[at:]]))
                 removed.append(sum(b - a for a, b in cuts))
                 spans.append(len(cuts))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(kept, pa.binary()), pa.array(lengths(texts)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names=[*keep, "kept", "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(kept, pa.binary()), pa.array(lengths(texts)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names=[*keep, *names])
 
     keyed = docs.select(*keep, F.col("text").alias("_text"), text_key(F.col("text")).alias("_key"))
     found = repeats(docs).withColumnsRenamed({"key": "_of", "ranges": "_ranges"})
