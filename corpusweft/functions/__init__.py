@@ -1 +1 @@
-"""Functions of the engine."""
+"""Column expressions: scoring, text and number helpers that stay inside generated code."""

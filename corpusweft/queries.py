@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import registry
+from .operators import aggregates, dedupe, joins, masking, predicates, projections, ranking  # noqa: F401  they register their queries
+from .streaming import replay  # noqa: F401
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
