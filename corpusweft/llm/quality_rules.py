@@ -199,3 +199,37 @@ def apply_rules(docs: DataFrame) -> DataFrame:
         if both:
             within = within & (F.col(m) >= F.col(f"min_{m}"))
     return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & within)
+
+
+def _sql() -> str:
+    step = repr(math.log((1 + ACCURACY) / (1 - ACCURACY)))
+    measures = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS measure, {m} AS value, {least!r}::DOUBLE AS least, {both} AS both_sides FROM ratios" for m, (least, both) in MEASURES.items())
+    quartiles = lambda keys: f"SELECT {keys}measure, max(total) AS n, min(bucket) FILTER (WHERE upto >= ceil(total * 0.25)) AS b1, min(bucket) FILTER (WHERE upto >= ceil(total * 0.75)) AS b3 FROM (SELECT {keys}measure, bucket, sum(n) OVER (PARTITION BY {keys}measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}measure) AS total FROM (SELECT {keys}measure, bucket, count(*) AS n FROM bucketed GROUP BY ALL)) GROUP BY ALL"
+    value = lambda b: f"CASE WHEN {b} = 0 THEN 0.0 ELSE exp(({b} - 1) * {step}) * {1e-6 * (1 - ACCURACY)!r} END"
+    pick = lambda b: f"CASE WHEN g.n >= {LEAST_DOCUMENTS} THEN g.{b} WHEN l.n >= {LEAST_DOCUMENTS} THEN l.{b} ELSE a.{b} END"
+    share = lambda a, b: f"CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0.0 END"
+    return rf"""
+WITH docs AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(l) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+windows AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + {WINDOW - 1}), ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM docs)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS j FROM twice) GROUP BY 1),
+counts AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::BIGINT AS n_stutters,
+  len(regexp_extract_all(t, '[A-Z]'))::BIGINT AS n_capitals, len(regexp_extract_all(t, '[!?]'))::BIGINT AS n_shouts, len(l)::BIGINT AS n_lines FROM docs d LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)),
+ratios AS (SELECT *, {share("n_symbols", "word_chars")} AS symbol_ratio, {share("n_repeat_words", "n_words")} AS repeat_ratio, {share("n_stutters", "n_words")} AS stutter_ratio, {share("n_dup_lines", "n_lines")} AS dup_line_ratio,
+  {share("n_capitals", "word_chars")} AS capital_ratio, {share("n_shouts", "word_chars")} AS shout_ratio, {share("word_chars", "n_words")} AS word_length FROM counts),
+measured AS ({measures}),
+bucketed AS (SELECT *, CASE WHEN value < 1e-6 THEN 0 ELSE (ceil(ln(value / 1e-6) / {step}) + 1)::INT END AS bucket FROM measured),
+g AS ({quartiles("lang, source, ")}), l AS ({quartiles("lang, ")}), a AS ({quartiles("")}),
+chosen AS (SELECT g.lang, g.source, g.measure, {pick("b1")} AS b1, {pick("b3")} AS b3 FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang AND g.measure = l.measure JOIN a ON g.measure = a.measure),
+spread AS (SELECT lang, source, measure, {value("b1")} AS q1, {value("b3")} AS q3 FROM chosen),
+verdicts AS (SELECT m.doc_id, bool_and(m.value <= q3 + {SPREADS} * greatest(q3 - q1, least) AND (NOT both_sides OR m.value >= q1 - {SPREADS} * greatest(q3 - q1, least))) AS within
+  FROM measured m JOIN spread s ON m.lang IS NOT DISTINCT FROM s.lang AND m.source IS NOT DISTINCT FROM s.source AND m.measure = s.measure GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND within AS kept FROM ratios JOIN verdicts USING (doc_id)
+"""
+
+
+#: The contract's columns in DuckDB's SQL.
+RULES_SQL = _sql()

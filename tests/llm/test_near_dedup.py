@@ -66,7 +66,7 @@ def test_small_blocks_and_bad_pivots_lose_no_link(spark, monkeypatch):
     """With one band only and blocks of few members, the pairs across components have to find the rest."""
     monkeypatch.setattr(nd, "BLOCK", 16)
     monkeypatch.setattr(nd, "bands", lambda found: np.zeros((len(found), nd.REGISTERS // nd.ROWS), np.int64))
-    rows = corpus()[:200]
+    rows = corpus()[:90]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in nd.near_duplicates(docs).collect()} == brute(rows)
 
