@@ -4,10 +4,10 @@ A document's set of word shingles gives ``REGISTERS`` registers: the truncated l
 of exponentially distributed hashes. Registers of a union are the larger ones, and equal registers are as likely as the sets
 are similar. Documents with equal sets become one class. Bands of registers put classes into buckets; in each bucket every
 member is paired with one pivot, mostly the same in all bands, so that pairs stay in proportion to members. A pair goes on
-when the likelihood of its registers, given both set sizes, allows the similarity; the full sets then decide. Members that
-are still in another component than their pivot meet a second pivot, another one in each band. Where a bucket even then holds
-several components, its pairs across components are estimated in blocks, and what the estimates allow is verified, some of
-each two components at a time, until none is left. So no link is given up for a bucket's size.
+when the likelihood of its registers, given both set sizes, allows the similarity; the full sets then decide. Where a bucket then
+still holds several components, its members are compared in blocks of bounded size, full sets against full sets, and each
+block reports a link for each two components that it unites. So no link is given up for a bucket's size, and no pairs of
+a bucket are ever listed.
 
 Contract
 --------
@@ -25,7 +25,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._batches import Numbers, bounded_batches, checkpointed, ends_of, lengths, mix64, texts_as_bytes
@@ -39,10 +39,8 @@ REGISTERS, ROWS = 160, 4
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
 #: Pairs whose most likely similarity is below this are given up: five standard deviations below the threshold.
 LEAST_ESTIMATE = PERCENT / 100 - 5 * (0.75 * 0.25 / REGISTERS) ** 0.5
-#: Members of a bucket that are compared with each other in one group.
-BLOCK = 256
-#: Pairs of two components that are verified in the first round; each round doubles it.
-PAIRS_FIRST = 8
+#: Bytes of shingles in a block of a bucket's members.
+BLOCK_BYTES = 4 << 20
 
 _RANDOM = np.random.default_rng(20_11)
 _FACTORS = _RANDOM.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -174,8 +172,9 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked, by their full sets."""
-    side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("shingles").alias(f"s_{s}"))
     kind = pairs.schema["a"].dataType.simpleString()
+    sets = checkpointed(sets)  # both joins read it
+    side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("shingles").alias(f"s_{s}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,75 +190,66 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def bucketed(classes: DataFrame) -> DataFrame:
-    """(bucket, doc_id, pivot, second, n) of buckets with n >= 2 classes."""
+    """(bucket, doc_id, pivot, n) of buckets with n >= 2 classes."""
     exploded = classes.select("doc_id", F.explode("bands").alias("bucket"))
-    least = lambda *of: F.min(F.struct(F.xxhash64(*of).alias("h"), F.col("doc_id").alias("of")))
-    pivots = exploded.groupBy("bucket").agg(F.count("*").alias("n"), least("doc_id").alias("p"), least("doc_id", "bucket").alias("q")).filter("n >= 2")
-    return exploded.join(pivots.select("bucket", "n", F.col("p.of").alias("pivot"), F.col("q.of").alias("second")), "bucket")
+    first = F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("pivot"))).alias("p")
+    pivots = exploded.groupBy("bucket").agg(F.count("*").alias("n"), first).filter("n >= 2")
+    return exploded.join(pivots.select("bucket", "n", "p.pivot"), "bucket")
 
 
-def ordered(x: str, y: str) -> tuple[Column, Column]:
-    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+def block_links(ids: np.ndarray, components: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """A link for each two components that pairs of left and right members unite; places in ids."""
+    sizes = lengths(sets)
+    starts = ends_of(sizes)
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(int(shingle.max()) + 1, np.int64)
+    _, top = np.unique(components, return_inverse=True)
+    found = []
+    for i in left.tolist():
+        own = shingle[starts[i] : starts[i + 1]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[shingle], starts[:-1])
+        mark[own] = 0
+        linked = right[100 * both[right] >= PERCENT * (sizes[i] + sizes[right] - both[right])]
+        for j in linked[top[linked] != top[i]].tolist():
+            if top[i] != top[j]:
+                found.append((i, j))
+                top[top == top[j]] = top[i]
+    return found
 
 
-def across(buckets: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) of buckets that hold more than one component, in blocks of each bucket's members."""
-    kind = sketches.schema["doc_id"].dataType.simpleString()
+def across(buckets: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between members of buckets that hold more than one component."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
     known = buckets.filter("n >= 3").select("bucket", "doc_id").join(labels, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    member = known.join(mixed.select("bucket", "n"), "bucket").join(sketches.select("doc_id", "registers", "n_shingles"), "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
-    spread = member.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select("*", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    known = checkpointed(known.join(classes.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "doc_id"))
+    blocks = F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES).cast("int").alias("blocks")
+    mixed = known.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), blocks).filter("least <> most")
+    member = checkpointed(known.join(mixed.select("bucket", "blocks"), "bucket"))
+    sets = full_sets(docs, member)
+    placed = member.join(sets, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    spread = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "component", "shingles")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        own, low, high = table["own"].to_numpy(), key[1].as_py(), key[2].as_py()
-        ids, comp, size = table["doc_id"].to_numpy(), table["component"].to_numpy(), table["n_shingles"].to_numpy().astype(float)
-        found = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(len(ids), REGISTERS)
-        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        out_a, out_b = [], []
-        for i in left:
-            others = right[(comp[right] != comp[i]) & (ids[right] > ids[i] if low == high else True)]
-            others = others[may_be_similar(found[i][None], found[others], np.full(len(others), size[i]), size[others])]
-            out_a.append(np.full(len(others), ids[i]))
-            out_b.append(ids[others])
-        a, b = (np.concatenate(x) if x else ids[:0] for x in (out_a, out_b))
+        own = table["own"].to_numpy()
+        ids, component = table["doc_id"].to_numpy(), table["component"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        pairs = block_links(ids, component, sets, np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py()))
+        a, b = np.array([ids[i] for i, _ in pairs], ids.dtype), np.array([ids[j] for _, j in pairs], ids.dtype)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    slim = spread.select("bucket", "low", "high", "own", "doc_id", "component", "n_shingles", "registers")
-    return slim.groupBy("bucket", "low", "high").applyInArrow(run, f"a {kind}, b {kind}").distinct()
+    return spread.groupBy("bucket", "low", "high").applyInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def class_links(docs: DataFrame, classes: DataFrame, known: DataFrame) -> DataFrame:
     """(node, component) of the classes' representatives that are linked to others, by text or by the known links."""
     buckets = checkpointed(bucketed(classes))
-    slim = classes.select("doc_id", "registers", "n_shingles")
-    nodes = lambda p: p.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    label = lambda s: labels.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}"))
-    apart = lambda frame, x, y: frame.join(label(x), x, "left").join(label(y), y, "left").filter(F.coalesce(f"c_{x}", x) != F.coalesce(f"c_{y}", y))
-    pairs = checkpointed(likely(buckets.filter("doc_id <> pivot").select(*ordered("doc_id", "pivot")).distinct(), slim))
-    links = checkpointed(verified(pairs, full_sets(docs, nodes(pairs))).union(known.select("a", "b")))
-    labels = checkpointed(components(links))
-    lone = apart(buckets.filter("n >= 3").select("doc_id", "pivot", "second"), "doc_id", "pivot").select("doc_id", "second")
-    more = apart(lone.filter("doc_id <> second").distinct(), "doc_id", "second").select(*ordered("doc_id", "second")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = checkpointed(likely(more, slim))
-    if more.limit(1).count():
-        pairs = pairs.union(more)
-        links = links.union(checkpointed(verified(more, full_sets(docs, nodes(more)))))
-        labels = checkpointed(components(links))
-    left = checkpointed(across(buckets, labels, slim).join(pairs, ["a", "b"], "left_anti"))
-    allowed = PAIRS_FIRST
-    while True:
-        open_ones = apart(left, "a", "b").select("a", "b", F.coalesce("c_a", "a").alias("x"), F.coalesce("c_b", "b").alias("y"))
-        between = Window.partitionBy(F.least("x", "y"), F.greatest("x", "y")).orderBy(F.xxhash64("a", "b"), "a", "b")
-        ranked = checkpointed(open_ones.withColumn("rank", F.row_number().over(between)).select("a", "b", "rank"))
-        now = ranked.filter(F.col("rank") <= allowed).select("a", "b")
-        if not now.limit(1).count():
-            return labels
-        more = checkpointed(verified(now, full_sets(docs, nodes(now))))
-        links = links.union(more)
-        labels = checkpointed(components(links))
-        left = ranked.filter(F.col("rank") > allowed).select("a", "b")
-        allowed *= 4
+    pairs = buckets.filter("doc_id <> pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
+    pairs = checkpointed(likely(pairs, classes.select("doc_id", "registers", "n_shingles")))
+    found = verified(pairs, full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))))
+    links = checkpointed(found.union(known.select("a", "b")))
+    more = checkpointed(across(buckets, checkpointed(components(links)), docs, classes))
+    return components(links.union(more))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -272,7 +262,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     class_of = checkpointed(own.select("doc_id", "print").join(members, "print").select("doc_id", "class_id").distinct())
     least = class_of.groupBy("doc_id").agg(F.min("class_id").alias("least"))
     same_id = class_of.join(least, "doc_id").filter("class_id <> least").select(F.col("least").alias("a"), F.col("class_id").alias("b"))
-    labels = class_links(docs, classes, same_id)
+    labels = checkpointed(class_links(docs, classes, same_id))
     found = class_of.join(labels, F.col("class_id") == F.col("node"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "class_id")).alias("component_id"))
     joined = sketches.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")

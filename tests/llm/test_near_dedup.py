@@ -2,8 +2,10 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from corpusweft.llm import near_dedup as nd
+from corpusweft.llm import _components
 from corpusweft.llm._components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -63,8 +65,8 @@ def test_components_match_brute_force(spark):
 
 
 def test_small_blocks_and_bad_pivots_lose_no_link(spark, monkeypatch):
-    """With one band only and blocks of few members, the pairs across components have to find the rest."""
-    monkeypatch.setattr(nd, "BLOCK", 16)
+    """With all in one bucket and blocks of few members, the blocks have to find the rest."""
+    monkeypatch.setattr(nd, "BLOCK_BYTES", 8000)
     monkeypatch.setattr(nd, "bands", lambda found: np.zeros((len(found), nd.REGISTERS // nd.ROWS), np.int64))
     rows = corpus()[:90]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -88,7 +90,9 @@ def test_registers_merge_and_estimate():
     assert nd.may_be_similar(near[:1], near[1:2], n, n)[0] and not nd.may_be_similar(near[:1], near[2:], n, n)[0]
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("local", [0, 1000])
+def test_components_of_a_long_chain(spark, monkeypatch, local):
+    monkeypatch.setattr(_components, "LOCAL_EDGES", local)
     edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 99), (99, 101), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(61)}, 99: 99, 100: 99, 101: 99}
