@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import registry
-from .operators import aggregates, dedupe, joins, masking, predicates, projections, ranking  # noqa: F401  they register their queries
+from .operators import aggregates, dedupe, evaluation, joins, masking, predicates, projections, ranking, taxonomy  # noqa: F401  they register their queries
 from .streaming import replay  # noqa: F401
 
 
