@@ -2,12 +2,15 @@
 
 A document's set of word shingles gives ``REGISTERS`` registers: the truncated logarithm, to a base close to 1, of the least
 of exponentially distributed hashes. Registers of a union are the larger ones, and equal registers are as likely as the sets
-are similar. Documents with equal sets become one class. Bands of registers put classes into buckets; in each bucket every
-member is paired with one pivot, mostly the same in all bands, so that pairs stay in proportion to members. A pair goes on
-when the likelihood of its registers, given both set sizes, allows the similarity; the full sets then decide. Where a bucket then
-still holds several components, its members are compared in blocks of bounded size, full sets against full sets, and each
-block reports a link for each two components that it unites. So no link is given up for a bucket's size, and no pairs of
-a bucket are ever listed.
+are similar. Documents with equal sets become one class. Bands of registers put classes into buckets; every member of a bucket
+is paired with its pivot, the least id in it and so mostly the same one in all bands, so that pairs stay in proportion to
+members. A pair goes on when the likelihood of its registers, given both set sizes, allows the similarity; the full sets then
+decide. Where the members of a pivot's buckets still belong to several components, they are compared in blocks of bounded
+size, full sets against full sets, and each block reports a link for each two components that it unites. So no link is given
+up for a bucket's size, and no pairs of a bucket are ever listed.
+
+Full sets are made again from texts where they are compared: texts are smaller than sets and shrink when shuffled. Before rows
+meet a list of keys in a join, a bitmap of ``BITS`` bits drops most of those that are not in the list.
 
 Contract
 --------
@@ -39,8 +42,10 @@ REGISTERS, ROWS = 160, 4
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
 #: Pairs whose most likely similarity is below this are given up: five standard deviations below the threshold.
 LEAST_ESTIMATE = PERCENT / 100 - 5 * (0.75 * 0.25 / REGISTERS) ** 0.5
-#: Bytes of shingles in a block of a bucket's members.
-BLOCK_BYTES = 4 << 20
+#: Bytes of shingles in a block of members.
+BLOCK_BYTES = 2 << 20
+#: Bits of the map that tells which keys may be in a list, and of one of its pages.
+BITS, PAGE_BITS = 1 << 26, 1 << 15
 
 _RANDOM = np.random.default_rng(20_11)
 _FACTORS = _RANDOM.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,7 +130,7 @@ def may_be_similar(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a fingerprint of the set, its registers and the keys of its bands."""
+    """doc_id, n_shingles, a fingerprint of the set and its registers."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -134,19 +139,27 @@ def sketch(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(texts_as_bytes(batch))
             found = registers(sets)
             prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (REGISTERS // ROWS)), pa.array(bands(found).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths(sets)), pa.array(prints, pa.binary()), pa.array([r.tobytes() for r in found], pa.binary()), keys], names=["doc_id", "n_shingles", "print", "registers", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths(sets)), pa.array(prints, pa.binary()), pa.array([r.tobytes() for r in found], pa.binary())], names=["doc_id", "n_shingles", "print", "registers"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, print binary, registers binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, print binary, registers binary")
 
 
 def _unpack(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return np.frombuffer(b"".join(texts_as_bytes(batch, name)), np.uint16).reshape(batch.num_rows, REGISTERS)
 
 
+def among(rows: DataFrame, key: str, listed: DataFrame) -> DataFrame:
+    """The rows whose key is in the list (of one column), and a few others: as large a share as bits are set."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    places = listed.select(place(listed.columns[0]).alias("at"))
+    pages = places.groupBy(F.floor(F.col("at") / PAGE_BITS).alias("_page")).agg(F.bitmap_construct_agg(F.col("at") % PAGE_BITS).alias("_bits"))
+    met = rows.withColumn("_at", place(key)).join(F.broadcast(pages), F.floor(F.col("_at") / PAGE_BITS) == F.col("_page"))  # BITS / 8 bytes at most
+    return met.filter(F.expr(f"getbit(cast(conv(hex(substring(_bits, cast(_at % {PAGE_BITS} / 8 as int) + 1, 1)), 16, 10) as int), cast(_at % 8 as int)) = 1")).select(*rows.columns)
+
+
 def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs (a, b) whose registers allow the similarity."""
-    side = lambda s: sketches.select(F.col("doc_id").alias(s), F.col("registers").alias(f"r_{s}"), F.col("n_shingles").alias(f"n_{s}"))
+    side = lambda s: among(sketches, "doc_id", pairs.select(s)).select(F.col("doc_id").alias(s), F.col("registers").alias(f"r_{s}"), F.col("n_shingles").alias(f"n_{s}"))
     joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,46 +172,44 @@ def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return joined.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and packed shingle set of the documents in ids."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(texts_as_bytes(batch))], pa.binary())], names=["doc_id", "shingles"])
-
-    return docs.select("doc_id", "text").join(ids.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(run, f"doc_id {kind}, shingles binary")
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked, by their full sets."""
     kind = pairs.schema["a"].dataType.simpleString()
-    sets = checkpointed(sets)  # both joins read it
-    side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("shingles").alias(f"s_{s}"))
+    side = lambda s: among(docs.select("doc_id", "text"), "doc_id", pairs.select(s)).select(F.col("doc_id").alias(s), F.col("text").alias(f"t_{s}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            numbers = Numbers()
+            left, right = ([numbers[t] for t in texts_as_bytes(batch, name)] for name in ("t_a", "t_b"))
+            sets = shingle_sets(list(numbers))
             ok = []
-            for x, y in zip(texts_as_bytes(batch, "s_a"), texts_as_bytes(batch, "s_b")):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            for x, y in ((sets[i], sets[j]) for i, j in zip(left, right)):
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) and len(y) else 0
+                ok.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def bucketed(classes: DataFrame) -> DataFrame:
     """(bucket, doc_id, pivot, n) of buckets with n >= 2 classes."""
-    exploded = classes.select("doc_id", F.explode("bands").alias("bucket"))
-    first = F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("pivot"))).alias("p")
-    pivots = exploded.groupBy("bucket").agg(F.count("*").alias("n"), first).filter("n >= 2")
-    return exploded.join(pivots.select("bucket", "n", "p.pivot"), "bucket")
+    kind = classes.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = bands(_unpack(batch, "registers"))
+            owner = np.repeat(np.arange(len(keys)), keys.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(keys.ravel())], names=["doc_id", "bucket"])
+
+    exploded = classes.select("doc_id", "registers").mapInArrow(run, f"doc_id {kind}, bucket long")
+    pivots = checkpointed(exploded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("pivot")).filter("n >= 2"))
+    return among(exploded, "bucket", pivots.select("bucket")).join(pivots, "bucket")
 
 
 def block_links(ids: np.ndarray, components: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """A link for each two components that pairs of left and right members unite; places in ids."""
+    """A link for each two components that pairs of left and right members unite; places in ids. No set is empty."""
+    if not len(sets):
+        return []
     sizes = lengths(sets)
     starts = ends_of(sizes)
     _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
@@ -219,35 +230,34 @@ def block_links(ids: np.ndarray, components: np.ndarray, sets: list[np.ndarray],
 
 
 def across(buckets: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) between members of buckets that hold more than one component."""
+    """Links (a, b) between members of a pivot's buckets that belong to more than one component."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    known = buckets.filter("n >= 3").select("bucket", "doc_id").join(labels, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    known = buckets.filter("n >= 3 and doc_id <> pivot").select("pivot", "doc_id").distinct()
+    known = known.join(labels, F.col("doc_id") == F.col("node"), "left").select("pivot", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     known = checkpointed(known.join(classes.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "doc_id"))
     blocks = F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES).cast("int").alias("blocks")
-    mixed = known.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), blocks).filter("least <> most")
-    member = checkpointed(known.join(mixed.select("bucket", "blocks"), "bucket"))
-    sets = full_sets(docs, member)
-    placed = member.join(sets, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    spread = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "component", "shingles")
+    mixed = known.groupBy("pivot").agg(F.min("component").alias("least"), F.max("component").alias("most"), blocks).filter("least <> most")
+    member = checkpointed(known.join(mixed.select("pivot", "blocks"), "pivot").select("pivot", "doc_id", "component", "blocks"))
+    placed = member.join(among(docs.select("doc_id", "text"), "doc_id", member.select("doc_id")), "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    spread = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("pivot", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "component", "text")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        own = table["own"].to_numpy()
-        ids, component = table["doc_id"].to_numpy(), table["component"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
-        pairs = block_links(ids, component, sets, np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py()))
+        sets = shingle_sets([t.encode() for t in table["text"].to_pylist()])
+        filled = np.flatnonzero(lengths(sets))
+        own, ids, component = (table[c].to_numpy()[filled] for c in ("own", "doc_id", "component"))
+        pairs = block_links(ids, component, [sets[i] for i in filled], np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py()))
         a, b = np.array([ids[i] for i, _ in pairs], ids.dtype), np.array([ids[j] for _, j in pairs], ids.dtype)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return spread.groupBy("bucket", "low", "high").applyInArrow(run, f"a {kind}, b {kind}").distinct()
+    return spread.filter(F.col("text").isNotNull()).groupBy("pivot", "low", "high").applyInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def class_links(docs: DataFrame, classes: DataFrame, known: DataFrame) -> DataFrame:
     """(node, component) of the classes' representatives that are linked to others, by text or by the known links."""
     buckets = checkpointed(bucketed(classes))
-    pairs = buckets.filter("doc_id <> pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
+    pairs = checkpointed(buckets.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct())
     pairs = checkpointed(likely(pairs, classes.select("doc_id", "registers", "n_shingles")))
-    found = verified(pairs, full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))))
-    links = checkpointed(found.union(known.select("a", "b")))
+    links = checkpointed(verified(pairs, docs).union(known.select("a", "b")))
     more = checkpointed(across(buckets, checkpointed(components(links)), docs, classes))
     return components(links.union(more))
 
@@ -256,9 +266,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links) and kept."""
     sketches = checkpointed(sketch(docs))
     own = sketches.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    members = own.groupBy("print").agg(F.min("doc_id").alias("class_id"))
-    heads = members.select("print", F.col("class_id").alias("doc_id"))
-    classes = checkpointed(own.join(heads, ["doc_id", "print"], "left_semi").select("doc_id", "n_shingles", "registers", "bands"))
+    same = (F.max(c).alias(c) for c in ("n_shingles", "registers"))  # a class has one set
+    classes = checkpointed(own.groupBy("print").agg(F.min("doc_id").alias("doc_id"), *same))
+    members = classes.select("print", F.col("doc_id").alias("class_id"))
     class_of = checkpointed(own.select("doc_id", "print").join(members, "print").select("doc_id", "class_id").distinct())
     least = class_of.groupBy("doc_id").agg(F.min("class_id").alias("least"))
     same_id = class_of.join(least, "doc_id").filter("class_id <> least").select(F.col("least").alias("a"), F.col("class_id").alias("b"))
