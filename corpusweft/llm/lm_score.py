@@ -1,14 +1,15 @@
 """Language-model scores: prediction by partial matching over bytes, beside a unigram model over words.
 
-The trie of byte contexts (up to ``ORDER`` bytes) comes from counts of all training texts: tasks sum up their own n-grams
-and words before the shuffle. Each level of the trie keeps its most frequent nodes, as many as ``NODES`` allows: the count from which
-on a node stays comes from a histogram of all counts. So what is sent to the tasks is bounded however large the corpus, and
-what is left out goes to the escape of its context. A
+The trie of byte contexts (up to ``ORDER`` bytes) holds all n-grams of all training texts, so it grows with the corpus and
+no task holds it. Texts are worked on in chunks of ``CHUNK`` bytes: a chunk hands on its distinct n-grams with their counts,
+dealt into buckets by the last ``LOW + 1`` bytes of the context. All longer contexts that end so are in the same bucket, and
+the n-grams of shorter ones, of which there are 256 ** (LOW + 1) an order at most, are sent to every task. So each bucket
+works out the chances of its chunks' n-grams by itself, and they go back to the chunk in the order in which it sent them. A
 symbol that a context has not seen costs an escape (method C: as likely as the number of distinct symbols) and is coded
 by the next shorter context without the symbols that the longer one has ruled out.
 
 Words seen in at least one of ``FREQUENT`` of all tokens (so ``FREQUENT`` words at most) are sent to the tasks and looked
-up in place; the rest of a text's words meets the counts in a join, where no key can be frequent.
+up in place; the rest of a chunk's words meets the counts in a join, where no key can be frequent.
 
 Contract
 --------
@@ -22,23 +23,30 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._batches import bounded_batches, checkpointed, ends_of, lengths, texts_as_bytes
+from ._batches import bounded_batches, checkpointed, ends_of, lengths, mix64, texts_as_bytes
 from .language_id import remainder
 
 ORDER = 5
-#: Most nodes of one level of the trie.
-NODES = 400_000
+#: Contexts up to so many bytes are sent to all tasks; longer ones stay in the bucket of their last LOW + 1 bytes.
+LOW = 2
+#: Bytes of input for which there is a bucket, the least number of buckets, and the most tasks that share them out.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_TASKS = 16 << 20, 4, 4000
+#: Bytes of text of a chunk, whose n-grams are counted and looked up once.
+CHUNK = 16 << 20
+#: Buckets of the rows that hold a chunk's texts, its words and its short n-grams; they sort before the others.
+TEXTS, WORDS, LOWER = -3, -2, -1
 #: Most words that are looked up in place: those that are at least one of so many tokens.
 FREQUENT = 100_000
-#: Entries that a task gathers before it hands them on, and bytes of text that it works on at once.
-GATHERED, AT_ONCE = 300_000, 1 << 20
+#: Bytes of text that a task works on at once.
+AT_ONCE = 1 << 20
 #: Stands before and after each text; it never occurs in UTF-8.
 EDGE = 0xFF
 #: The end of a text as a token; no word contains white space.
@@ -207,134 +215,237 @@ class Trie:
         return out
 
 
-class Model:
-    """What the tasks get; each worker process builds the trie's indexes once."""
+def bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """By the last LOW + 1 bytes of the context, so that a bucket holds whole contexts of more than LOW bytes."""
+    return (mix64(grams >> np.uint64(8 * (ORDER - LOW - 1)) & np.uint64((1 << 8 * (LOW + 1)) - 1)) % np.uint64(buckets)).astype(np.int64)
 
-    def __init__(self, logs: dict[bytes, float], levels: list[Level]):
-        self.logs, self.levels, self.built = logs, levels, None
 
-    def trie(self) -> Trie | None:
-        if self.built is None and self.levels:
-            self.built = Trie(self.levels)
-            for level in self.levels:  # the indexes hold the keys from now on
-                level.grams = level.contexts = np.zeros(0, np.uint64)
-        return self.built
+def summed(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams in order, with their counts added up."""
+    if not len(grams):
+        return grams, n
+    by = np.argsort(grams)
+    grams, n = grams[by], n[by]
+    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+    return grams[first], np.add.reduceat(n, first)
 
 
-def gathered(docs: DataFrame) -> DataFrame:
-    """(word, gram, n): counts of all words and of all n-grams of the longest order; one of the two is null."""
-    bounded_batches(docs.sparkSession)
+def packed(grams: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending n-grams and their counts: planes of bytes of the steps and counts, compressed."""
+    planes = [x.astype("<u8").view(np.uint8).reshape(-1, 8).T[:wide].tobytes() for x, wide in ((np.diff(grams, prepend=np.uint64(0)), ORDER + 1), (n, 8))]
+    return squeezed(b"".join(planes))
+
+
+def unpacked(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(released(data, (ORDER + 9) * size), np.uint8).reshape(ORDER + 9, size)
+    both = np.zeros((2, size, 8), np.uint8)
+    both[0, :, : ORDER + 1], both[1] = raw[: ORDER + 1].T, raw[ORDER + 1 :].T
+    steps, n = both.view("<u8")[..., 0]
+    return np.cumsum(steps, dtype=np.uint64), n.astype(np.int64)
+
+
+def squeezed(raw: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def released(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, size, codec="zstd", asbytes=True)
 
-    def rows(words: Counter, grams: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if words:
-            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], names=["word", "gram", "n"])
-        if len(grams):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(grams), pa.binary()), pa.array(grams.astype(np.int64)), pa.array(n)], names=["word", "gram", "n"])
 
-    def merged(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        by = np.argsort(grams, kind="stable")
-        grams, n = grams[by], n[by]
-        first = np.flatnonzero(np.diff(grams, prepend=np.uint64(2**64 - 1)) != 0)
-        return grams[first], np.add.reduceat(n, first) if len(first) else n
+def gathered(docs: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, chunk, n, data, ids): of each chunk of texts its ids and texts (bucket TEXTS), its words (WORDS), its n-grams of order LOW (LOWER), and for each bucket its n-grams of the longest order.
+
+    Words and n-grams are distinct ones, with their counts in texts to learn from; n is the size of what was packed.
+    """
+    bounded_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
+
+    def rows(chunk: int, buckets: list, n: list, data: list[bytes], ids: pa.Array) -> pa.RecordBatch:
+        arrays = [pa.array(c, f.type) for c, f in zip((buckets, [chunk] * len(data), n, data), schema)]
+        return pa.RecordBatch.from_arrays([*arrays, ids], names=[*schema.names, "ids"])
+
+    def chunk_rows(chunk: int, ids: list[pa.Array], texts: list[bytes], parts: list[tuple[np.ndarray, np.ndarray]], words: Counter) -> Iterator[pa.RecordBatch]:
+        own = pa.concat_arrays(ids)
+        raw = lengths(texts).tobytes() + b"".join(texts)
+        yield rows(chunk, [TEXTS], [len(raw)], [squeezed(raw)], pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own))
+        ends = words.pop(END)
+        raw = np.array([len(words), ends, *words.values()], np.int64).tobytes() + b" ".join(words)
+        yield rows(chunk, [WORDS], [len(raw)], [squeezed(raw)], pa.nulls(1, pa.list_(own.type)))
+        grams, n = summed(*map(np.concatenate, zip(*parts)))
+        seen = n > 0
+        low, low_n = summed(grams[seen] >> np.uint64(8 * (ORDER - LOW)), n[seen])
+        bucket = bucket_of(grams, buckets)
+        by = np.argsort(bucket, kind="stable")
+        grams, n, ends = grams[by], n[by], ends_of(np.bincount(bucket, minlength=buckets))
+        held = np.flatnonzero(np.diff(ends))
+        spans = [slice(ends[b], ends[b + 1]) for b in held]
+        sizes, data = [len(low), *np.diff(ends)[held]], [packed(low, low_n), *(packed(grams[s], n[s]) for s in spans)]
+        yield rows(chunk, [LOWER, *held], sizes, data, pa.nulls(len(data), pa.list_(own.type)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
+        ids, texts, parts, size, chunk = [], [], [], 0, TaskContext.get().partitionId()
+        for batch in batches:
+            at, learn = 0, np.array(batch.column(2).to_pylist(), bool)
+            for group in _some(texts_as_bytes(batch)):
+                own = learn[at : at + len(group)]
+                for text, learned in zip(group, own):
+                    words.update(text.lower().split() if learned else dict.fromkeys(text.lower().split(), 0))
+                words[END] += int(own.sum())
+                grams, begins = padded(group)
+                marked, times = np.unique(grams << np.uint64(1) | np.repeat(own, np.diff(begins)), return_counts=True)
+                parts.append((marked >> np.uint64(1), times * (marked & np.uint64(1)).astype(np.int64)))
+                ids.append(batch.column(0).slice(at, len(group)))
+                texts += group
+                at, size = at + len(group), size + int(begins[-1])
+                if size >= CHUNK:
+                    yield from chunk_rows(chunk, ids, texts, parts, words)
+                    ids, texts, parts, size, words, chunk = [], [], [], 0, Counter(), chunk + (1 << 32)
+        if texts:
+            yield from chunk_rows(chunk, ids, texts, parts, words)
+
+    return docs.select("doc_id", "text", "learn").mapInArrow(run, f"bucket long, chunk long, n long, data binary, ids array<{kind}>")
+
+
+def chunk_words(found: DataFrame, without: Broadcast | None = None) -> DataFrame:
+    """(chunk, word, n) of the words of each chunk, without those of a broadcast table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, data, size in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                raw = released(data, size)
+                many = int.from_bytes(raw[:8], "little")
+                n = np.frombuffer(raw, np.int64, many + 1, 8)
+                words = [END, *raw[8 * (many + 2) :].split()]
+                at = [i for i, w in enumerate(words) if without is None or w not in without.value]
+                for a in range(0, len(at), 20_000):
+                    some = at[a : a + 20_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int64()), pa.array([words[i] for i in some], pa.binary()), pa.array(n[some])], names=["chunk", "word", "n"])
+
+    return found.filter(F.col("bucket") == WORDS).select("chunk", "data", "n").mapInArrow(run, "chunk long, word binary, n long")
+
+
+def lower_counts(found: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The n-grams and counts of orders up to LOW: 256 ** (LOW + 1) of an order at most, however large the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            for texts in _some(texts_as_bytes(batch)):
-                for text in texts:
-                    words.update(text.lower().split())
-                words[END] += len(texts)
-                new, count = np.unique(padded(texts)[0], return_counts=True)
-                grams, n = merged(np.concatenate([grams, new]), np.concatenate([n, count]))
-                if len(words) > GATHERED or len(grams) > 4 * GATHERED:
-                    yield from rows(words, grams, n)
-                    words, grams, n = Counter(), grams[:0], n[:0]
-        yield from rows(words, grams, n)
-
-    return docs.select("text").mapInArrow(run, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
-
-
-def trie_levels(grams: DataFrame) -> list[Level]:
-    """The levels from the counts (gram, n) of the longest order."""
-    below = checkpointed(grams.groupBy(F.shiftright("gram", 8).alias("gram")).agg(F.sum("n").alias("n")))  # each order from the one above, which is larger
-    shorter = F.array(*(F.struct(F.lit(k).alias("order"), F.shiftright("gram", 8 * (ORDER - 1 - k)).alias("gram")) for k in range(ORDER - 1)))
-    lower = below.select(F.explode(shorter).alias("g"), "n").groupBy("g.order", "g.gram").agg(F.sum("n").alias("n"))
-    tops = [rows.select(F.lit(k).alias("order"), "gram", "n") for k, rows in ((ORDER, grams), (ORDER - 1, below))]
-    nodes = tops[0].union(tops[1]).union(checkpointed(lower))
-    step = F.floor(F.log2("n") * 16).cast("int")
-    sizes = nodes.groupBy("order", step.alias("step")).agg(F.count("*").alias("nodes")).toArrow().to_pylist()  # 1000 rows an order at most
-    least = []
-    for k in range(ORDER + 1):  # a longer context stays only if the shorter one does, so counts never fall with the order
-        room, floor = NODES, least[-1] if least else 0
-        for r in sorted((r for r in sizes if r["order"] == k), key=lambda r: -r["step"]):
-            room -= r["nodes"]
-            if room < 0:
-                floor = max(floor, r["step"] + 1)
-                break
-        least.append(floor)
-    bound = F.array(*map(F.lit, least))[F.col("order")]
-    table = nodes.filter(step >= bound).toArrow()  # NODES rows at most of each order
-    order, gram, n = (table[c].to_numpy() for c in ("order", "gram", "n"))
-    return build_levels([(gram[order == k].astype(np.uint64), n[order == k]) for k in range(ORDER + 1)])
+            for data, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                more, times = unpacked(data, size)
+                grams, n = summed(np.concatenate([grams, more]), np.concatenate([n, times]))
+        yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(n)], names=["gram", "n"])
+
+    rows = found.filter(F.col("bucket") == LOWER).select("data", "n").repartition(16).mapInArrow(run, "gram long, n long")
+    table = rows.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    grams, n = table["gram"].to_numpy().astype(np.uint64), table["n"].to_numpy()
+    return [summed(grams >> np.uint64(8 * (LOW - k)), n) for k in range(LOW + 1)]
+
+
+def chances(found: DataFrame, lower: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
+    """(chunk, bucket, n, data): log chances of the n-grams of each chunk and bucket, in their order; n is the size of what was packed."""
+    sent = found.sparkSession.sparkContext.broadcast(lower)
+
+    def answers(bucket: int, own: list[tuple[int, bytes, int]]) -> pa.RecordBatch:
+        parts = [unpacked(data, size) for _, data, size in own]
+        grams, inverse = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+        n = np.bincount(inverse, np.concatenate([c for _, c in parts]), len(grams)).astype(np.int64)
+        if len(sent.value[0][0]):
+            seen = n > 0
+            higher = [summed(grams[seen] >> np.uint64(8 * (ORDER - k)), n[seen]) for k in range(LOW + 1, ORDER + 1)]
+            chance = Trie(build_levels([*sent.value, *higher])).log_chance(grams).astype(np.float32)
+        else:
+            chance = np.full(len(grams), -math.log10(256), np.float32)
+        ends = ends_of(np.array([size for *_, size in own]))
+        planes = chance.view(np.uint8).reshape(-1, 4)
+        data = [squeezed(planes[inverse[a:b]].T.tobytes()) for a, b in zip(ends, ends[1:])]
+        columns = [c for c, *_ in own], [bucket] * len(own), [4 * size for *_, size in own]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(data, pa.binary())], names=["chunk", "bucket", "n", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, []
+        for batch in batches:
+            for bucket, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if bucket != last and own:
+                    yield answers(last, own)
+                    own = []
+                last = bucket
+                own.append(tuple(row))
+        if own:
+            yield answers(last, own)
+
+    rows = found.filter(F.col("bucket") >= 0).select("bucket", "chunk", "data", "n")
+    return rows.repartitionById(min(buckets, MOST_TASKS), (F.col("bucket") % MOST_TASKS).cast("int")).sortWithinPartitions("bucket").mapInArrow(run, "chunk long, bucket long, n long, data binary")
 
 
 def scored(docs: DataFrame, learnable: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    texts = docs.select("doc_id", "text")
-    counts = checkpointed(gathered(texts.filter(learnable)))
-    words = counts.filter(F.col("word").isNotNull()).select("word", F.col("n").alias("c"))
+    texts = docs.select("doc_id", "text", F.coalesce(learnable, F.lit(False)).alias("learn"))
+    buckets = max(LEAST_BUCKETS, (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)  # in proportion to the input, so that a bucket does not grow with it
+    counts = checkpointed(gathered(texts, buckets))
+    words = checkpointed(chunk_words(counts).groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"))
     total, distinct = words.agg(F.sum("c"), F.count("*")).first()
     total = total or 0
     divisor = math.log10(total + 0.1 * (distinct + 1))
     top = words.filter(F.col("c") * FREQUENT >= total).toArrow()  # FREQUENT rows at most
-    frequent = {w: math.log10(c + 0.1) for w, c in zip(top["word"].to_pylist(), top["c"].to_pylist())}
-    levels = trie_levels(counts.filter(F.col("gram").isNotNull()).select("gram", "n")) if total else []
-    sent = spark.sparkContext.broadcast(Model(frequent, levels))  # FREQUENT words and NODES nodes of each order at most
+    frequent = spark.sparkContext.broadcast({w: math.log10(c + 0.1) for w, c in zip(top["word"].to_pylist(), top["c"].to_pylist())})
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rest_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
+
+    def chunk_scores(ids: pa.Array, raw: bytes, rare: dict[bytes, float], found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        logs, never = frequent.value, math.log10(0.1)
+        ends = ends_of(np.frombuffer(raw, np.int64, len(ids))) + 8 * len(ids)
+        groups = list(_some([raw[a:b] for a, b in zip(ends, ends[1:])]))
+        spots = []
+        for texts in groups:
+            grams, begins = padded(texts)
+            own, inverse = np.unique(grams, return_inverse=True)
+            spots.append((own, inverse.astype(np.int32), begins))
+        grams = np.unique(np.concatenate([own for own, *_ in spots]))
+        chance = np.empty(len(grams), np.float32)
+        chance[np.argsort(bucket_of(grams, buckets), kind="stable")] = np.concatenate(found)
+        at = 0
+        for texts, (grams_here, inverse, begins) in zip(groups, spots):
+            n_tokens, n_known, sums = [], [], []
+            for text in texts:
+                own = tokens(text)
+                seen = Counter(own)
+                here = logs.keys() & seen.keys()
+                fewer = [w for w in seen if w not in here]
+                met = [w for w in fewer if w in rare]
+                n_tokens.append(len(own))
+                n_known.append(sum(seen[w] for w in here) + sum(seen[w] for w in met))
+                sums.append(math.fsum(chain((seen[w] * logs[w] for w in here), (seen[w] * rare.get(w, never) for w in fewer))))
+            score = np.add.reduceat(chance[np.searchsorted(grams, grams_here)][inverse].astype(np.float64), begins[:-1])
+            yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "sum", "score"])
+            at += len(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, trie = sent.value.logs, sent.value.trie()
-        number = TaskContext.get().partitionId() << 33
+        now = None
         for batch in batches:
-            at = 0
-            for texts in _some(texts_as_bytes(batch)):
-                n_tokens, n_known, sums, rest = [], [], [], []
-                for text in texts:
-                    own = tokens(text)
-                    found = Counter(own)
-                    here = logs.keys() & found.keys()
-                    n_tokens.append(len(own))
-                    n_known.append(sum(found[w] for w in here))
-                    sums.append(math.fsum(found[w] * logs[w] for w in here))
-                    rest.append([(w, t) for w, t in found.items() if w not in here])
-                grams, begins = padded(texts)
-                score = np.add.reduceat(trie.log_chance(grams).astype(np.float64), begins[:-1]) if trie else np.diff(begins) * -math.log10(256)
-                sizes = lengths(rest)
-                flat = [x for own in rest for x in own]
-                pairs = pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.binary()), pa.array([t for _, t in flat], pa.int64())], names=["word", "times"])
-                rests = pa.ListArray.from_arrays(pa.array(ends_of(sizes).astype(np.int32)), pairs)
-                rows = pa.array(np.arange(len(texts)) + number)
-                number += len(texts)
-                yield pa.RecordBatch.from_arrays([rows, batch.column(0).slice(at, len(texts)), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(score), rests.cast(rest_type)], names=["row", "doc_id", "n_tokens", "n_known", "sum", "score", "rest"])
-                at += len(texts)
-
-    first = checkpointed(texts.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, n_known long, sum double, score double, rest array<struct<word: binary, times: long>>"))
-    rare = first.select("row", F.inline("rest")).join(words.filter(F.col("c") * FREQUENT < total), "word", "left")
-    log = F.log10(F.coalesce("c", F.lit(0)) + 0.1)
-    added = rare.groupBy("row").agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"))
-    joined = first.drop("rest").join(added, "row", "left")
-    return joined.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("sum") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(divisor)).alias("base_score"),
-        "score",
-    )
+            for i, (bucket, size, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "data")))):
+                if bucket == WORDS:
+                    now[2][data] = math.log10(size + 0.1)
+                elif bucket != TEXTS:
+                    now[3].append(np.frombuffer(released(data, size), np.uint8).reshape(4, -1).T.copy().view(np.float32)[:, 0])
+                else:
+                    if now:
+                        yield from chunk_scores(*now)
+                    now = batch.column("ids")[i].values, released(data, size), {}, []
+        if now:
+            yield from chunk_scores(*now)
+
+    chunks = counts.filter(F.col("bucket") == TEXTS).select("chunk", "bucket", "n", "data", "ids")
+    tasks = min(max(1, chunks.count()), MOST_TASKS)
+    none = F.lit(None).cast(f"array<{kind}>").alias("ids")
+    met = chunk_words(counts, frequent).join(words.filter(F.col("c") * FREQUENT < total), "word").select("chunk", F.lit(WORDS).cast("long").alias("bucket"), F.col("c").alias("n"), F.col("word").alias("data"), none)
+    answered = chances(counts, lower_counts(counts), buckets).select("chunk", "bucket", "n", "data", none)
+    task = (F.col("chunk") % (1 << 32) + F.shiftright("chunk", 32) * 7) % tasks
+    together = chunks.union(met).union(answered).repartitionById(tasks, task.cast("int")).sortWithinPartitions("chunk", "bucket")
+    first = together.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, sum double, score double")
+    return first.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("sum") - F.col("n_tokens") * F.lit(divisor)).alias("base_score"), "score")
 
 
 def corpus_scores(docs: DataFrame) -> DataFrame:

@@ -91,3 +91,23 @@ def test_empty_table_and_nothing_to_learn(spark):
 
     rows = lm.scored(docs, F.lit(False)).collect()
     assert {r.n_known for r in rows} == {0} and all(r.score < 0 and r.train_tokens == 0 for r in rows)
+
+
+def test_no_ngram_is_dropped_however_many_there_are(spark, monkeypatch):
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789 "
+    rows = [(i, "".join(rng.choices(letters, k=6000))) for i in range(90)]  # over 400,000 distinct n-grams of each long order
+    rows += [(1000 + i, rows[i][1][:500] + "é" + rows[i + 1][1][-500:]) for i in range(20)] + [(1100, None), (1101, "")]
+    learn = [t for i, t in rows if i < 90]
+    some = [t for i, t in rows if i % 7 == 3 or i >= 1000]
+    want = dict(zip([i for i, t in rows if i % 7 == 3 or i >= 1000], ppm(learn, some, lm.ORDER)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    from pyspark.sql import functions as F
+
+    for chunk, bucket in ((lm.CHUNK, lm.BUCKET_BYTES), (50_000, 30_000)):  # one chunk a task, and many of them
+        monkeypatch.setattr(lm, "CHUNK", chunk)
+        monkeypatch.setattr(lm, "BUCKET_BYTES", bucket)
+        monkeypatch.setattr(lm, "AT_ONCE", min(lm.AT_ONCE, chunk))
+        got = {r.doc_id: r.score for r in lm.scored(docs, F.col("doc_id") < 90).collect()}
+        assert len(got) == len(rows)
+        assert {i: got[i] for i in want} == pytest.approx(want, rel=1e-5, abs=1e-6)
