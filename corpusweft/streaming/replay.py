@@ -35,6 +35,18 @@ def rolling_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" | ", F.collect_list(F.substring("text", 1, 20)).over(before)).alias("context"))
 
 
+def preceding_context(turns: DataFrame, topic_limit: int, suffix: str) -> DataFrame:
+    """(conv_id, turn, context, topics) of turns (conv_id, turn, text, topic): the whole texts of all prior turns, a line each, and the topics they covered.
+
+    Null or empty texts and topics are left out; of more topics than ``topic_limit`` the first ones stay, followed by ``suffix``.
+    """
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    prior = lambda c: F.collect_list(F.nullif(F.col(c), F.lit(""))).over(before)
+    found = turns.select("conv_id", "turn", F.concat_ws("\n", prior("text")).alias("context"), prior("topic").alias("topics"))
+    named = F.concat_ws("、", F.slice("topics", 1, topic_limit))
+    return found.withColumn("topics", F.concat(named, F.when(F.size("topics") > topic_limit, F.lit(suffix)).otherwise(F.lit(""))))
+
+
 def restored_stream(pieces: DataFrame, mappings: DataFrame) -> DataFrame:
     """A stream of text pieces (session_id, seq, text) with placeholders restored from (session_id, mapping).
 

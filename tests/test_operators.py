@@ -87,3 +87,14 @@ def test_sessions_keep_their_numbers(spark, tmp_path):
     spark.createDataFrame([(1, "EMAIL", "a@b.cd"), (1, "EMAIL", "a@b.cd"), (1, "EMAIL", "e@f.gh"), (2, "EMAIL", "e@f.gh")], schema).coalesce(1).write.json(str(tmp_path / "in"))
     rows = run_stream(spark, replay.allocated_stream(spark.readStream.schema(schema).json(str(tmp_path / "in")), 30), "allocated", tmp_path)
     assert sorted({tuple(r) for r in rows}) == [(1, "EMAIL", "a@b.cd", "[Email_1]"), (1, "EMAIL", "e@f.gh", "[Email_2]"), (2, "EMAIL", "e@f.gh", "[Email_1]")]
+
+
+def test_preceding_context_holds_all_prior_turns_whole(spark):
+    from corpusweft.streaming.replay import preceding_context
+
+    texts = [f"turn {i} " + "long text " * 10 for i in range(6)] + ["", None, "end"]
+    rows = [(1, i, t, f"t{i}" if i != 2 else None) for i, t in enumerate(texts)] + [(2, 0, "other", "t")]
+    got = {(r.conv_id, r.turn): (r.context, r.topics) for r in preceding_context(spark.createDataFrame(rows, "conv_id long, turn long, text string, topic string"), 3, " etc.").collect()}
+    assert got[1, 8] == ("\n".join(texts[:6]), "t0、t1、t3 etc.")
+    assert got[1, 3] == ("\n".join(texts[:3]), "t0、t1")
+    assert got[1, 0] == got[2, 0] == ("", "")
