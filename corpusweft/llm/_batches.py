@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: A batch sent to Python holds about so many bytes, so that arrays over a batch stay small beside an executor's memory.
-BATCH_BYTES = 4 << 20
+#: A batch sent to Python holds about so many bytes: arrays over a batch take some 60 times that in a worker.
+BATCH_BYTES = 1 << 20
+#: Python workers are reused, so what a task has freed goes back to the system: for the C library, the sizes from which it does.
+WORKER_ENVIRONMENT = {"MALLOC_MMAP_THRESHOLD_": str(1 << 19), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def bounded_batches(spark: SparkSession) -> None:
     """Let Arrow batches end by bytes, not only by rows: texts differ in length by a factor of 1000."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    for name, value in WORKER_ENVIRONMENT.items():
+        spark.sparkContext.environment.setdefault(name, value)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``.
+
+    Where that is unset it is one under the warehouse, or, in local mode (tests), a temporary one.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 

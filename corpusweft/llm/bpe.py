@@ -34,7 +34,7 @@ LETTER, NUMBER, OTHER, SPACE, BLANK, APOSTROPHE = range(6)
 #: States: what the open pre-token takes next. OUT: nothing; LED: a space that any run may follow; ONE, TWO: letters of a contraction.
 OUT, IN_LETTERS, IN_NUMBERS, IN_OTHER, LED, IN_WHITE, ONE, TWO = range(8)
 #: A number of slices after which the cache of a task is dropped, to bound its memory.
-CACHE_SLICES = 400_000
+CACHE_SLICES = 200_000
 #: Longer slices are merged one by one with a heap.
 LONG_SLICE = 48
 NONE = np.int32(2**31 - 1)
@@ -145,19 +145,33 @@ def boundaries(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return cuts.reshape(-1)[before.astype(np.int16) * 16 + symbol]
 
 
-class Vocabulary:
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+
+
+class Pieces:
+    """The bytes of all ids as flat arrays: all that decoding needs."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        ordered = sorted(ranks, key=ranks.get)
+        self.sizes = np.zeros(ranks[ordered[-1]] + 1, np.int64)
+        self.sizes[[ranks[t] for t in ordered]] = lengths(ordered)
+        self.starts = ends_of(self.sizes)[:-1]
+        self.bytes = np.frombuffer(b"".join(ordered), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, and each id's number of bytes."""
+        sizes = self.sizes[ids]
+        return self.bytes[ragged(self.starts[ids], sizes)], sizes
+
+
+class Vocabulary(Pieces):
     """Ranks of byte strings, and a hashed table of the pairs of ids that merge."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-        ordered = sorted(self.ranks, key=self.ranks.get)
-        self.ids = np.array([self.ranks[t] for t in ordered], np.int64)
-        top = int(self.ids[-1]) + 1
-        sizes = np.zeros(top, np.int64)
-        sizes[self.ids] = lengths(ordered)
-        self.sizes, self.starts = sizes, ends_of(sizes)[:-1]
-        self.bytes = np.frombuffer(b"".join(ordered), np.uint8)
+        self.ranks = read_ranks(path)
+        super().__init__(self.ranks)
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         keys, values = [], []
         for token, rank in self.ranks.items():
@@ -291,18 +305,18 @@ class Vocabulary:
             i = end[i]
         return np.array(out, np.int32)
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of all ids, and each id's number of bytes."""
-        sizes = self.sizes[ids]
-        return self.bytes[ragged(self.starts[ids], sizes)], sizes
-
-
 @functools.lru_cache(2)
 def vocabulary(path: str) -> Vocabulary:
     """Read once per worker process; the file is part of the installation on every node."""
     return Vocabulary(path)
 
 
+@functools.lru_cache(2)
+def pieces(path: str) -> Pieces:
+    """For workers that only decode."""
+    return Pieces(read_ranks(path))
+
+
 class Encoder:
     """Encodes batches of texts, keeping the ids of slices it has met."""
 
@@ -381,7 +395,7 @@ def decode(encoded: DataFrame, path: str, id_column: str = "doc_id", keep: tuple
     schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in columns) + ", decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = vocabulary(path)
+        table = pieces(path)
         for batch in batches:
             packed = texts_as_bytes(batch, "token_ids_in")
             counts = lengths(packed) // 4

@@ -115,7 +115,7 @@ def read_back(formatted: DataFrame, path: str) -> DataFrame:
     kind = formatted.schema["conv_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, open_one = bpe.vocabulary(path), None
+        table, open_one = bpe.pieces(path), None
         schema = pa.schema([("conv_id", _arrow(kind)), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
         def row(c: dict) -> dict:
