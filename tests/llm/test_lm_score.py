@@ -17,26 +17,30 @@ def words_of(text):
 
 
 def ppm(training, texts, order):
-    """Prediction by partial matching with method C and exclusion, symbol by symbol."""
+    """Prediction by partial matching with exclusion, symbol by symbol; shorter contexts count the longer ones in which a symbol occurs."""
     seen = defaultdict(Counter)
     for t in training:
         data = bytes([255]) * order + (t or "").encode() + b"\xff"
         for i in range(order, len(data)):
-            for k in range(order + 1):
-                seen[data[i - k : i]][data[i]] += 1
+            seen[data[i - order : i]][data[i]] += 1
+    for k in range(order, 0, -1):
+        for context in [c for c in seen if len(c) == k]:
+            for symbol in seen[context]:
+                seen[context[1:]][symbol] += 1
     out = []
     for t in texts:
         data, total = bytes([255]) * order + (t or "").encode() + b"\xff", 0.0
         for i in range(order, len(data)):
             excluded = set()
             for k in range(order, -1, -1):
-                own = {s: c for s, c in seen[data[i - k : i]].items() if s not in excluded}
+                own = {s: c for s, c in seen.get(data[i - k : i], {}).items() if s not in excluded}
                 if not own:
                     continue
+                rest = sum(own.values())
                 if data[i] in own:
-                    total += math.log10(own[data[i]] / (sum(own.values()) + len(own)))
+                    total += math.log10((own[data[i]] - lm.DISCOUNT) / rest)
                     break
-                total += math.log10(len(own) / (sum(own.values()) + len(own)))
+                total += math.log10(lm.DISCOUNT * len(own) / rest)
                 excluded |= own.keys()
             else:
                 total += math.log10(1 / (256 - len(excluded)))
@@ -61,25 +65,22 @@ def test_scores_match_brute_force(spark, monkeypatch):
         own = words_of(t)
         base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own)
         want.append((i, zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0, len(own), sum(counts[w] > 0 for w in own), n, base, score))
-    for frequent in (lm.FREQUENT, 4):  # with and without the join
-        monkeypatch.setattr(lm, "FREQUENT", frequent)
-        got = sorted(map(tuple, lm.corpus_scores(docs).collect()), key=str)
-        assert [r[:5] for r in got] == [r[:5] for r in sorted(want, key=str)]
-        for a, b in zip(got, sorted(want, key=str)):
-            assert a[5:] == pytest.approx(b[5:], rel=1e-5, abs=1e-6)
+    got = sorted(map(tuple, lm.corpus_scores(docs).collect()), key=str)
+    assert [r[:5] for r in got] == [r[:5] for r in sorted(want, key=str)]
+    for a, b in zip(got, sorted(want, key=str)):
+        assert a[5:] == pytest.approx(b[5:], rel=1e-5, abs=1e-6)
 
 
-def test_chances_of_all_symbols_add_up_to_one_after_pruning():
+def test_chances_of_all_symbols_add_up_to_one():
     rng = random.Random(3)
     texts = ["".join(rng.choices("abcd efgh", weights=range(1, 10), k=300)).encode() for _ in range(30)]
     grams = lm.padded(texts)[0]
-    counts = []
-    for k in range(lm.ORDER + 1):
-        g, n = np.unique(grams >> np.uint64(8 * (lm.ORDER - k)), return_counts=True)
-        counts.append((g[n >= 3 * k], n[n >= 3 * k]))
-    trie = lm.Trie(lm.build_levels(counts))
+    counts = [np.unique(grams, return_counts=True)]
+    for _ in range(lm.ORDER):
+        counts.append(lm.shortened(counts[-1][0]))
+    trie = lm.Trie(lm.build_levels(counts[::-1]))
     every = np.arange(256, dtype=np.uint64) << np.uint64(8 * lm.ORDER)
-    for gram in grams[::97]:
+    for gram in [*grams[::97], np.uint64(0x7A)]:
         context = gram & np.uint64((1 << 8 * lm.ORDER) - 1)
         assert (10.0 ** trie.log_chance(context | every).astype(float)).sum() == pytest.approx(1, abs=1e-3)
 
@@ -111,3 +112,9 @@ def test_no_ngram_is_dropped_however_many_there_are(spark, monkeypatch):
         got = {r.doc_id: r.score for r in lm.scored(docs, F.col("doc_id") < 90).collect()}
         assert len(got) == len(rows)
         assert {i: got[i] for i in want} == pytest.approx(want, rel=1e-5, abs=1e-6)
+
+
+def test_held_out_texts_cost_less_than_by_the_unigram_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    n, base, score = lm.corpus_scores(docs).filter("held_out").selectExpr("sum(n_tokens)", "sum(base_score)", "sum(score)").first()
+    assert score / n > base / n
