@@ -2,8 +2,11 @@
 
 Measures of whole texts come from one pass. Each measure's distribution per (language, source) is kept in a mergeable
 quantile sketch: counts of logarithmic buckets (relative error ``ACCURACY``), which are summed across tasks before the
-shuffle and added up again for a language or for everything where a group has too few documents. Fences from the
-sketches' quartiles are joined back, and a document that lies beyond a fence of its group goes.
+shuffle and added up again for each language and for everything. A cutoff lies beyond the sketch's upper tail by a multiple
+of the tail's distance from the median. A group's quantiles are shrunk towards its language's and those towards the corpus's,
+each by its number of documents: a group of ``SHRINK`` documents counts as much as what it is shrunk to, at every size alike.
+Cutoffs are joined back; a document goes if it has more of something than its group's cutoff allows a text of its length,
+plus the few (``MEASURES``) that a short text may have by chance.
 
 Contract
 --------
@@ -27,20 +30,22 @@ from ._batches import Numbers, bounded_batches, checkpointed, ends_of, lengths,
 
 #: Relative error of the sketches' quantiles.
 ACCURACY = 0.01
-#: A group with fewer documents takes the sketch of its language, and then that of all documents.
-LEAST_DOCUMENTS = 100
-#: A fence lies so many spreads beyond the quartile; the spread is the distance between the quartiles, or the least one given.
-SPREADS = 3.0
-#: Measures: (least spread, whether low values are beyond a fence too).
+#: Documents of a group (or language) that weigh as much as the language (or corpus) that it is shrunk to.
+SHRINK = 100.0
+#: The upper tail, and so many times its distance from the median the cutoff lies beyond it; the same for lower tails.
+TAIL, STRETCH = 0.90, 2.0
+#: Measures: (what is counted, of what, how many are allowed beyond the cutoff's share). Three of each; three windows that come twice.
 MEASURES = {
-    "symbol_ratio": (0.01, False),
-    "repeat_ratio": (0.10, False),
-    "stutter_ratio": (0.05, False),
-    "dup_line_ratio": (0.20, False),
-    "capital_ratio": (0.05, False),
-    "shout_ratio": (0.02, False),
-    "word_length": (1.0, True),
+    "symbol_ratio": ("n_symbols", "word_chars", 3),
+    "repeat_ratio": ("n_repeat_words", "n_words", 48),
+    "stutter_ratio": ("n_stutters", "n_words", 3),
+    "dup_line_ratio": ("n_dup_lines", "n_lines", 3),
+    "capital_ratio": ("n_capitals", "word_chars", 3),
+    "shout_ratio": ("n_shouts", "word_chars", 3),
+    "word_length": ("word_chars", "n_words", 3),
 }
+#: The measures of which too little is as odd as too much.
+BOTH_SIDES = ("word_length",)
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 
 SYMBOLS = b"#*$%&|<>"
@@ -132,17 +137,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def with_ratios(counts: DataFrame) -> DataFrame:
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
-    return counts.withColumns(
-        {
-            "symbol_ratio": share("n_symbols", "word_chars"),
-            "repeat_ratio": share("n_repeat_words", "n_words"),
-            "stutter_ratio": share("n_stutters", "n_words"),
-            "dup_line_ratio": share("n_dup_lines", "n_lines"),
-            "capital_ratio": share("n_capitals", "word_chars"),
-            "shout_ratio": share("n_shouts", "word_chars"),
-            "word_length": share("word_chars", "n_words"),
-        }
-    )
+    return counts.withColumns({m: share(a, b) for m, (a, b, _) in MEASURES.items()})
 
 
 def sketched(ratios: DataFrame) -> DataFrame:
@@ -159,54 +154,54 @@ def bucket_value(bucket: Column) -> Column:
     return F.when(bucket == 0, F.lit(0.0)).otherwise(F.exp((bucket - 1) * F.lit(step)) * F.lit(1e-6 * (1 - ACCURACY)))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """n, q1 and q3 of each key's sketch: the buckets in which a quarter and three quarters of the values are reached."""
+def quantiles(sketch: DataFrame, keys: list[str], mark: str) -> DataFrame:
+    """n and the lower tail, median and upper tail of each key's sketch, the names marked: buckets in which that share of the values is reached."""
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     by = Window.partitionBy(*keys, "measure")
     upto = merged.withColumn("upto", F.sum("n").over(by.orderBy("bucket"))).withColumn("all", F.sum("n").over(by))
     reached = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), F.col("bucket")))
-    found = upto.groupBy(*keys, "measure").agg(F.max("all").alias("n"), reached(0.25).alias("b1"), reached(0.75).alias("b3"))
-    return found.select(*keys, "measure", "n", bucket_value(F.col("b1")).alias("q1"), bucket_value(F.col("b3")).alias("q3"))
-
-
-def fences(sketch: DataFrame) -> DataFrame:
-    """One row per (lang, source): lower and upper fence of each measure."""
-    group = quartiles(sketch, ["lang", "source"])
-    by_lang = quartiles(sketch, ["lang"]).select(F.col("lang").alias("l_lang"), F.col("measure").alias("l_measure"), *(F.col(c).alias(f"l_{c}") for c in ("n", "q1", "q3")))
-    by_all = quartiles(sketch, []).select(F.col("measure").alias("a_measure"), *(F.col(c).alias(f"a_{c}") for c in ("q1", "q3")))
-    joined = group.join(by_lang, group["lang"].eqNullSafe(F.col("l_lang")) & (group["measure"] == F.col("l_measure"))).join(by_all, F.col("measure") == F.col("a_measure"))
-    pick = lambda q: F.when(F.col("n") >= LEAST_DOCUMENTS, F.col(q)).when(F.col("l_n") >= LEAST_DOCUMENTS, F.col(f"l_{q}")).otherwise(F.col(f"a_{q}"))
-    least = F.create_map(*chain.from_iterable((F.lit(m), F.lit(s)) for m, (s, _) in MEASURES.items()))
-    chosen = joined.select("lang", "source", "measure", pick("q1").alias("q1"), pick("q3").alias("q3"))
-    spread = F.greatest(F.col("q3") - F.col("q1"), least[F.col("measure")])
+    found = upto.groupBy(*keys, "measure").agg(F.max("all").alias("n"), reached(1 - TAIL).alias("low"), reached(0.5).alias("mid"), reached(TAIL).alias("high"))
+    return found.select(*(F.col(k).alias(f"{mark}_{k}") for k in [*keys, "measure", "n"]), *(bucket_value(F.col(c)).alias(f"{mark}_{c}") for c in ("low", "mid", "high")))
+
+
+def cutoffs(sketch: DataFrame) -> DataFrame:
+    """One row per (lang, source): the cutoffs of each measure, as shares."""
+    group, by_lang, by_all = quantiles(sketch, ["lang", "source"], "g"), quantiles(sketch, ["lang"], "l"), quantiles(sketch, [], "a")
+    joined = group.join(by_lang, F.col("g_lang").eqNullSafe(F.col("l_lang")) & (F.col("g_measure") == F.col("l_measure"))).join(by_all, F.col("g_measure") == F.col("a_measure"))
+
+    def shrunk(c: str) -> Column:
+        of_lang = (F.col("l_n") * F.col(f"l_{c}") + F.lit(SHRINK) * F.col(f"a_{c}")) / (F.col("l_n") + F.lit(SHRINK))
+        return (F.col("g_n") * F.col(f"g_{c}") + F.lit(SHRINK) * of_lang) / (F.col("g_n") + F.lit(SHRINK))
+
+    chosen = joined.select(F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), F.col("g_measure").alias("measure"), *(shrunk(c).alias(c) for c in ("low", "mid", "high")))
     out = []
-    for m, (_, both) in MEASURES.items():
-        out.append(F.max(F.when(F.col("measure") == m, F.col("q3") + SPREADS * spread)).alias(f"max_{m}"))
-        if both:
-            out.append(F.max(F.when(F.col("measure") == m, F.col("q1") - SPREADS * spread)).alias(f"min_{m}"))
+    for m in MEASURES:
+        out.append(F.max(F.when(F.col("measure") == m, F.col("high") + F.lit(STRETCH) * (F.col("high") - F.col("mid")))).alias(f"max_{m}"))
+        if m in BOTH_SIDES:
+            out.append(F.max(F.when(F.col("measure") == m, F.col("low") - F.lit(STRETCH) * (F.col("mid") - F.col("low")))).alias(f"min_{m}"))
     return chosen.groupBy("lang", "source").agg(*out)
 
 
 def apply_rules(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the counts, ``base_failed``, the measures with their fences, and ``kept``."""
-    ratios = with_ratios(checkpointed(measured(docs)))  # read twice: for the sketches, and against the fences
-    found = fences(sketched(ratios)).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
+    """doc_id, lang, source, the counts, ``base_failed``, the measures with their cutoffs, and ``kept``."""
+    ratios = with_ratios(checkpointed(measured(docs)))  # read twice: for the sketches, and against the cutoffs
+    found = cutoffs(sketched(ratios)).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
     joined = ratios.join(found, ratios["lang"].eqNullSafe(found["of_lang"]) & ratios["source"].eqNullSafe(found["of_source"]), "left").drop("of_lang", "of_source")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     within = F.lit(True)
-    for m, (_, both) in MEASURES.items():
-        within = within & (F.col(m) <= F.col(f"max_{m}"))
-        if both:
-            within = within & (F.col(m) >= F.col(f"min_{m}"))
+    for m, (counted, of, more) in MEASURES.items():
+        within = within & (F.col(counted) <= F.col(f"max_{m}") * F.col(of) + F.lit(float(more)))
+        if m in BOTH_SIDES:
+            within = within & (F.col(counted) >= F.col(f"min_{m}") * F.col(of) - F.lit(float(more)))
     return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & within)
 
 
 def _sql() -> str:
     step = repr(math.log((1 + ACCURACY) / (1 - ACCURACY)))
-    measures = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS measure, {m} AS value, {least!r}::DOUBLE AS least, {both} AS both_sides FROM ratios" for m, (least, both) in MEASURES.items())
-    quartiles = lambda keys: f"SELECT {keys}measure, max(total) AS n, min(bucket) FILTER (WHERE upto >= ceil(total * 0.25)) AS b1, min(bucket) FILTER (WHERE upto >= ceil(total * 0.75)) AS b3 FROM (SELECT {keys}measure, bucket, sum(n) OVER (PARTITION BY {keys}measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}measure) AS total FROM (SELECT {keys}measure, bucket, count(*) AS n FROM bucketed GROUP BY ALL)) GROUP BY ALL"
-    value = lambda b: f"CASE WHEN {b} = 0 THEN 0.0 ELSE exp(({b} - 1) * {step}) * {1e-6 * (1 - ACCURACY)!r} END"
-    pick = lambda b: f"CASE WHEN g.n >= {LEAST_DOCUMENTS} THEN g.{b} WHEN l.n >= {LEAST_DOCUMENTS} THEN l.{b} ELSE a.{b} END"
+    measures = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS measure, {m} AS value, {a} AS counted, {b} AS of_what, {more!r}::DOUBLE AS more, {m in BOTH_SIDES} AS both_sides FROM ratios" for m, (a, b, more) in MEASURES.items())
+    quantiles = lambda keys: f"SELECT {keys}measure, max(total) AS n, " + ", ".join(f"min(bucket) FILTER (WHERE upto >= ceil(total * {q!r}::DOUBLE)) AS {c}" for c, q in (("low", 1 - TAIL), ("mid", 0.5), ("high", TAIL))) + f" FROM (SELECT {keys}measure, bucket, sum(n) OVER (PARTITION BY {keys}measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}measure) AS total FROM (SELECT {keys}measure, bucket, count(*) AS n FROM bucketed GROUP BY ALL)) GROUP BY ALL"
+    value = lambda b: f"CASE WHEN {b} = 0 THEN 0.0 ELSE exp(({b} - 1) * {step}::DOUBLE) * {1e-6 * (1 - ACCURACY)!r}::DOUBLE END"
+    shrunk = lambda c: f"(g.n::DOUBLE * {value(f'g.{c}')} + {SHRINK}::DOUBLE * ((l.n::DOUBLE * {value(f'l.{c}')} + {SHRINK}::DOUBLE * {value(f'a.{c}')}) / (l.n::DOUBLE + {SHRINK}::DOUBLE))) / (g.n::DOUBLE + {SHRINK}::DOUBLE) AS {c}"
     share = lambda a, b: f"CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0.0 END"
     return rf"""
 WITH docs AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
@@ -217,15 +212,13 @@ repeats AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(ra
 counts AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
   coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::BIGINT AS n_stutters,
   len(regexp_extract_all(t, '[A-Z]'))::BIGINT AS n_capitals, len(regexp_extract_all(t, '[!?]'))::BIGINT AS n_shouts, len(l)::BIGINT AS n_lines FROM docs d LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)),
-ratios AS (SELECT *, {share("n_symbols", "word_chars")} AS symbol_ratio, {share("n_repeat_words", "n_words")} AS repeat_ratio, {share("n_stutters", "n_words")} AS stutter_ratio, {share("n_dup_lines", "n_lines")} AS dup_line_ratio,
-  {share("n_capitals", "word_chars")} AS capital_ratio, {share("n_shouts", "word_chars")} AS shout_ratio, {share("word_chars", "n_words")} AS word_length FROM counts),
+ratios AS (SELECT *, {", ".join(f"{share(a, b)} AS {m}" for m, (a, b, _) in MEASURES.items())} FROM counts),
 measured AS ({measures}),
-bucketed AS (SELECT *, CASE WHEN value < 1e-6 THEN 0 ELSE (ceil(ln(value / 1e-6) / {step}) + 1)::INT END AS bucket FROM measured),
-g AS ({quartiles("lang, source, ")}), l AS ({quartiles("lang, ")}), a AS ({quartiles("")}),
-chosen AS (SELECT g.lang, g.source, g.measure, {pick("b1")} AS b1, {pick("b3")} AS b3 FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang AND g.measure = l.measure JOIN a ON g.measure = a.measure),
-spread AS (SELECT lang, source, measure, {value("b1")} AS q1, {value("b3")} AS q3 FROM chosen),
-verdicts AS (SELECT m.doc_id, bool_and(m.value <= q3 + {SPREADS} * greatest(q3 - q1, least) AND (NOT both_sides OR m.value >= q1 - {SPREADS} * greatest(q3 - q1, least))) AS within
-  FROM measured m JOIN spread s ON m.lang IS NOT DISTINCT FROM s.lang AND m.source IS NOT DISTINCT FROM s.source AND m.measure = s.measure GROUP BY 1)
+bucketed AS (SELECT *, CASE WHEN value < 1e-6 THEN 0 ELSE (ceil(ln(value / 1e-6) / {step}::DOUBLE) + 1)::INT END AS bucket FROM measured),
+g AS ({quantiles("lang, source, ")}), l AS ({quantiles("lang, ")}), a AS ({quantiles("")}),
+chosen AS (SELECT g.lang, g.source, g.measure, {shrunk("low")}, {shrunk("mid")}, {shrunk("high")} FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang AND g.measure = l.measure JOIN a ON g.measure = a.measure),
+verdicts AS (SELECT m.doc_id, bool_and(counted <= (high + {STRETCH}::DOUBLE * (high - mid)) * of_what + more AND (NOT both_sides OR counted >= (low - {STRETCH}::DOUBLE * (mid - low)) * of_what - more)) AS within
+  FROM measured m JOIN chosen s ON m.lang IS NOT DISTINCT FROM s.lang AND m.source IS NOT DISTINCT FROM s.source AND m.measure = s.measure GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
   NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND within AS kept FROM ratios JOIN verdicts USING (doc_id)
 """
