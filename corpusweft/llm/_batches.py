@@ -43,6 +43,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to differ from all those taken, whatever the case."""
+    known, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in known:
+            name = f"_{name}"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
 def texts_as_bytes(batch: pa.RecordBatch, column: str | int = "text") -> list[bytes]:
     """The UTF-8 bytes of each text of a column, by name or place; null counts as empty."""
     return [b"" if t is None else t for t in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -50,10 +50,13 @@ def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _united(edges: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches if batch.num_rows]
-        if parts:
+        parts, of = [], None
+        for batch in batches:
+            of = batch.schema.field(0).type
+            parts.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)])
+        if sum(len(a) for a, _ in parts):
             nodes, least = least_reachable(*(np.concatenate(side) for side in zip(*parts)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], names=["node", "component"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, of), pa.array(least, of)], names=["node", "component"])
 
     return edges.select("a", "b").coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._batches import bounded_batches, ends_of, lengths, ragged, texts_as_bytes
+from ._batches import bounded_batches, ends_of, lengths, ragged, texts_as_bytes, unused
 
 #: Consecutive words of an item that count as found.
 WINDOW = 10
@@ -195,17 +195,15 @@ def united(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def item_blocks(items: DataFrame) -> list[list[tuple]]:
-    """The items in blocks of at most BLOCK_BYTES of text each (a larger item is a block of its own)."""
+def item_blocks(items: DataFrame) -> Iterator[list[tuple]]:
+    """The items in blocks of about BLOCK_BYTES of text at most (a larger item is a block of its own); the driver holds one at a time."""
     spark = items.sparkSession
     chosen = items.select(F.col("item_id").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     size = chosen.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, -(-2 * size // BLOCK_BYTES))
     part = lambda rows: [(r["item"], r["text"].encode()) for r in rows.toArrow().to_pylist()]
-    if n == 1:
-        return [part(chosen)]
-    blocks = [part(chosen.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)) for b in range(n)]
-    return [b for b in blocks if b] or [[]]
+    for b in range(n):
+        yield part(chosen.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b) if n > 1 else chosen)
 
 
 def mark(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("n_words", "hit_spans", "item_ids")) -> DataFrame:
@@ -214,9 +212,10 @@ def mark(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",),
     bounded_batches(spark)
     kind = items.schema["item_id"].dataType
     spans_type, ids_type = pa.list_(pa.list_(pa.int64())), pa.list_(to_arrow_type(kind))
-    carried = [*keep, *([] if "text" in keep else ["_text"])]
-    text = carried.index("text" if "text" in keep else "_text")
-    base = docs.select(*keep, *([] if "text" in keep else [F.col("text").alias("_text")])).select(
+    (own_text,) = unused([*keep, *names], "text") if "text" not in keep else ("text",)
+    carried = [*keep, *([] if "text" in keep else [own_text])]
+    text = carried.index(own_text)
+    base = docs.select(*keep, *([] if "text" in keep else [F.col("text").alias(own_text)])).select(
         *carried, F.lit(0).cast("long").alias(names[0]), F.lit(None).cast("array<array<bigint>>").alias(names[1]), F.lit(None).cast(f"array<{kind.simpleString()}>").alias(names[2])
     )
     n, schema = len(carried), base.schema

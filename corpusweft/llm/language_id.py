@@ -3,7 +3,7 @@
 N-grams of one to three code points of the lower-cased letters (anything else is one space between words) are hashed
 into ``FEATURES`` slots. Document frequencies come from every document that may be learned from, summed in each task before
 the shuffle. The weights are fitted on a bounded sample (``SAMPLE_PER_LANGUAGE`` documents a language on average, chosen by
-a hash of the id) by follow-the-regularised-leader with elastic-net penalties; a fifth of it is kept back to fit the
+a hash of id and text, so repeated rows count once, and twice that number at most) by follow-the-regularised-leader with elastic-net penalties; a fifth of it is kept back to fit the
 temperature that calibrates the scores. Prediction adds up the weights of all n-grams of a whole text.
 
 Contract
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._batches import bounded_batches, ends_of, lengths, texts_as_bytes
+from ._batches import bounded_batches, ends_of, lengths, texts_as_bytes, unused
 from .bpe import LETTER, code_point_classes
 
 FEATURES = 1 << 15
@@ -182,8 +182,9 @@ def fit(docs: DataFrame, learnable: Column) -> Model | None:
     frequency = document_frequencies(rows)
     idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
     share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, SAMPLE_PER_LANGUAGE / sizes[lang]))))
-    key = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
-    sample = sample_counts(rows.filter(F.length("text") > 0).withColumn("key", key).filter(F.pmod(key, F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000))
+    key = F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("sample"))
+    chosen = rows.filter(F.length("text") > 0).withColumn("key", key).filter(F.pmod(key, F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    sample = sample_counts(chosen.select("key", "lang", "text").dropDuplicates(["key", "lang"]).orderBy("key", "lang").limit(2 * SAMPLE_PER_LANGUAGE * len(languages)))
     number = {lang: i for i, lang in enumerate(languages)}
     learn, hold = [], []
     for i, r in enumerate(sample):
@@ -208,6 +209,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
     sent = spark.sparkContext.broadcast(model)  # FEATURES x languages numbers
     schema = docs.select(*keep).withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0)}).schema
     text = keep.index("text") if "text" in keep else len(keep)
+    (own_text,) = unused([*keep, *names], "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +220,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
             score = np.where(has, chance[np.arange(len(best)), best], 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(found.tolist(), pa.string()), pa.array(score)], names=[*keep, *names])
 
-    return docs.select(*keep, *([] if "text" in keep else [F.col("text").alias("_text")])).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if "text" in keep else [F.col("text").alias(own_text)])).mapInArrow(run, schema)
 
 
 def remainder(modulus: int) -> Column:

@@ -15,8 +15,9 @@ meet a list of keys in a join, a bitmap of ``BITS`` bits drops most of those tha
 Contract
 --------
 ``near_duplicates(docs)`` gives one row per input row. A null or empty text has the empty set and is linked with nothing. A
-null id is linked with nothing either and gets a null component. Rows that repeat an id are one node. Only id and text are
-read.
+null id is linked with nothing either and gets a null component. Rows that repeat an id are one node, linked with whatever
+any of its texts is. Ids may be integers, decimals or strings (of which the smallest is the first by their bytes). Only id
+and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -244,10 +245,11 @@ def across(buckets: DataFrame, labels: DataFrame, docs: DataFrame, classes: Data
     def run(key: tuple, table: pa.Table) -> pa.Table:
         sets = shingle_sets([t.encode() for t in table["text"].to_pylist()])
         filled = np.flatnonzero(lengths(sets))
-        own, ids, component = (table[c].to_numpy()[filled] for c in ("own", "doc_id", "component"))
+        own, ids, component = (table[c].to_numpy(zero_copy_only=False)[filled] for c in ("own", "doc_id", "component"))
         pairs = block_links(ids, component, [sets[i] for i in filled], np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py()))
-        a, b = np.array([ids[i] for i, _ in pairs], ids.dtype), np.array([ids[j] for _, j in pairs], ids.dtype)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        both = [sorted((ids[i], ids[j])) for i, j in pairs]
+        of = table.schema.field("doc_id").type
+        return pa.table({"a": pa.array([a for a, _ in both], of), "b": pa.array([b for _, b in both], of)})
 
     return spread.filter(F.col("text").isNotNull()).groupBy("pivot", "low", "high").applyInArrow(run, f"a {kind}, b {kind}").distinct()
 

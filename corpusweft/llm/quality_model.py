@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import quality_rules
-from ._batches import bounded_batches, lengths, texts_as_bytes
+from ._batches import bounded_batches, lengths, texts_as_bytes, unused
 from .language_id import remainder
 
 #: Mean number of labelled rows that the trees are fitted on; at 12 bytes a row their ids are small enough to broadcast.
@@ -148,14 +148,15 @@ def _statistics_of(docs: DataFrame) -> pa.Table:
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "quality") -> Forest | None:
     bounded_batches(docs.sparkSession)
-    key = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
+    key = F.xxhash64(F.col("doc_id").cast("string"), "label", F.lit("sample"))
     usable = labels.select("doc_id", F.col(label).cast("double").alias("label")).filter(learnable & F.col("label").isNotNull() & F.col("doc_id").isNotNull()).withColumn("key", key)
     n = usable.count()
     if not n:
         return None
     share = int(min(1.0, SAMPLE_ROWS / n) * 1_000_000)
-    sample = usable.filter(F.pmod("key", F.lit(1_000_000)) < share)
-    rows = _statistics_of(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
+    sample = usable.filter(F.pmod("key", F.lit(1_000_000)) < share).dropDuplicates(["key"]).orderBy("key").limit(2 * SAMPLE_ROWS)
+    met = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("of_text", F.xxhash64("text"))
+    rows = _statistics_of(met.dropDuplicates(["key", "of_text"]).orderBy("key", "of_text").limit(2 * SAMPLE_ROWS))
     if not rows.num_rows:
         return None
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(rows.num_rows, len(STATISTICS))
@@ -170,16 +171,17 @@ def score(docs: DataFrame, forest: Forest | None, keep: tuple[str, ...] = ("doc_
     bounded_batches(spark)
     sent = spark.sparkContext.broadcast(forest)
     schema = docs.select(*keep).withColumn("quality_score", F.lit(0.0)).schema
+    (own_text,) = unused([*keep, "quality_score"], "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if sent.value is None:
                 chance = np.full(batch.num_rows, 0.5)
             else:
-                chance = sent.value.chance(statistics(texts_as_bytes(batch, "_text")))
+                chance = sent.value.chance(statistics(texts_as_bytes(batch, len(keep))))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(chance)], names=[*keep, "quality_score"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias(own_text)).mapInArrow(run, schema)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

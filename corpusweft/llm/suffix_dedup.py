@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._batches import bounded_batches, checkpointed, ends_of, lengths, mix64, ragged, texts_as_bytes
+from ._batches import bounded_batches, checkpointed, ends_of, lengths, mix64, ragged, texts_as_bytes, unused
 
 LENGTH = 400
 #: Places among which a string's anchor is chosen, and bytes after the anchor that all its strings share.
@@ -286,9 +286,13 @@ def united(ranges: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, ...] = ("kept", "n_bytes", "n_removed", "n_spans")) -> DataFrame:
-    """The columns in ``keep``, and under ``names`` the remaining bytes and the numbers of bytes, removed bytes and removed runs."""
+def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, ...] = ("kept", "n_bytes", "n_removed", "n_spans"), whole_characters: bool = False) -> DataFrame:
+    """The columns in ``keep``, and under ``names`` the remaining bytes and the numbers of bytes, removed bytes and removed runs.
+
+    whole_characters: what remains of a character that a cut splits goes too, so that the remaining bytes are UTF-8.
+    """
     bounded_batches(docs.sparkSession)
+    own_text, own_key, of, own_ranges = unused([*keep, *names], "text", "key", "of", "ranges")
     schema = docs.select(*keep).withColumns({names[0]: F.lit(b""), **{n: F.lit(0).cast("long") for n in names[1:]}}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,14 +305,17 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), names:
                 for a, b in cuts:
                     parts.append(text[at:a])
                     at = b
-                kept.append(b"".join([*parts, text[at:]]))
+                parts.append(text[at:])
+                if whole_characters and cuts:
+                    parts = [p.decode(errors="ignore").encode() for p in parts]  # the text is UTF-8, so only edges of cuts are not
+                kept.append(b"".join(parts))
                 removed.append(sum(b - a for a, b in cuts))
                 spans.append(len(cuts))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(kept, pa.binary()), pa.array(lengths(texts)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names=[*keep, *names])
 
-    keyed = docs.select(*keep, F.col("text").alias("_text"), text_key(F.col("text")).alias("_key"))
-    found = repeats(docs).withColumnsRenamed({"key": "_of", "ranges": "_ranges"})
-    return keyed.join(found, F.col("_key") == F.col("_of"), "left").select(*keep, "_text", "_ranges").mapInArrow(run, schema)
+    keyed = docs.select(*keep, F.col("text").alias(own_text), text_key(F.col("text")).alias(own_key))
+    found = repeats(docs).withColumnsRenamed({"key": of, "ranges": own_ranges})
+    return keyed.join(found, keyed[own_key] == found[of], "left").select(*keep, own_text, own_ranges).mapInArrow(run, schema)
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:

@@ -56,5 +56,5 @@ def test_blocks_of_items_give_the_same_rows(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     whole = sorted(map(tuple, dc.contamination(frame, bench).collect()))
     monkeypatch.setattr(dc, "BLOCK_BYTES", 1500)
-    assert len(dc.item_blocks(bench)) > 2
+    assert len(list(dc.item_blocks(bench))) > 2
     assert sorted(map(tuple, dc.contamination(frame, bench).collect())) == whole

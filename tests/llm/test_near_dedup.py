@@ -73,6 +73,19 @@ def test_small_blocks_and_bad_pivots_lose_no_link(spark, monkeypatch):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in nd.near_duplicates(docs).collect()} == brute(rows)
 
 
+@pytest.mark.parametrize("kind", ["string", "decimal(20,0)", "int"])
+@pytest.mark.parametrize("local", [0, 1_000_000])
+def test_ids_of_any_type(spark, monkeypatch, kind, local):
+    monkeypatch.setattr(_components, "LOCAL_EDGES", local)
+    monkeypatch.setattr(nd, "BLOCK_BYTES", 8000)
+    monkeypatch.setattr(nd, "bands", lambda found: np.zeros((len(found), nd.REGISTERS // nd.ROWS), np.int64))
+    rows = [(100 + i, t) for i, t in corpus()[:40]]  # ids of equal length, so that they sort alike as strings
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")
+    found = nd.near_duplicates(docs)
+    assert found.schema["component_id"].dataType.simpleString() == kind
+    assert {(int(r.doc_id), r.n_shingles, int(r.component_id)) for r in found.collect()} == brute(rows)
+
+
 def test_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in nd.near_duplicates(docs).collect()) == [(0, 0, True), (0, 0, True), (1, 1, True)]

@@ -10,7 +10,8 @@ from corpusweft.llm import suffix_dedup as sd
 L = sd.LENGTH
 
 
-def brute(texts):
+def cuts(texts):
+    """(bytes, whether each byte goes) of each text."""
     texts = [(t or "").encode() for t in texts]
     found = defaultdict(list)
     for d, t in enumerate(texts):
@@ -21,8 +22,12 @@ def brute(texts):
         if len(places) > 1:
             for d, i in places:
                 cut[d][i : i + L] = True
+    return zip(texts, cut)
+
+
+def brute(texts):
     out = []
-    for t, c in zip(texts, cut):
+    for t, c in cuts(texts):
         kept = bytes(b for b, gone in zip(t, c) if not gone)
         out.append((len(t), int(c.sum()), int((np.diff(c.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
     return out
