@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..registry import query, table
 
-#: Sizes from which a table or heading counts as too large, and below which a plain chunk says too little.
-TABLE_CHARS, TABLE_ROWS, HEADING_CHARS, LOW_SIGNAL_CHARS, LOW_SIGNAL_TOKENS = 2200, 28, 60, 24, 2
-#: At most so many terms are looked for.
+#: As many terms as a search of the kind takes, unless its caller says otherwise.
 MAX_TERMS = 8
 
 
@@ -21,31 +19,14 @@ def json_long(column: str, path: str) -> Column:
     return F.get_json_object(column, path).try_cast("long")
 
 
-def any_term(columns: list[str], terms: list[str]) -> Column:
-    """Whether any column contains any of the terms, whatever the case; % and _ in a term mean themselves."""
-    clean = [t.lower() for t in terms[:MAX_TERMS] if t]
+def any_term(columns: list[str], terms: list[str], most: int = MAX_TERMS) -> Column:
+    """Whether any column contains any of the terms, whatever the case; % and _ in a term mean themselves. More than ``most`` terms are an error."""
+    clean = [t.lower() for t in terms if t]
+    if len(clean) > most:
+        raise ValueError(f"{len(clean)} terms, but at most {most} are looked for")
     return reduce(or_, (F.coalesce(F.lower(c).contains(t), F.lit(False)) for c in columns for t in clean), F.lit(False))
 
 
-def chunk_reasons(text: Column) -> Column:
-    """Why a chunk is not indexed: an array of reasons, empty for a good one."""
-    lines = F.split(text, "\n")
-    filled = F.filter(lines, lambda x: F.trim(x) != "")
-    rows = F.size(F.filter(lines, lambda x: x.contains("|")))
-    is_table = rows >= 2
-    plain = F.trim(text)
-    few = (F.length(plain) <= LOW_SIGNAL_CHARS) & (F.size(F.filter(F.split(plain, r"\s+"), lambda w: w != "")) <= LOW_SIGNAL_TOKENS)
-    heading = (F.size(filled) > 0) & F.forall(filled, lambda x: F.trim(x).startswith("#") & (F.length(F.trim(x)) <= HEADING_CHARS))
-    return F.array_compact(
-        F.array(
-            F.when(plain == "", F.lit("empty")),
-            F.when(heading, F.lit("heading_only")),
-            F.when(is_table & ((F.length(text) > TABLE_CHARS) | (rows > TABLE_ROWS)), F.lit("oversized_table")),
-            F.when((plain != "") & ~is_table & few, F.lit("low_signal_plain_fragment")),
-        )
-    )
-
-
 @query(
     """SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events
     WHERE event_type IN ('click', 'view', 'purchase') AND TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50"""
@@ -65,35 +46,6 @@ def term_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter(any_term(["text", "source"], ["idiot", "scum", "license", "@mail"])).select("doc_id", "source")
 
 
-@query(
-    r"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, trim(text, ' ') AS plain FROM documents),
-    e AS (SELECT *, list_filter(lines, lambda x: trim(x, ' ') <> '') AS filled, len(list_filter(lines, lambda x: contains(x, '|'))) AS n_rows FROM d),
-    r AS (SELECT doc_id, list_filter([
-      CASE WHEN plain = '' THEN 'empty' END,
-      CASE WHEN len(filled) > 0 AND len(list_filter(filled, lambda x: NOT (starts_with(trim(x, ' '), '#') AND length(trim(x, ' ')) <= 60))) = 0 THEN 'heading_only' END,
-      CASE WHEN n_rows >= 2 AND (length(text) > 2200 OR n_rows > 28) THEN 'oversized_table' END,
-      CASE WHEN plain <> '' AND n_rows < 2 AND length(plain) <= 24 AND len(list_filter(regexp_split_to_array(plain, '\s+'), lambda w: w <> '')) <= 2 THEN 'low_signal_plain_fragment' END
-    ], lambda x: x IS NOT NULL) AS reasons FROM e)
-    SELECT doc_id, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS indexable FROM r"""
-)
-def ingestion_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each chunk with the reasons that keep it out of the index."""
-    found = table(spark, sf_dir, "documents").select("doc_id", chunk_reasons(F.col("text")).alias("reasons"))
-    return found.select("doc_id", F.concat_ws(",", "reasons").alias("reasons"), (F.size("reasons") == 0).alias("indexable"))
-
-
-@query(
-    r"""SELECT doc_id, len(rows_) AS n_rows, coalesce(list_sum(list_transform(rows_, lambda x: len(string_split(x, '|')) - 1)), 0)::BIGINT AS n_bars,
-    len(regexp_extract_all(text, '[0-9]+'))::BIGINT AS n_numbers FROM (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: contains(x, '|')) AS rows_ FROM documents) WHERE len(rows_) > 0"""
-)
-def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, bars and numbers of documents that hold table rows."""
-    rows = F.filter(F.split("text", "\n"), lambda x: x.contains("|"))
-    bars = F.aggregate("rows", F.lit(0).cast("long"), lambda n, x: n + F.size(F.split(x, r"\|")) - 1)
-    found = table(spark, sf_dir, "documents").select("doc_id", "text", rows.alias("rows")).filter(F.size("rows") > 0)
-    return found.select("doc_id", F.size("rows").cast("long").alias("n_rows"), bars.alias("n_bars"), F.regexp_count("text", F.lit("[0-9]+")).cast("long").alias("n_numbers"))
-
-
 @query(
     """SELECT source, sum(length(text) - length(replace(text, 'tion', '')))::BIGINT // 4 AS n_tion, sum(CASE WHEN contains(lower(text), 'disgusting') THEN 1 ELSE 0 END)::BIGINT AS n_forbidden FROM documents GROUP BY source"""
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,3 +26,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shaped(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Rows of a statement in the SQL that Spark and DuckDB share, over tables written as {name}: test tables in an operator's shape."""
+    return spark.sql(sql, **{name: table(spark, sf_dir, name) for name in sorted(set(re.findall(r"\{(\w+)\}", sql)))})
+
+
+def plain(sql: str) -> str:
+    """The same statement for DuckDB."""
+    return re.sub(r"\{(\w+)\}", r"\1", sql)
