@@ -2,18 +2,49 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Tokens of a text that hybrid search looks at.
-MAX_TOKENS = 512
-#: Words of two characters or more, or runs of two ideographs or more.
-TOKEN = r"[\p{L}\p{N}_]{2,}"
+#: Words of letters, digits and a few signs, or runs of ideographs, of two characters or more; longer runs also give their pieces of two to four, from so many characters.
+TOKEN = r"[A-Za-z0-9_./+-]{2,}|[一-鿿]{2,}"
+PIECES, PIECES_FROM, PIECES_OF = (2, 3, 4), 4, 24
 PLACEHOLDER = r"\[[A-Z][a-z]+_[A-Z0-9]+\]"
 
 
-def tokens(text: Column) -> Column:
-    return F.slice(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0), 1, MAX_TOKENS)
+def tokens(text: Column, most: int | None = None) -> Column:
+    """Lower-cased tokens in order, each run of ideographs followed by its pieces; all of them, or the first ``most``."""
+
+    def pieces(token: Column) -> Column:
+        run = F.substring(token, 1, PIECES_OF)
+        cut = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - (size - 1), F.lit(1))), lambda i: F.substr(run, i, F.lit(size)))
+        return F.when(token.rlike("^[一-鿿]{4,}"), F.concat(F.array(token), *map(cut, PIECES))).otherwise(F.array(token))
+
+    found = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), 0), lambda t: pieces(F.lower(t))))
+    return found if most is None else F.slice(found, 1, most)
+
+
+#: The same tokens in DuckDB's SQL, of an expression.
+def sql_tokens(text: str, most: int | None = None) -> str:
+    cut = " || ".join(f"list_transform(range(1, greatest(length(substr(t, 1, {PIECES_OF})) - {size - 1}, 1) + 1), lambda i: substr(substr(t, 1, {PIECES_OF}), i, {size}))" for size in PIECES)
+    found = f"flatten(list_transform(list_transform(regexp_extract_all({text}, '{TOKEN}'), lambda t: lower(t)), lambda t: CASE WHEN regexp_matches(t, '^[一-鿿]{{4,}}') THEN [t] || {cut} ELSE [t] END))"
+    return found if most is None else f"list_slice({found}, 1, {most})"
+
+
+def python_tokens(text: str) -> list[str]:
+    """The same tokens of one text, for work inside tasks."""
+    out = []
+    for token in _TOKEN.findall(text):
+        token = token.lower()
+        out.append(token)
+        if token[0] >= "一" and len(token) >= PIECES_FROM:
+            run = token[:PIECES_OF]
+            out += [run[i : i + size] for size in PIECES for i in range(len(run) - size + 1)]
+    return out
+
+
+_TOKEN = re.compile(TOKEN)
 
 
 def estimated_tokens(text: Column) -> Column:
@@ -54,3 +85,25 @@ def joined_parts(*parts: Column) -> Column:
 def starts_path(parent: Column, child: Column) -> Column:
     """Whether an array is a strict prefix of another."""
     return (F.size(child) > F.size(parent)) & (F.slice(child, 1, F.size(parent)) == parent)
+
+
+def word_occurrences(text: Column, term: str) -> Column:
+    """How often a term occurs, whatever the case: a term of ASCII letters and digits only as a whole word."""
+    low = term.strip().lower()
+    if not low:
+        return F.lit(0).cast("long")
+    if re.fullmatch(r"[a-z0-9_./+-]+", low):
+        return F.regexp_count(F.lower(text), F.lit(rf"(?<![a-z0-9]){re.escape(low)}(?![a-z0-9])")).cast("long")
+    return occurrences(F.lower(text), low)
+
+
+def fallback_vector(text: Column, dimension: int = 64) -> Column:
+    """A vector of -1..1 from the bytes of the text's digest, repeated: a stand-in where no embedding model is at hand."""
+    digest = F.sha2(text, 256)
+    byte = lambda i: F.conv(F.substr(digest, 2 * (i % 32) + 1, F.lit(2)), 16, 10).cast("double")
+    return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: byte(i) / 255.0 * 2 - 1)
+
+
+def sql_fallback_vector(text: str, dimension: int = 64) -> str:
+    digit = lambda at: f"(instr('0123456789abcdef', substr(sha256({text}), {at}, 1)) - 1)"
+    return f"list_transform(range(0, {dimension}), lambda i: ({digit('2 * (i % 32) + 1')} * 16 + {digit('2 * (i % 32) + 2')})::DOUBLE / 255.0 * 2 - 1)"

@@ -2,19 +2,48 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..registry import query, table
 
+_WORD = re.compile(r"\w{2,}")
 #: A threshold is this quantile of healthy snapshots less the margin, from so many snapshots on.
 THRESHOLD_QUANTILE, THRESHOLD_MARGIN, LEAST_SNAPSHOTS = 0.2, 0.02, 3
 
 
-def recommended_threshold(value: Column, healthy: Column) -> Column:
-    kept = F.when(healthy, value)
-    return F.when(F.count(kept) >= LEAST_SNAPSHOTS, F.round(F.greatest(F.lit(0.0), F.percentile(kept, THRESHOLD_QUANTILE) - THRESHOLD_MARGIN), 4))
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(keys, n, q0, q1, ...): exact quantiles, interpolated at (n - 1) * share.
+
+    Equal values are counted before the shuffle, and only counts of distinct values are put in order; no task holds the values
+    of a key at once, since a key is spread over ranges of values and each range knows how many lie below it.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    spread = counted.withColumn("_part", F.floor(F.log2(F.abs(F.col("_v")) + 1e-12) * 8) * F.when(F.col("_v") < 0, F.lit(-1)).otherwise(F.lit(1)) + F.when(F.col("_v") < 0, F.lit(-100_000)).otherwise(F.lit(0)))
+    parts = spread.groupBy(*keys, "_part").agg(F.sum("_c").alias("_own"))
+    below = parts.withColumn("_below", F.sum("_own").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_own")).withColumn("_n", F.sum("_own").over(Window.partitionBy(*keys)))
+    placed = spread.join(below.drop("_own"), [*keys, "_part"])
+    upto = placed.withColumn("_to", F.col("_below") + F.sum("_c").over(Window.partitionBy(*keys, "_part").orderBy("_v")))
+    out = []
+    for i, q in enumerate(shares):
+        at = (F.col("_n") - 1) * F.lit(q)
+        low, high = F.floor(at), F.ceil(at)
+        holds = lambda place: (F.col("_to") > place) & (F.col("_to") - F.col("_c") <= place)
+        x, y = F.max(F.when(holds(low), F.col("_v"))), F.max(F.when(holds(high), F.col("_v")))
+        share = F.max(at) - F.max(low)
+        out.append((x + (y - x) * share).alias(f"q{i}"))
+    return upto.groupBy(*keys).agg(F.max("_n").alias("n"), *out)
+
+
+def recommended_threshold(quantile: Column, n_healthy: Column) -> Column:
+    """From the THRESHOLD_QUANTILE of healthy snapshots, once there are enough of them."""
+    return F.when(n_healthy >= LEAST_SNAPSHOTS, F.round(F.greatest(F.lit(0.0), quantile - THRESHOLD_MARGIN), 4))
 
 
 @query(
@@ -23,8 +52,10 @@ def recommended_threshold(value: Column, healthy: Column) -> Column:
 )
 def replay_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interpolated quantiles and the thresholds that they suggest."""
-    value = F.col("value")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.percentile(value, 0.2), 6).alias("q20"), F.round(F.percentile(value, 0.5), 6).alias("q50"), recommended_threshold(value, value > 1).alias("threshold"))
+    rows = table(spark, sf_dir, "events").select("event_type", "value")
+    every = quantiles(rows, ["event_type"], "value", [0.2, 0.5])
+    healthy = quantiles(rows.filter("value > 1"), ["event_type"], "value", [THRESHOLD_QUANTILE]).select("event_type", F.col("n").alias("n_healthy"), F.col("q0").alias("healthy"))
+    return every.join(healthy, "event_type", "left").select("event_type", "n", F.round("q0", 6).alias("q20"), F.round("q1", 6).alias("q50"), recommended_threshold(F.col("healthy"), F.col("n_healthy")).alias("threshold"))
 
 
 @query("SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY GROUPING SETS ((lang), (source), (lang, source), ())")
@@ -33,16 +64,48 @@ def library_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").cube("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
+def mined_terms(docs: DataFrame, group: str, known: list[str], least: int, most: int, example: str, examples: int = 3) -> DataFrame:
+    """(group, term, n, n_docs, examples, rank): the most frequent new words and pairs of neighbouring words, with the first places that hold them.
+
+    A batch counts its own terms first, so one row for each of its distinct terms goes on, and rows of a term are summed up
+    before the shuffle.
+    """
+    kinds = [docs.schema[c].dataType.simpleString() for c in (group, example)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, n_docs = Counter(), Counter()
+            for of, place, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                words = _WORD.findall((text or "").lower())
+                own = Counter(words)
+                own.update(map(" ".join, zip(words, words[1:])))
+                for term, times in own.items():
+                    n[of, place, term] += times
+                    n_docs[of, place, term] += 1
+            columns = [*zip(*n)] or [(), (), ()]
+            kept = batch.schema.field(0).type, batch.schema.field(1).type, pa.string()
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kept)), pa.array(list(n.values()), pa.int64()), pa.array([n_docs[k] for k in n], pa.int64())], names=["group", "example", "term", "n", "n_docs"])
+
+    found = docs.select(group, example, "text").mapInArrow(run, f"group {kinds[0]}, example {kinds[1]}, term string, n long, n_docs long")
+    rows = found.select(F.col("group").alias(group), F.col("example").alias(example), "term", "n", "n_docs").filter(~F.col("term").isin(*known))
+    counted = rows.groupBy(group, "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+    ranked = counted.filter(F.col("n") >= least).withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "term"))).filter(F.col("rank") <= most)
+    places = rows.join(F.broadcast(ranked.select(group, "term")), [group, "term"], "left_semi").select(group, "term", example).distinct()  # most terms a group
+    held = places.withColumn("k", F.row_number().over(Window.partitionBy(group, "term").orderBy(example))).filter(F.col("k") <= examples)
+    listed = held.groupBy(group, "term").agg(F.array_sort(F.collect_list(example)).alias("examples"))
+    return ranked.join(listed, [group, "term"]).select(group, "term", "n", "n_docs", "examples", "rank")
+
+
 @query(
-    r"""WITH t AS (SELECT lang, doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents), c AS (SELECT lang, term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM t WHERE term NOT IN ('the', 'de', 'der') GROUP BY 1, 2 HAVING count(*) >= 3),
-    r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rank FROM c) SELECT lang, term, n, n_docs, rank::INT AS rank FROM r WHERE rank <= 20"""
+    r"""WITH w AS (SELECT lang, source, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM documents), t AS (SELECT lang, source, doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM w),
+    c AS (SELECT lang, term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM t WHERE term NOT IN ('the', 'de', 'der') GROUP BY 1, 2 HAVING count(*) >= 3),
+    r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rank FROM c), e AS (SELECT lang, term, list_slice(list_sort(list(DISTINCT source)), 1, 3) AS examples FROM t GROUP BY 1, 2)
+    SELECT lang, term, n, n_docs, array_to_string(examples, ',') AS examples, rank::INT AS rank FROM r JOIN e USING (lang, term) WHERE rank <= 20"""
 )
 def term_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 most frequent new terms of each language, without those already known."""
-    words = table(spark, sf_dir, "documents").select("lang", "doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(T.TOKEN), 0)).alias("term")).filter(~F.col("term").isin("the", "de", "der"))
-    by_doc = words.groupBy("lang", "term", "doc_id").agg(F.count("*").alias("n"))  # two steps: counts first, distinct documents for free
-    counted = by_doc.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs")).filter("n >= 3")
-    return counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "term"))).filter("rank <= 20")
+    """The 20 most frequent new words and pairs of words of each language, without those already known, with the files that hold them."""
+    found = mined_terms(table(spark, sf_dir, "documents"), "lang", ["the", "de", "der"], 3, 20, "source")
+    return found.withColumn("examples", F.concat_ws(",", "examples"))
 
 
 @query("SELECT p_brand, p_type, count(DISTINCT p_size) AS n_values FROM part GROUP BY 1, 2 HAVING count(DISTINCT p_size) > 1")

@@ -8,9 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..registry import query, table
-from . import ranking
 
 #: Section types with their keywords, in order of precedence. A rule list like this is part of a configuration, a few rows long.
 RULES = [("interface", ["with", "avec", "mit"]), ("scope", ["that", "dans", "der"]), ("quality", ["tion", "ción"]), ("other", ["e"])]
@@ -49,23 +47,6 @@ def term_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("term", "doc_id", F.row_number().over(Window.partitionBy("term").orderBy("doc_id")).alias("rank")).filter("rank <= 3")
 
 
-@query(
-    rf"""WITH {ranking._BM25}, c AS (SELECT query_id, r.id, list_distinct(regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS q, list_distinct(regexp_extract_all(lower(x.text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS t, contains(x.text, b.text) AS exact, length(x.text) AS n
-    FROM r JOIN benchmark b ON b.item_id = r.query_id JOIN documents x ON x.doc_id = r.id WHERE rank <= 20)
-    SELECT query_id, id, round(0.5 * exact::INT + 0.3 * len(list_intersect(q, t)) / greatest(1, len(q)) - least(0.12, n / 100000.0), 6) AS rerank_score FROM c"""
-)
-def overlap_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates scored again by exact containment, shared words and length."""
-    found = ranking._sparse(spark, sf_dir, 20).select("query_id", "id")
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q_text"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(T.TOKEN), 0))
-    joined = found.join(asked, "query_id").join(docs, "id")
-    shared = F.size(F.array_intersect(words("q_text"), words("text"))) / F.greatest(F.lit(1), F.size(words("q_text")))
-    score = 0.5 * F.col("text").contains(F.col("q_text")).cast("int") + 0.3 * shared - F.least(F.lit(0.12), F.length("text") / 100000.0)
-    return joined.select("query_id", "id", F.round(score, 6).alias("rerank_score"))
-
-
 def excerpts(docs: DataFrame, max_chars: int, keywords: tuple[str, ...]) -> DataFrame:
     """(doc_id, excerpt): the best paragraphs that fit, in their order, with a mark where some are left out; the first always stays."""
 
