@@ -207,9 +207,9 @@ def equipment_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(cards(shaped(spark, sf_dir, _ENTRIES_SPARK).filter("equipment_type <> 'generic'"), "equipment_type", _EQUIPMENT), _EQUIPMENT)
 
 
-_MODULES = {"metal": ["BRASS", "STEEL", "COPPER", "TIN"], "economy": ["economy"], "odd": ["1 ", "3 ", "7 "], "none": ["zinc-free"]}
+_MODULES = {"bolts": ["bolt"], "rings": ["RING"], "cheap": ["economy", "promo"], "none": ["zinc-free"]}
 _MODULE = {"top_equipment_types": ("equipment_type", 4), "top_section_types": ("section_type", 4), "top_headings": ("heading", 6), "source_documents": ("file_name", 5)}
-_HELD = " UNION ALL ".join(f"SELECT *, '{k}' AS module_key FROM f WHERE {' OR '.join(f"contains(lower(text), '{w}')" for w in words)}" for k, words in _MODULES.items())
+_HELD = " UNION ALL ".join(f"SELECT *, '{k}' AS module_key FROM f WHERE {' OR '.join(f"contains(lower(text), '{w.lower()}')" for w in words)}" for k, words in _MODULES.items())
 
 
 @query(_sql_cards(f"WITH f AS ({plain(_ENTRIES_SQL)}) {_HELD}", "module_key", _MODULE))
@@ -286,10 +286,10 @@ def layer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part("layer").union(part("status")).union(part("item_type")).union(part("layer", "status"))
 
 
-@query(f"WITH {_SQL_FLAGS}, y AS (SELECT *, count(*) OVER () AS total FROM x WHERE contains(lower(concat_ws(' ', item_id, canonical_name)), 'steel')) SELECT item_id, item_type, canonical_name, status, total FROM y ORDER BY item_type, canonical_name, item_id LIMIT 20 OFFSET 10")
+@query(f"WITH {_SQL_FLAGS}, y AS (SELECT *, count(*) OVER () AS total FROM x WHERE contains(lower(concat_ws(' ', item_id, canonical_name)), 'ring')) SELECT item_id, item_type, canonical_name, status, total FROM y ORDER BY item_type, canonical_name, item_id LIMIT 20 OFFSET 10")
 def item_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of the items that hold a text, in order, with the number of all."""
-    found = listed(_items(spark, sf_dir), "steel", ["item_id", "canonical_name"], ["item_type", "canonical_name", "item_id"], 20, 10)
+    found = listed(_items(spark, sf_dir), "ring", ["item_id", "canonical_name"], ["item_type", "canonical_name", "item_id"], 20, 10)
     return found.select("item_id", "item_type", "canonical_name", "status", "total")
 
 
@@ -301,12 +301,12 @@ def published_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assets.join(ids, "id", "left_semi").select("p_partkey", "p_name")
 
 
-_CARDS = "SELECT s_suppkey AS card, 'file' || CAST(s_suppkey % 50 + 1 AS STRING) || ',file' || CAST(s_suppkey % 7 + 1 AS STRING) AS documents, 'PROMO,ECONOMY,Promo' AS sections, 'Brand#' || CAST(s_suppkey % 5 + 1 AS STRING) || CAST(s_suppkey % 5 + 1 AS STRING) AS equipment, 'steel,tin' AS terms FROM {supplier}"
+_CARDS = "SELECT s_suppkey AS card, 'file' || CAST(s_suppkey % 50 + 1 AS STRING) || ',file' || CAST(s_suppkey % 7 + 1 AS STRING) AS documents, 'PROMO,ECONOMY,Promo' AS sections, 'Brand#' || CAST(s_suppkey % 5 + 1 AS STRING) || CAST(s_suppkey % 5 + 1 AS STRING) AS equipment, 'ring,gear' AS terms FROM {supplier}"
 
 
 @query(
     f"""WITH e AS ({plain(_ENTRIES_SQL)}), c AS (SELECT card, string_split(documents, ',') AS documents, string_split(sections, ',') AS sections, string_split(equipment, ',') AS equipment, string_split(terms, ',') AS terms FROM ({plain(_CARDS)})),
-    p AS (SELECT card, entry, 4 * list_contains(documents, file_name)::INT + 3 * list_contains(sections, section_type)::INT + 2 * list_contains(equipment, equipment_type)::INT + (contains(lower(text), 'steel') OR contains(lower(text), 'tin'))::INT AS points FROM c, e),
+    p AS (SELECT card, entry, 4 * list_contains(documents, file_name)::INT + 3 * list_contains(sections, section_type)::INT + 2 * list_contains(equipment, equipment_type)::INT + (contains(lower(text), 'ring') OR contains(lower(text), 'gear'))::INT AS points FROM c, e),
     r AS (SELECT *, row_number() OVER (PARTITION BY card ORDER BY points DESC, entry) AS place FROM p WHERE points > 0) SELECT card, entry, points::BIGINT AS points, place::INT AS place FROM r WHERE place <= 6"""
 )
 def card_evidence_search(spark: SparkSession, sf_dir: str) -> DataFrame:

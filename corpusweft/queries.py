@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import registry
-from .operators import aggregates, chunking, dedupe, evaluation, joins, knowledge, masking, predicates, projections, ranking, taxonomy  # noqa: F401  they register their queries
+from .operators import aggregates, assets, chunking, dedupe, drafts, evaluation, joins, knowledge, masking, predicates, projections, ranking, taxonomy  # noqa: F401  they register their queries
 from .streaming import replay  # noqa: F401
 
 
