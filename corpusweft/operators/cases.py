@@ -38,7 +38,7 @@ def has(reasons: Column, *names: str) -> Column:
 
 
 def segments(path: Column) -> Column:
-    return F.filter(F.transform(F.split(path, " > "), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(path, " > "), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def is_below(child: Column, parent: Column) -> Column:
