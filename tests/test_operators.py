@@ -33,11 +33,32 @@ def test_masking_round_trip(spark):
     rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)] + [(2, 0, texts[1])], "session_id long, seq long, text string")
     got = {(r.session_id, r.seq): r for r in masking.masked(rows).collect()}
     assert got[1, 0].masked == "write to [Email_1] or [Email_2]"
-    assert got[1, 1].masked == "again [Email_1] from [Address_1], [Amount_1]"
+    assert got[1, 1].masked == "again [Email_1] from [Network_1], $1,200"
     assert got[2, 0].masked.startswith("again [Email_1]") and got[1, 2].masked is None
     assert all(masking.restore(r.masked, r.mapping) == (texts[s] if i == 1 else texts[1]) for (i, s), r in got.items())
 
 
+def test_masking_of_names_numbers_and_companies(spark):
+    text = "甲方上海电气集团，联系人张三，合同金额500万元，身份证号310101199001011234，联系电话13800138000，项目编号：AB-12 and 上海电气集团, 项目由国家电网公司负责。"
+    found = {(e, text[a:b]) for a, b, e in masking.spans(text)}
+    assert found >= {("COMPANY", "上海电气集团"), ("COMPANY", "国家电网公司"), ("PERSON", "张三"), ("AMOUNT", "500万元"), ("ID_CARD", "310101199001011234"), ("PHONE", "13800138000"), ("PROJECT_CODE", "AB-12")}
+    for t, name in {"本合同由上海电气集团签订。": "上海电气集团", "请联系上海电气集团项目组。": "上海电气集团", "项目由国家电网公司负责。": "国家电网公司"}.items():
+        assert [t[a:b] for a, b, e in masking.spans(t) if e == "COMPANY"] == [name]
+    rows = spark.createDataFrame([("s", i, t) for i, t in enumerate([text, "再付500万元和600万元, 上海电气集团", None])], "session_id string, seq int, text string")
+    got = {r.seq: r for r in masking.masked(rows).collect()}
+    assert "[Company_A]" in got[0].masked and "[Company_B]" in got[0].masked and got[1].masked == "再付[Amount_1]和[Amount_2], [Company_A]" and got[2].masked is None
+    back = masking.masked(rows).select("seq", masking.restored(F.col("masked"), F.col("mapping")).alias("t")).collect()
+    assert {r.seq: r.t for r in back} == {r.seq: r.text for r in rows.collect()}
+    assert [one(spark, masking.letters(F.lit(n))) for n in (1, 26, 27, 702, 703)] == ["A", "Z", "AA", "ZZ", "AAA"] and replay.token("COMPANY", 703) == "AAA" and replay.token("PHONE", 3) == "3"
+
+
+def test_dense_search_edges(spark):
+    points = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0]), ("c", None), ("d", [0.0, 0.0]), ("e", [2.0, 0.0])], "id string, vector array<float>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0]), ("n", None)], "query_id string, vector array<float>")
+    rows = sorted(ranking.dense_top_k(points, asked, 9).collect(), key=lambda r: r.rank)
+    assert [(r.query_id, r.id) for r in rows] == [("q", "a"), ("q", "b"), ("q", "e"), ("q", "d")] and rows[-1].score == 0
+
+
 def test_dense_search_in_blocks_gives_the_same(spark, monkeypatch):
     points = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "id long, vector array<float>")
     wanted = points.filter("id % 10 = 0").select(F.col("id").alias("query_id"), "vector")
@@ -61,6 +82,58 @@ def test_diff_counts_nulls_as_equal(spark):
     assert sorted(map(tuple, joins.diff(a, b, "k", ["s", "n"]).collect())) == [(2, "changed", "s"), (3, "removed", ""), (4, "added", "")]
 
 
+def test_repeated_paragraphs_match_a_plain_version(spark):
+    from difflib import SequenceMatcher
+
+    from corpusweft.operators import drafts
+
+    base = "the controller starts the motor after the cooling system reports that it is ready to run at full load "
+    parts = [base, base.replace("motor", "blower"), "short one", base * 2, "quite another paragraph about the delivery of documents and the training of staff on site", base.upper() + "!"]
+    text = "\n\n".join(parts)
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "draft_id long, text string")
+    flat = [" ".join(p.lower().split()) for p in parts]
+    want = [(1, i + 1, j + 1) for i in range(len(flat)) for j in range(i + 1, len(flat)) if min(len(flat[i]), len(flat[j])) >= 40 and SequenceMatcher(None, flat[i], flat[j]).ratio() >= 0.78]
+    assert [tuple(r)[:3] for r in drafts.repeated_paragraphs(rows, 99).collect()] == want
+    assert len(drafts.repeated_paragraphs(rows).collect()) == 2
+    left = {(r.draft_id, r.place) for r in drafts.without_duplicates(rows).collect()}
+    gone = {j for i in range(len(flat)) for j in range(i + 1, len(flat)) if min(len(flat[i]), len(flat[j])) >= 90 and SequenceMatcher(None, flat[i], flat[j]).ratio() >= 0.96}
+    assert left == {(1, i) for i in range(len(flat)) if i not in gone} and gone
+
+
+def test_chunks_sections_and_anchors(spark):
+    from corpusweft.operators import chunking
+
+    docs = spark.createDataFrame([(1, "# 1 Scope\n\nfirst\n\n# 2 Control\n\nsecond\n\n| a |\n| b |\n\nthird\n\n# 1 Scope\n\nagain"), (2, None), (3, "")], "doc_id long, text string")
+    chunks = chunking.chunked(docs)
+    rows = sorted(chunks.collect(), key=lambda r: r.chunk_index)
+    assert [(r.chunk_type, r.heading_path) for r in rows] == [("PLAIN", "1 Scope"), ("PLAIN", "2 Control"), ("TABLE", "2 Control"), ("PLAIN", "2 Control"), ("PLAIN", "1 Scope")]
+    sections = spark.createDataFrame([(1, 0, "1", "1 Scope", "1 Scope"), (1, 1, "2", "2 Control", "2 Control"), (1, 2, "3", "3 Scope", "3 Scope")], "doc_id long, place int, section_id string, title string, path string")
+    found = {r.chunk_index: r.section_id for r in chunking.matched_sections(chunks, sections).collect()}
+    assert found == {0: "1", 1: "2", 2: None, 3: None, 4: "3"}
+    anchors = {r.chunk_index: (r.section_id, r.match) for r in chunking.section_anchors(chunks, sections).collect()}
+    assert anchors[0] == ("1", "exact") and anchors[2] == ("2", "exact")
+    trees = spark.createDataFrame([(1, [("A", [("B", [("C", None)]), ("D", None)]), ("E", None)])], "id long, sections array<struct<title:string,children:array<struct<title:string,children:array<struct<title:string,children:array<struct<title:string>>>>>>>>")
+    flat = chunking.flattened(trees, "id").orderBy("order").collect()
+    assert [(r.title, r.level) for r in flat] == [("A", 1), ("B", 2), ("C", 3), ("D", 2), ("E", 1)]
+
+
+def test_vector_and_layer_writes(spark, tmp_path):
+    from corpusweft.operators import knowledge, materials
+
+    vectors = spark.createDataFrame([(1, "a", [1.0, 2.0]), (2, "a", [1.0]), (3, "b", [1.0])], "id long, channel string, vector array<float>")
+    materials.write_channels(vectors, str(tmp_path / "v"))
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "v")).collect()) == [1, 3]
+    items = spark.createDataFrame([(1, "auto_approved", True), (2, "rejected", False), (3, "review_required", False)], "id long, status string, ok boolean")
+    knowledge.write_layers(items, F.col("ok"), str(tmp_path / "w"))
+    assert sorted((r.layer, r.id) for r in spark.read.parquet(str(tmp_path / "w")).collect()) == [("draft", 1), ("draft", 2), ("draft", 3), ("published", 1), ("rejected", 2)]
+
+
+def test_snapshots_of_a_folder(spark, tmp_path):
+    for i, n in enumerate((5, 6)):
+        (tmp_path / f"s{i}.json").write_text(json.dumps({"project": {"id": f"p{i}"}, "summary": {"health": "healthy", "total_sections": n}}))
+    assert json_library.snapshots(spark, str(tmp_path)).count() == 2
+
+
 def test_json_library(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"entries": [{"sample_id": "s", "heading_count": 2, "top_level_titles": ["t"]}, {"file_name": "f"}]}))
     rows = json_library.entries(spark, str(tmp_path / "a.json"), json_library.OUTLINE).collect()
