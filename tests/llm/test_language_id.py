@@ -48,3 +48,59 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "the", None, "s")], "doc_id long, text string, lang string, source string")
     assert li.identified(docs).first().lang_pred == "und"
     assert li.identified(docs.limit(0)).count() == 0
+
+
+def test_scores_match_a_plain_model(spark):
+    """FTRL over dicts of n-grams, the temperature and the scores, written plainly, on the same documents."""
+    import math
+    import zlib
+    from collections import Counter, defaultdict
+
+    rows = list(documents(160))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+    def features(text):
+        owner, feature, n, total = li.counts_of([text.encode()])  # n-grams themselves are held against a plain loop above
+        return dict(zip(feature.tolist(), n.tolist())), int(total[0])
+
+    learn = [(i, t, lang) for i, t, lang, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    counted = {i: features(t) for i, t, _ in learn}
+    df = Counter(f for own, _ in counted.values() for f in own)
+    idf = lambda f: math.log((1 + len(learn)) / (1 + df.get(f, 0))) + 1
+    keys = {r.doc_id: r.key for r in docs.selectExpr("doc_id", "xxhash64(cast(doc_id as string), text, 'sample') as key").collect()}
+    languages = sorted({lang for _, _, lang in learn})
+    train, hold = [], []
+    for k, (i, _, lang) in enumerate(sorted(learn, key=lambda r: (keys[r[0]], r[2]))):
+        own, total = counted[i]
+        values = {f: n / total * idf(f) * li.SCALE for f, n in own.items()} | {"bias": 1.0}
+        (hold if k % 5 == 0 else train).append((values, languages.index(lang)))
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f, c):
+        a = z[f, c]
+        return 0.0 if abs(a) <= li.L1 else (math.copysign(li.L1, a) - a) / ((li.BETA + math.sqrt(n[f, c])) / li.ALPHA + li.L2)
+
+    def chances(values, divisor=1.0):
+        logits = [sum(v * weight(f, c) for f, v in values.items()) / divisor for c in range(len(languages))]
+        e = [math.exp(x - max(logits)) for x in logits]
+        return [x / sum(e) for x in e]
+
+    order = np.random.default_rng(7)
+    for _ in range(li.EPOCHS):
+        for k in order.permutation(len(train)):
+            values, label = train[k]
+            p = chances(values)
+            for c in range(len(languages)):
+                error = p[c] - (c == label)
+                for f, v in values.items():
+                    g, w = v * error, weight(f, c)
+                    grown = n[f, c] + g * g
+                    z[f, c] += g - (math.sqrt(grown) - math.sqrt(n[f, c])) / li.ALPHA * w
+                    n[f, c] = grown
+    loss = lambda t: -sum(math.log(max(chances(v, t)[c], 1e-12)) for v, c in hold) / len(hold)
+    t = min(np.geomspace(0.05, 20, 121).tolist(), key=loss)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in li.identified(docs).collect()}
+    for i, text, _, _ in rows[:60]:
+        own, total = features(text)
+        p = chances({f: m / total * idf(f) * li.SCALE for f, m in own.items()} | {"bias": 1.0}, t)
+        assert got[i][0] == languages[int(np.argmax(p))] and abs(got[i][1] - max(p)) < 2e-3
