@@ -52,7 +52,7 @@ def heading_issues(title: Column, text: Column) -> Column:
 
 def body(text: Column) -> Column:
     """The text without headings and lines of placeholders, cut at blank lines: array<string> of paragraphs."""
-    kept = F.filter(C.lines(text), lambda x: ~C.stripped(x).rlike(r"^#{2,6}\s+\S") & ~x.rlike(ASSET))
+    kept = F.filter(C.lines(F.coalesce(text, F.lit(""))), lambda x: ~C.stripped(x).rlike(r"^#{2,6}\s+\S") & ~x.rlike(ASSET))
     joined = F.array_join(F.transform(kept, lambda x: F.when(C.stripped(x) == "", F.lit("")).otherwise(F.rtrim(x))), "\n")
     return F.filter(F.transform(F.split(joined, r"\n\s*\n"), C.stripped), lambda p: p != "")
 
