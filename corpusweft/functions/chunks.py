@@ -28,6 +28,11 @@ TABLE_CHARS, TABLE_ROWS, HEADING_CHARS, FURNITURE_CHARS, FRONT_CHUNKS, FIGURE_CH
 GARBLED_SHARE, CELL_SHARE, CELL_CHARS = 0.12, 0.25, 8
 
 
+def once(value: Column, formula) -> Column:
+    """A formula over a value that is worked out once, however often the formula names it."""
+    return F.transform(F.array(value), formula)[0]
+
+
 def flat(text: Column) -> Column:
     """White space collapsed to single spaces."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -59,36 +64,37 @@ def _garbled_cell(cell: Column) -> Column:
 
 def table_profile(text: Column) -> Column:
     """struct<profile, confidence, n_rows, n_columns, numeric_ratio, unit_hits, garbled_ratio, header, flags>."""
-    rows = table_rows(text)
-    counted = F.transform(
-        F.array(rows),
-        lambda r: F.struct(
-            F.size(r).alias("n_rows"),
-            F.coalesce(F.array_max(F.transform(r, F.size)), F.lit(0)).alias("n_columns"),
-            F.filter(F.flatten(r), lambda c: c != "").alias("cells"),
-            F.when(F.size(r) > 0, F.slice(F.get(r, F.lit(0)), 1, 8)).otherwise(F.array().cast("array<string>")).alias("header"),
-        ),
-    )[0]
-    cells, header = counted["cells"], counted["header"]
-    n = F.greatest(F.size(cells), F.lit(1))
-    hits = lambda test: F.size(F.filter(cells, test))
-    numeric, units, garbled = hits(lambda c: c.rlike(NUMBER)) / n, hits(lambda c: c.rlike(UNIT)), hits(_garbled_cell) / n
-    spec = F.exists(header, lambda c: c.rlike(SPEC_HEADER))
-    empty, bad = counted["n_rows"] == 0, garbled >= GARBLED_SHARE
-    matrix = (counted["n_rows"] >= 10) & (numeric >= 0.3)
-    sheet = (units >= 2) | spec
-    flags = F.array_compact(
-        F.array(
-            F.when(empty, F.lit("empty_or_unparsed_table")),
-            F.when(bad, F.lit("garbled_cells")),
-            F.when(units >= 2, F.lit("unit_dense")),
-            F.when(numeric >= 0.35, F.lit("numeric_dense")),
-            F.when(spec, F.lit("spec_headers")),
-        )
+    counted = lambda r: F.struct(
+        F.size(r).alias("n_rows"),
+        F.coalesce(F.array_max(F.transform(r, lambda row: F.size(row))), F.lit(0)).alias("n_columns"),
+        F.filter(F.flatten(r), lambda c: c != "").alias("cells"),
+        F.when(F.size(r) > 0, F.slice(F.get(r, F.lit(0)), 1, 8)).otherwise(F.array().cast("array<string>")).alias("header"),
     )
-    name = F.when(empty, F.lit("sparse_lookup")).when(bad, F.lit("garbled_table")).when(matrix, F.lit("parameter_matrix")).when(sheet, F.lit("spec_sheet")).otherwise(F.lit("sparse_lookup"))
-    sure = F.when(empty, F.lit(0.45)).when(bad, F.least(F.lit(0.96), 0.58 + garbled)).when(matrix, F.lit(0.84)).when(sheet, F.lit(0.77)).otherwise(F.lit(0.69))
-    return F.struct(name.alias("profile"), sure.alias("confidence"), counted["n_rows"].alias("n_rows"), counted["n_columns"].alias("n_columns"), numeric.alias("numeric_ratio"), units.alias("unit_hits"), garbled.alias("garbled_ratio"), header.alias("header"), flags.alias("flags"))
+
+    def measured(k: Column) -> Column:
+        n = F.greatest(F.size(k["cells"]), F.lit(1))
+        hits = lambda test: F.size(F.filter(k["cells"], test))
+        return F.struct(k["n_rows"].alias("n_rows"), k["n_columns"].alias("n_columns"), k["header"].alias("header"), (hits(lambda c: c.rlike(NUMBER)) / n).alias("numeric"), hits(lambda c: c.rlike(UNIT)).alias("units"), (hits(_garbled_cell) / n).alias("garbled"), F.exists(k["header"], lambda c: c.rlike(SPEC_HEADER)).alias("spec"))
+
+    def named(m: Column) -> Column:
+        numeric, units, garbled, spec = m["numeric"], m["units"], m["garbled"], m["spec"]
+        empty, bad = m["n_rows"] == 0, garbled >= GARBLED_SHARE
+        matrix = (m["n_rows"] >= 10) & (numeric >= 0.3)
+        sheet = (units >= 2) | spec
+        flags = F.array_compact(
+            F.array(
+                F.when(empty, F.lit("empty_or_unparsed_table")),
+                F.when(bad, F.lit("garbled_cells")),
+                F.when(units >= 2, F.lit("unit_dense")),
+                F.when(numeric >= 0.35, F.lit("numeric_dense")),
+                F.when(spec, F.lit("spec_headers")),
+            )
+        )
+        name = F.when(empty, F.lit("sparse_lookup")).when(bad, F.lit("garbled_table")).when(matrix, F.lit("parameter_matrix")).when(sheet, F.lit("spec_sheet")).otherwise(F.lit("sparse_lookup"))
+        sure = F.when(empty, F.lit(0.45)).when(bad, F.least(F.lit(0.96), 0.58 + garbled)).when(matrix, F.lit(0.84)).when(sheet, F.lit(0.77)).otherwise(F.lit(0.69))
+        return F.struct(name.alias("profile"), sure.alias("confidence"), m["n_rows"].alias("n_rows"), m["n_columns"].alias("n_columns"), numeric.alias("numeric_ratio"), units.alias("unit_hits"), garbled.alias("garbled_ratio"), m["header"].alias("header"), flags.alias("flags"))
+
+    return once(once(once(table_rows(text), counted), measured), named)
 
 
 def is_formula(text: Column) -> Column:
@@ -124,14 +130,18 @@ def is_low_signal(text: Column, heading: Column) -> Column:
     body = F.array_join(F.filter(F.transform(F.when(F.size(own) > 0, own).otherwise(filled), without_marks), lambda x: x != ""), " ")
     title = without_marks(heading)
     both = stripped(F.concat_ws(" ", F.nullif(title, F.lit("")), F.nullif(body, F.lit(""))))
-    visible = F.length(F.regexp_replace(both, r"\s", ""))
-    cyrillic = F.length(F.regexp_replace(both, "[^Ѐ-ӿ]", ""))
-    return (
-        (visible == 0)
-        | ((cyrillic / F.greatest(visible, F.lit(1)) >= 0.12) & (visible <= 40))
-        | (F.lower(body).isin(*STOP_WORDS) & (F.length(title) <= 20))
-        | ((visible <= 24) & (F.regexp_count(both, F.lit(WORD)) <= 2) & ~both.rlike("[一-鿿]{2,}"))
-    )
+    parts = F.struct(F.length(F.regexp_replace(both, r"\s", "")).alias("visible"), body.alias("body"), title.alias("title"), both.alias("both"))
+
+    def judged(x: Column) -> Column:
+        cyrillic = F.length(F.regexp_replace(x["both"], "[^Ѐ-ӿ]", ""))
+        return (
+            (x["visible"] == 0)
+            | ((x["visible"] <= 40) & (cyrillic / F.greatest(x["visible"], F.lit(1)) >= 0.12))
+            | ((F.length(x["body"]) <= 5) & F.lower(x["body"]).isin(*STOP_WORDS) & (F.length(x["title"]) <= 20))
+            | ((x["visible"] <= 24) & (F.regexp_count(x["both"], F.lit(WORD)) <= 2) & ~x["both"].rlike("[一-鿿]{2,}"))
+        )
+
+    return once(parts, judged)
 
 
 def is_numeric_fragment(profile: Column, heading: Column) -> Column:
@@ -143,15 +153,14 @@ def is_numeric_fragment(profile: Column, heading: Column) -> Column:
 
 def noise_reasons(text: Column, kind: Column, heading: Column) -> Column:
     """Why a chunk is noise: empty, a low-signal plain fragment, a garbled table or a piece of numbers."""
-    profile = table_profile(stripped(text))
+    of_table = lambda p: F.when(p["profile"] == "garbled_table", F.lit("garbled_table_fragment")).when(is_numeric_fragment(p, heading), F.lit("numeric_table_fragment"))
     plain, table = F.coalesce(F.upper(kind), F.lit("PLAIN")) == "PLAIN", F.upper(kind) == "TABLE"
     empty = stripped(text) == ""
     return F.array_compact(
         F.array(
             F.when(empty, F.lit("empty_chunk")),
             F.when(~empty & plain & is_low_signal(stripped(text), heading), F.lit("low_signal_plain_fragment")),
-            F.when(~empty & table & (profile["profile"] == "garbled_table"), F.lit("garbled_table_fragment")),
-            F.when(~empty & table & is_numeric_fragment(profile, heading), F.lit("numeric_table_fragment")),
+            F.when(~empty & table, once(table_profile(stripped(text)), of_table)),
         )
     )
 
