@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._batches import Numbers, bounded_batches, checkpointed, ends_of, lengths, ragged, texts_as_bytes
+from .bpe import LONG_SLICE, NONE, Vocabulary
 
 TOKENS = 2048
 END_ID = 0
@@ -41,10 +43,14 @@ BREAK = b"\xff"
 #: Put between words that are encoded together: a control character, which is a token of its own; words that hold one are encoded apart.
 FENCE = "\x01"
 TOGETHER = 256
-#: So many different words are remembered with their ids before a task starts anew.
-CACHE_WORDS = 300_000
+#: ASCII punctuation; between it and an ASCII letter or digit before it there is always an edge of tokens.
+PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+#: Words with this may hold special tokens, which depend on case.
+SPECIAL = b"<|"
+#: So many different words are remembered with their ids before a worker starts anew.
+CACHE_WORDS = 600_000
 #: Pieces of one length and salt, about: what one task numbers in order.
-PER_SALT = 200_000
+PER_SALT = 1_000
 
 
 @dataclass(frozen=True)
@@ -58,6 +64,48 @@ class Capacity:
     rule: str = "norm"  # or "dot"
 
 
+class Ragged:
+    """Lists of ids that grows at its end."""
+
+    def __init__(self, flat: np.ndarray, counts: np.ndarray) -> None:
+        self.flat, self.counts, self.starts = flat, counts, ends_of(counts)[:-1]
+
+    def extend(self, flat: np.ndarray, counts: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.flat) + ends_of(counts)[:-1]])
+        self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
+
+    def of(self, which: np.ndarray) -> np.ndarray:
+        """The ids of the given lists, one after the other."""
+        return self.flat[ragged(self.starts[which], self.counts[which])]
+
+
+class WordMerges(Vocabulary):
+    """The merges of words of a-z alone, many words at once; a word's last letter is written in upper case, as it is a symbol of its own."""
+
+    LONGEST = LONG_SLICE
+
+    def __init__(self, tokenizer) -> None:
+        model = json.loads(tokenizer.to_str())["model"]
+        vocabulary, end = model["vocab"], model["end_of_word_suffix"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        values = np.array([vocabulary[a + b] for a, b in pairs], np.int32)
+        if (np.diff(values) <= 0).any():
+            raise ValueError("ids do not rise with the rank of merges")
+        self.ranks = {}  # no shortcut for whole words
+        self.single = np.zeros(256, np.int32)
+        for letter in "abcdefghijklmnopqrstuvwxyz":
+            self.single[ord(letter)], self.single[ord(letter.upper())] = vocabulary[letter], vocabulary[letter + end]
+        keys = np.array([vocabulary[a] << 32 | vocabulary[b] for a, b in pairs], np.uint64)
+        slot = self._slot(keys)
+        order = np.argsort(slot, kind="stable")
+        self.keys, self.values = np.append(keys[order], np.uint64(2**64 - 1)), np.append(values[order], NONE)
+        counts = np.bincount(slot, minlength=1 << 20)
+        self.first, self.most = ends_of(counts).astype(np.int32), int(counts.max())
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return self.encode_slices([w[:-1] + w[-1:].upper() for w in words])
+
+
 class WordEncoder:
     """Ids of texts, word by word: white space ends every token, so words can be encoded apart and remembered."""
 
@@ -67,25 +115,59 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.fence = self._ids(FENCE)
+        self.merges = WordMerges(self.tokenizer)
         self._forget()
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words, number of ids of each): many words a call, as a call costs more than a word."""
+    def _together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each) by the tokenizer: many words a call, as a call costs more than a word."""
+        words = [w.decode() for w in words]
         if len(self.fence) != 1 or any(FENCE in word for word in words):
             each = [self._ids(word) for word in words]
             return np.fromiter(itertools.chain.from_iterable(each), np.uint32), lengths(each)
         texts = [f" {FENCE} ".join([*words[at : at + TOGETHER], ""]) for at in range(0, len(words), TOGETHER)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))])
         fences = np.flatnonzero(ids == self.fence[0])
         return np.delete(ids, fences), np.diff(fences, prepend=-1) - 1
 
+    def _parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, words of a-z alone by the library's own merging, others by the tokenizer."""
+        easy = np.fromiter((p.isalpha() and p.islower() and len(p) <= WordMerges.LONGEST for p in parts), bool, len(parts))
+        own = [self.merges.encode_words(list(itertools.compress(parts, easy))), self._together(list(itertools.compress(parts, ~easy)))]
+        both = Ragged(np.concatenate([ids for ids, _ in own]).astype(np.uint32), np.concatenate([counts for _, counts in own]))
+        where = np.argsort(np.argsort(~easy, kind="stable"), kind="stable")
+        return both.of(where), both.counts[where]
+
     def _forget(self) -> None:
-        self.numbers = Numbers()
+        self.numbers, self.parts = Numbers(), Numbers()
         self.numbers[BREAK] = 0
-        self.flat, self.starts, self.counts = np.array([END_ID], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.words = Ragged(np.array([END_ID], np.uint32), np.ones(1, np.int64))
+        self.of_parts = Ragged(np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode words not met before, from their stems (in lower case) and tails of punctuation, of which there are fewer."""
+        flat, sizes = [], []
+        number, known = self.parts.__getitem__, len(self.parts)
+        for word in words:
+            stem = word.rstrip(PUNCTUATION)
+            if SPECIAL in word or not stem[-1:].isalnum():
+                stem = word
+            elif len(stem) < len(word):
+                flat.append(number(word[len(stem) :]))
+            sizes.append(len(flat))
+            flat.append(number(stem.lower() if stem.isascii() and SPECIAL not in stem else stem))
+        self.of_parts.extend(*self._parts(list(itertools.islice(self.parts, known, None))))
+        stems = np.array(sizes)
+        flat = np.array(flat)
+        tail = np.diff(stems, prepend=-1) > 1  # a tail stands before its stem
+        order = np.arange(len(flat))
+        order[stems[tail]], order[stems[tail] - 1] = stems[tail] - 1, stems[tail]
+        flat = flat[order]
+        counts = self.of_parts.counts[flat]
+        own = counts[stems - tail] + np.where(tail, counts[stems], 0)
+        self.words.extend(self.of_parts.of(flat), own)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id; 0 and where each text's ids end)."""
@@ -95,12 +177,9 @@ class WordEncoder:
         known = len(self.numbers)
         which = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         if len(self.numbers) > known:
-            ids, sizes = self._words([w.decode() for w in itertools.islice(self.numbers, known, None)])
-            self.starts = np.concatenate([self.starts, len(self.flat) + ends_of(sizes)[:-1]])
-            self.flat, self.counts = np.concatenate([self.flat, ids]), np.concatenate([self.counts, sizes])
-        counts = self.counts[which]
-        ends = ends_of(counts)[1:][which == 0]
-        return self.flat[ragged(self.starts[which], counts)], np.concatenate([[0], ends])
+            self._learn(list(itertools.islice(self.numbers, known, None)))
+        ends = ends_of(self.words.counts[which])[1:][which == 0]
+        return self.words.of(which), np.concatenate([[0], ends])
 
 
 @functools.cache
@@ -175,12 +254,13 @@ def planned(counts: dict[int, int], capacity: Capacity) -> np.ndarray:
     return np.array(rows, np.int64).reshape(-1, 5)
 
 
-def ranked(found: DataFrame, id_column: str, total: int) -> DataFrame:
-    """The pieces with their rank (from 0) within their length."""
-    salts = -(-total // PER_SALT) or 1
-    salted = found.withColumn("salt", F.pmod(F.xxhash64(id_column, "piece", "ids_crc32"), F.lit(salts)))
-    counts = salted.groupBy("length", "salt").count()
-    before = counts.select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))
+def ranked(found: DataFrame, id_column: str, counts: dict[int, int]) -> DataFrame:
+    """The pieces with their rank (from 0) within their length; counts: of each length."""
+    parts = found.sparkSession.createDataFrame([(length, -(-n // PER_SALT)) for length, n in counts.items()], "length long, salts long")
+    salt = F.pmod(F.xxhash64(id_column, "piece", "ids_crc32"), F.col("salts"))
+    salted = found.join(F.broadcast(parts), "length").withColumn("salt", salt).drop("salts")  # a row a length at most
+    own = salted.groupBy("length", "salt").count()
+    before = own.select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))
     inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy(id_column, "piece", "ids_crc32")) - 1
     return salted.withColumn("inside", inside).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("inside")).drop("salt", "before", "inside")
 
@@ -191,7 +271,7 @@ def pack(found: DataFrame, capacity: Capacity = Capacity(), id_column: str = "do
     plan = planned(counts, capacity)
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
     lead = np.searchsorted(plan[:, 0], np.arange(capacity.tokens + 2))  # where a length's rows begin
-    placed = ranked(found, id_column, sum(counts.values()))
+    placed = ranked(found, id_column, counts)
     columns = [c for c in placed.columns if c != "rank"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
