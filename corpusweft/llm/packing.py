@@ -43,10 +43,8 @@ BREAK = b"\xff"
 #: Put between words that are encoded together: a control character, which is a token of its own; words that hold one are encoded apart.
 FENCE = "\x01"
 TOGETHER = 256
-#: ASCII punctuation; between it and an ASCII letter or digit before it there is always an edge of tokens.
-PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-#: Words with this may hold special tokens, which depend on case.
-SPECIAL = b"<|"
+#: Classes of bytes: ASCII letters, and ASCII punctuation. Between a letter and punctuation after it there is always an edge of tokens.
+LETTERS, PUNCTUATION = (np.array([c < 128 and test(chr(c)) for c in range(256)]) for test in (str.isalpha, lambda c: c.isprintable() and not c.isalnum() and c != " "))
 #: So many different words are remembered with their ids before a worker starts anew.
 CACHE_WORDS = 600_000
 #: Pieces of one length and salt, about: what one task numbers in order.
@@ -60,7 +58,7 @@ class Capacity:
     tokens: int = TOKENS
     documents: int = TOKENS
     attention: int = TOKENS * TOKENS
-    weights: tuple[float, float, float] = (1.0, 0.05, 0.05)
+    weights: tuple[float, float, float] | None = None  # None: by how scarce each is, the corpus' demand over the capacity
     rule: str = "norm"  # or "dot"
 
 
@@ -80,9 +78,7 @@ class Ragged:
 
 
 class WordMerges(Vocabulary):
-    """The merges of words of a-z alone, many words at once; a word's last letter is written in upper case, as it is a symbol of its own."""
-
-    LONGEST = LONG_SLICE
+    """The merges of words of a-z alone, many words at once; a word's last letter is given in upper case, as it is a symbol of its own."""
 
     def __init__(self, tokenizer) -> None:
         model = json.loads(tokenizer.to_str())["model"]
@@ -102,9 +98,6 @@ class WordMerges(Vocabulary):
         counts = np.bincount(slot, minlength=1 << 20)
         self.first, self.most = ends_of(counts).astype(np.int32), int(counts.max())
 
-    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return self.encode_slices([w[:-1] + w[-1:].upper() for w in words])
-
 
 class WordEncoder:
     """Ids of texts, word by word: white space ends every token, so words can be encoded apart and remembered."""
@@ -132,42 +125,40 @@ class WordEncoder:
         fences = np.flatnonzero(ids == self.fence[0])
         return np.delete(ids, fences), np.diff(fences, prepend=-1) - 1
 
-    def _parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The same, words of a-z alone by the library's own merging, others by the tokenizer."""
-        easy = np.fromiter((p.isalpha() and p.islower() and len(p) <= WordMerges.LONGEST for p in parts), bool, len(parts))
-        own = [self.merges.encode_words(list(itertools.compress(parts, easy))), self._together(list(itertools.compress(parts, ~easy)))]
-        both = Ragged(np.concatenate([ids for ids, _ in own]).astype(np.uint32), np.concatenate([counts for _, counts in own]))
-        where = np.argsort(np.argsort(~easy, kind="stable"), kind="stable")
-        return both.of(where), both.counts[where]
-
     def _forget(self) -> None:
-        self.numbers, self.parts = Numbers(), Numbers()
+        self.numbers, self.tails = Numbers(), Numbers()
         self.numbers[BREAK] = 0
         self.words = Ragged(np.array([END_ID], np.uint32), np.ones(1, np.int64))
-        self.of_parts = Ragged(np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        self.of_tails = Ragged(np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     def _learn(self, words: list[bytes]) -> None:
-        """Encode words not met before, from their stems (in lower case) and tails of punctuation, of which there are fewer."""
-        flat, sizes = [], []
-        number, known = self.parts.__getitem__, len(self.parts)
-        for word in words:
-            stem = word.rstrip(PUNCTUATION)
-            if SPECIAL in word or not stem[-1:].isalnum():
-                stem = word
-            elif len(stem) < len(word):
-                flat.append(number(word[len(stem) :]))
-            sizes.append(len(flat))
-            flat.append(number(stem.lower() if stem.isascii() and SPECIAL not in stem else stem))
-        self.of_parts.extend(*self._parts(list(itertools.islice(self.parts, known, None))))
-        stems = np.array(sizes)
-        flat = np.array(flat)
-        tail = np.diff(stems, prepend=-1) > 1  # a tail stands before its stem
-        order = np.arange(len(flat))
-        order[stems[tail]], order[stems[tail] - 1] = stems[tail] - 1, stems[tail]
-        flat = flat[order]
-        counts = self.of_parts.counts[flat]
-        own = counts[stems - tail] + np.where(tail, counts[stems], 0)
-        self.words.extend(self.of_parts.of(flat), own)
+        """Encode words not met before: ASCII letters before an optional tail of punctuation by the library's own merging, others by the tokenizer."""
+        raw = np.frombuffer(BREAK.join([*words, b""]), np.uint8)
+        ends = np.flatnonzero(raw == BREAK[0])
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        others, beyond = (np.flatnonzero(~table[raw]) for table in (LETTERS, PUNCTUATION))
+        middle = others[np.searchsorted(others, starts)]  # where a word's first letters end
+        plain = (middle > starts) & (beyond[np.searchsorted(beyond, middle)] == ends) & (middle - starts <= LONG_SLICE)
+        low = np.where(LETTERS[raw], raw | 0x20, raw)
+        low[middle[plain] - 1] &= 0xDF
+        sizes = (middle - starts)[plain] + 1
+        stems = low[ragged(starts[plain], sizes)]
+        stems[np.cumsum(sizes) - 1] = BREAK[0]
+        tailed = np.flatnonzero(plain & (middle < ends))
+        known = len(self.tails)
+        tails = np.fromiter((self.tails[words[i][k:]] for i, k in zip(tailed.tolist(), (middle - starts)[tailed].tolist())), np.int64, len(tailed))
+        if len(self.tails) > known:
+            self.of_tails.extend(*self._together(list(itertools.islice(self.tails, known, None))))
+        rest = np.flatnonzero(~plain)
+        parts = [self.merges.encode_slices(stems.tobytes().split(BREAK)[:-1]), self._together([words[i] for i in rest])]
+        pool = Ragged(np.concatenate([*(ids.astype(np.uint32) for ids, _ in parts), self.of_tails.flat]), np.concatenate([*(counts for _, counts in parts), self.of_tails.counts]))
+        which = np.full((len(words), 2), -1)
+        which[plain, 0] = np.arange(len(sizes))
+        which[rest, 0] = len(sizes) + np.arange(len(rest))
+        which[tailed, 1] = len(words) + tails
+        counts = pool.counts[which[:, 0]]
+        counts[tailed] += self.of_tails.counts[tails]
+        self.words.extend(pool.of(which[which >= 0]), counts)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id; 0 and where each text's ids end)."""
@@ -220,7 +211,9 @@ def planned(counts: dict[int, int], capacity: Capacity) -> np.ndarray:
     Sequences with equal contents stay together as ranges; a step fills a whole range or uses a length up.
     """
     full = np.array([capacity.tokens, capacity.documents, capacity.attention], np.int64)
-    weights = np.array(capacity.weights)
+    lengths_, numbers = (np.array(list(v), np.float64) for v in (counts.keys(), counts.values()))
+    demands = np.array([lengths_ @ numbers, numbers.sum(), lengths_**2 @ numbers]) / full
+    weights = np.array(capacity.weights) if capacity.weights else demands / max(demands.max(), 1e-300)
     room = np.zeros((0, 3), np.int64)  # of each open range
     first, number = np.zeros(0, np.int64), np.zeros(0, np.int64)
     rows, sequences, order = [], 0, sorted(counts, reverse=True)
