@@ -40,7 +40,7 @@ MOST = 2000
 UNKNOWN = "und"
 ROWS, CELL_BITS, SLICE_BITS = 2, 26, 20
 #: Texts of so many bytes are counted together before their counts leave a task.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 #: Letters to lower case, ends of pieces to full stops, tabs to spaces.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"." * 9 + b" ")
 STOP = b"."
