@@ -110,31 +110,6 @@ def repeated_paragraphs(drafts: DataFrame, most: int = 2) -> DataFrame:
     return rows.mapInArrow(run, f"draft_id {kind}, first int, second int, similarity double")
 
 
-def without_duplicates(drafts: DataFrame) -> DataFrame:
-    """(draft_id, place, paragraph) of the long paragraphs of a project's drafts that nearly repeat none before them.
-
-    Equal ones go first, by a hash. What is left meets only paragraphs that share one of its rarest pieces of eight characters:
-    two texts that are as similar as DUPLICATE share most pieces, so this blocks without a list of all pairs.
-    """
-    parts = drafts.select("draft_id", F.posexplode(body(F.col("text"))).alias("place", "paragraph")).withColumn("p", plain_similarity(F.col("paragraph"))).withColumn("key", F.sha2("p", 256))
-    first = parts.filter(F.length("p") >= DUPLICATE_CHARS).groupBy("key").agg(F.min(F.struct("draft_id", "place")).alias("at"), F.first("p").alias("p"))
-    pieces = F.array_sort(F.transform(F.sequence(F.lit(1), F.length("p") - 7), lambda i: F.xxhash64(F.substr("p", i, F.lit(8)))))
-    blocks = first.select("key", "at", "p", F.explode(F.slice(F.array_distinct(pieces), 1, 6)).alias("piece"))
-    a, b = blocks.alias("a"), blocks.alias("b")
-    close = F.least(F.length("a.p"), F.length("b.p")) * 2 >= DUPLICATE * (F.length("a.p") + F.length("b.p"))
-    pairs = a.join(b, (F.col("a.piece") == F.col("b.piece")) & (F.col("a.at") < F.col("b.at")) & close).select(F.col("a.p").alias("x"), F.col("b.p").alias("y"), F.col("b.key").alias("key")).distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [ratio(x, y, DUPLICATE) >= DUPLICATE for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield batch.select(["key"]).filter(pa.array(ok, pa.bool_()))
-
-    gone = pairs.mapInArrow(run, "key string").distinct()
-    long = parts.filter(F.length("p") >= DUPLICATE_CHARS).join(gone, "key", "left_anti").join(first.select("key", "at"), "key").filter(F.struct("draft_id", "place") == F.col("at"))
-    short = parts.filter(F.length("p") < DUPLICATE_CHARS)
-    return long.select("draft_id", "place", "paragraph").union(short.select("draft_id", "place", "paragraph"))
-
-
 def review_tasks(issues: DataFrame, existing: DataFrame) -> DataFrame:
     """(signature, task_type, level, code, section_id) of issues (kind, code, section_id, param, draft_version) that ask for one, without repeats and those that exist."""
     c = F.col
@@ -263,9 +238,3 @@ def asset_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeated_paragraphs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first pairs of paragraphs of each draft that say the same; a unit test holds them against a plain version."""
     return repeated_paragraphs(shaped(spark, sf_dir, _DRAFTS))
-
-
-@query()
-def paragraph_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs of all drafts without near repeats of earlier ones; a unit test holds them against a plain version."""
-    return without_duplicates(shaped(spark, sf_dir, _DRAFTS))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as T
 from ..registry import plain, query, shaped, table
+from ..sources.shared import checkpointed
 
 #: What an item's score starts from, and what evidence, documents and reuse add to it (each and at most).
 ITEM_START, PER_EVIDENCE, EVIDENCE_MOST, PER_DOCUMENT, DOCUMENT_MOST, PER_REUSE, REUSE_MOST = 0.64, 0.055, 0.22, 0.04, 0.12, 0.01, 0.05
@@ -160,7 +161,7 @@ def alias_groups(pairs: DataFrame) -> DataFrame:
     both = links.union(links.select("b", "a")).distinct()
     labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("head"))
     while True:
-        labels = labels.checkpoint() if labels.sparkSession.sparkContext.getCheckpointDir() else labels.persist()
+        labels = checkpointed(labels)
         nearer = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("head").alias("near"))
         new = labels.join(nearer, "a").select("a", F.least("head", "near").alias("head"))
         if not new.join(labels.withColumnRenamed("head", "was"), "a").filter("head <> was").limit(1).count():

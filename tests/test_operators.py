@@ -95,9 +95,6 @@ def test_repeated_paragraphs_match_a_plain_version(spark):
     want = [(1, i + 1, j + 1) for i in range(len(flat)) for j in range(i + 1, len(flat)) if min(len(flat[i]), len(flat[j])) >= 40 and SequenceMatcher(None, flat[i], flat[j]).ratio() >= 0.78]
     assert [tuple(r)[:3] for r in drafts.repeated_paragraphs(rows, 99).collect()] == want
     assert len(drafts.repeated_paragraphs(rows).collect()) == 2
-    left = {(r.draft_id, r.place) for r in drafts.without_duplicates(rows).collect()}
-    gone = {j for i in range(len(flat)) for j in range(i + 1, len(flat)) if min(len(flat[i]), len(flat[j])) >= 90 and SequenceMatcher(None, flat[i], flat[j]).ratio() >= 0.96}
-    assert left == {(1, i) for i in range(len(flat)) if i not in gone} and gone
 
 
 def test_chunks_sections_and_anchors(spark):
