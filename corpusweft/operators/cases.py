@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import headings as H
 from ..functions import text as T
 from ..registry import plain, query, shaped, table
+from ..sources.shared import checkpointed
 
 #: Reasons that make a row a direct hit, a primary one, noise, a signal, or a weak ancestor.
 INTENT = ("query_intent_heading_overlap", "leaf_query_intent_match")
@@ -69,8 +70,8 @@ def _primary(candidates: DataFrame) -> DataFrame:
     """Each candidate with ``best``: the best primary hit of its query and sample, null where there is none."""
     c = F.col
     one = F.when(has(c("reasons"), *PRIMARY) & ~has(c("reasons"), *NOISE), F.struct(c("score"), F.size(segments(c("path"))).alias("depth"), c("tokens"), (-c("id")).alias("order"), c("path"), c("reasons")))
-    best = candidates.groupBy("query_id", "sample_id").agg(F.max(one).alias("best")).filter("best is not null and sample_id is not null and trim(sample_id) <> ''")
-    return candidates.join(best, ["query_id", "sample_id"], "left")
+    best = F.max(one).over(Window.partitionBy("query_id", "sample_id"))
+    return candidates.withColumn("best", F.when(F.trim(c("sample_id")) != "", best))
 
 
 def specific_hit_penalties(candidates: DataFrame) -> DataFrame:
@@ -110,8 +111,7 @@ def broad_parent_penalties(candidates: DataFrame) -> DataFrame:
     most = below.groupBy("query_id", "sample_id", "above").agg(F.max("score").alias("most"))
     own_path = F.array_join(segments(c("path")), " > ")
     joined = rows.withColumn("above", own_path).join(most, ["query_id", "sample_id", "above"], "left")
-    counts = candidates.groupBy("query_id").agg(F.count("*").alias("_n"))
-    joined = joined.join(counts, "query_id")
+    joined = joined.withColumn("_n", F.count("*").over(Window.partitionBy("query_id")))
     hit = (c("_n") >= 3) & c("best").isNotNull() & is_broad(c("heading")) & is_below(c("best.path"), c("path")) & (c("most") + 0.04 >= c("score"))
     hit = F.coalesce(hit, F.lit(False))
     return joined.select(*(c(n) for n in candidates.columns if n not in ("score", "reasons")), F.round(c("score") - F.when(hit, F.lit(0.14)).otherwise(F.lit(0.0)), 6).alias("score"), F.when(hit, F.concat(r, F.array(F.lit("broad_parent_secondary_context_penalty")))).otherwise(r).alias("reasons"))
@@ -121,10 +121,10 @@ def ancestor_penalties(candidates: DataFrame) -> DataFrame:
     """A broad or weak ancestor loses up to 0.42 where a descendant that matches directly scores nearly as much.
 
     Lower rows come first: a row that has lost may still count as a descendant of a higher one, with what it has left. One
-    pass for each depth of paths, from the deepest up.
+    pass for each depth of paths, from the deepest up, each from a checkpoint, as it reads its rows twice.
     """
     c = F.col
-    rows = candidates.withColumn("_depth", F.size(segments(c("path")))).withColumn("_own", F.array_join(segments(c("path")), " > "))
+    rows = checkpointed(candidates.withColumn("_depth", F.size(segments(c("path")))).withColumn("_own", F.array_join(segments(c("path")), " > ")))
     deepest = rows.agg(F.max("_depth")).first()[0] or 0
     for depth in range(deepest - 1, 0, -1):
         r = c("reasons")
@@ -138,7 +138,7 @@ def ancestor_penalties(candidates: DataFrame) -> DataFrame:
         penalty = 0.22 + points(leaf, 0.04) + points(c("b.score") >= c("score"), 0.02) + points(has(r, *WEAK[:2]), 0.02) + points(redundant, 0.12)
         added = F.array_compact(F.array(F.when(redundant, F.lit("broad_parent_direct_leaf_redundancy_penalty")), F.lit("ancestor_specific_hit_penalty")))
         score = F.round(c("score") - F.when(hit, F.least(F.lit(0.42), penalty)).otherwise(F.lit(0.0)), 6)
-        rows = joined.select(*(c(n) for n in rows.columns if n not in ("score", "reasons")), score.alias("score"), F.when(hit, F.concat(r, added)).otherwise(r).alias("reasons"))
+        rows = checkpointed(joined.select(*(c(n) for n in rows.columns if n not in ("score", "reasons")), score.alias("score"), F.when(hit, F.concat(r, added)).otherwise(r).alias("reasons")))
     return rows.select(*candidates.columns)
 
 

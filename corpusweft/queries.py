@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import registry
-from .operators import aggregates, assets, cases, chunking, dedupe, drafts, evaluation, evidence, joins, knowledge, masking, materials, predicates, projections, ranking, taxonomy  # noqa: F401  they register their queries
+from .operators import aggregates, assets, caps, cases, chunking, dedupe, drafts, evaluation, evidence, joins, knowledge, masking, materials, predicates, projections, ranking, scoring, similar, taxonomy  # noqa: F401  they register their queries
 from .streaming import replay  # noqa: F401
 
 
