@@ -22,12 +22,18 @@ VOICES = "我们|本团队|研发团队|内部测试"
 TECHNICAL_CLASSES, TECHNICAL_WORDS, TECHNICAL_CHARS = ("architecture", "configuration", "implementation", "custom"), ("技术", "架构", "配置", "参数", "实施", "系统", "方案", "控制", "接口", "主回路"), 300
 #: Similarity and length from which paragraphs count as repeated, as duplicates, and as reused.
 REPEATED, REPEATED_CHARS, DUPLICATE, DUPLICATE_CHARS, REUSED_CHARS = 0.78, 40, 0.96, 90, 60
-#: Codes that block a project, and those that ask for a review at once or later.
-HARD, BLOCKING_REVIEW, REVIEW = ("VAL001", "VAL002", "VAL003", "VAL006"), ("VAL007", "VAL008"), ("VAL101", "VAL102", "VAL105")
+#: Codes that block a project, those of errors that ask for a review, and those of warnings that do.
+HARD = ("VAL001", "VAL002", "VAL004", "VAL005", "VAL007", "VAL008", "VAL009", "VAL010")
+BLOCKING_REVIEW, REVIEW = ("VAL108",), ("VAL101", "VAL102", "VAL103", "VAL104", "VAL105", "VAL106", "VAL107", "VAL108", "VAL109")
 SEVERITY = {"SQ001": "high", "SQ002": "high", "SQ003": "medium", "SQ004": "medium", "SQ010": "medium", "SQ011": "high", "SQ013": "medium", "KW001": "medium", "KW010": "medium"}
 ASSET = r"\[\[ASSET:[A-Z]+:[^\]]+\]\]"
 
 
+def in_list(codes: tuple[str, ...]) -> str:
+    """A list for SQL."""
+    return "(" + ", ".join(f"'{x}'" for x in codes) + ")"
+
+
 def draft_headings(text: Column) -> Column:
     """array<struct<level, title>> of the headings from the second level on."""
     found = F.filter(F.transform(C.lines(text), C.stripped), lambda x: x.rlike(r"^#{2,6}\s+\S"))
@@ -169,12 +175,12 @@ def content_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("draft_id", F.col("i.code").alias("code")).agg(F.count("*").alias("n"))
 
 
-_ISSUES = """SELECT CASE WHEN l_linenumber % 3 = 0 THEN 'warning' ELSE 'error' END AS kind, 'VAL' || CASE l_partkey % 9 WHEN 0 THEN '003' WHEN 1 THEN '006' WHEN 2 THEN '007' WHEN 3 THEN '101' WHEN 4 THEN '105' WHEN 5 THEN '008' WHEN 6 THEN '001' ELSE '999' END AS code,
+_ISSUES = """SELECT CASE WHEN l_linenumber % 3 = 0 THEN 'warning' ELSE 'error' END AS kind, 'VAL' || CASE l_partkey % 9 WHEN 0 THEN '003' WHEN 1 THEN '006' WHEN 2 THEN '108' WHEN 3 THEN '101' WHEN 4 THEN '105' WHEN 5 THEN '008' WHEN 6 THEN '001' ELSE '999' END AS code,
     CASE WHEN l_suppkey % 10 = 0 THEN '' ELSE 's' || CAST(l_suppkey % 7 AS STRING) END AS section_id, l_returnflag AS param, l_orderkey AS draft_version FROM {lineitem}"""
 
 
 @query(
-    f"""WITH i AS ({plain(_ISSUES)}), t AS (SELECT *, CASE WHEN kind = 'error' AND code IN {BLOCKING_REVIEW!r} THEN 'content_review' WHEN kind = 'error' AND code = 'VAL003' THEN 'param_conflict' WHEN kind = 'error' AND code = 'VAL006' THEN 'figure_confirm' WHEN kind = 'warning' AND code IN {REVIEW!r} THEN 'content_review' END AS task FROM i),
+    f"""WITH i AS ({plain(_ISSUES)}), t AS (SELECT *, CASE WHEN kind = 'error' AND code IN {in_list(BLOCKING_REVIEW)} THEN 'content_review' WHEN kind = 'error' AND code = 'VAL003' THEN 'param_conflict' WHEN kind = 'error' AND code = 'VAL006' THEN 'figure_confirm' WHEN kind = 'warning' AND code IN {in_list(REVIEW)} THEN 'content_review' END AS task FROM i),
     u AS (SELECT *, CASE WHEN task = 'param_conflict' THEN '-' ELSE coalesce(nullif(section_id, ''), '-') END AS sec FROM t WHERE task IS NOT NULL), v AS (SELECT concat_ws(':', task, draft_version::VARCHAR, sec, code, CASE WHEN task = 'param_conflict' THEN coalesce(param, 'unknown') END) AS signature, CASE WHEN kind = 'error' THEN 'P0' ELSE 'P1' END AS level FROM u)
     SELECT signature, min(level) AS level FROM v WHERE signature NOT IN (SELECT 'figure_confirm:' || o_orderkey || ':s1:VAL006' FROM orders WHERE o_orderstatus = 'F') GROUP BY 1"""
 )
@@ -184,7 +190,7 @@ def review_blueprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review_tasks(shaped(spark, sf_dir, _ISSUES), done).select("signature", "level")
 
 
-@query(f"WITH i AS ({plain(_ISSUES)}) SELECT draft_version, CASE WHEN count(*) FILTER (WHERE kind = 'error' AND code IN {HARD!r}) > 0 THEN 'blocked' WHEN count(*) FILTER (WHERE kind = 'warning') > 0 THEN 'review_required' ELSE 'passed' END AS status FROM i GROUP BY 1")
+@query(f"WITH i AS ({plain(_ISSUES)}) SELECT draft_version, CASE WHEN count(*) FILTER (WHERE kind = 'error' AND code IN {in_list(HARD)}) > 0 THEN 'blocked' WHEN count(*) FILTER (WHERE kind = 'warning') > 0 THEN 'review_required' ELSE 'passed' END AS status FROM i GROUP BY 1")
 def draft_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each draft is blocked, to be reviewed, or passed."""
     error = F.col("kind") == "error"

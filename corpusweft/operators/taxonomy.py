@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from ..registry import query, table
 
 HEADING_POINTS, CONTENT_POINTS = 5, 1
+#: Fixed value: what separates the parts of a term.
+SEPARATORS = r"[/+|,_-]+"
 TERMS = ["idiot", "scum", "stupid", "moron", "trash"]
 
 
@@ -31,11 +34,12 @@ class Registry:
     table_reference_only: tuple[str, ...] = ()
 
     def expanded(self, term: str) -> list[str]:
-        """A term, its spelling without separators, its parts, and all synonyms of these and of aliases inside them, each once."""
+        """A term, its spelling without spaces or separators, its parts, and all synonyms of these and of aliases inside them, each once."""
         low = " ".join(term.lower().split())
-        parts = [p for sep in "/|、·-_" for p in low.split(sep) if len(p.strip()) >= 2] if any(c in low for c in "/|、·-_") else []
+        parts = [p.strip() for p in re.split(SEPARATORS, low) if len(p.strip()) >= 2]
+        joined = re.sub(SEPARATORS, "", low).strip()
         out: dict[str, None] = {}
-        for variant in dict.fromkeys([low, low.replace(" ", ""), *map(str.strip, parts)]):
+        for variant in dict.fromkeys([low, low.replace(" ", ""), *parts, *([joined] if len(joined) >= 2 else [])]):
             if not variant:
                 continue
             out[variant] = None
