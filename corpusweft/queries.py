@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import registry
 from .operators import aggregates, assets, caps, cases, chunking, dedupe, drafts, evaluation, evidence, joins, knowledge, masking, materials, predicates, projections, ranking, scoring, search, similar, taxonomy, validation  # noqa: F401  they register their queries
-from .streaming import replay  # noqa: F401
+from .streaming import index_sink, replay  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
