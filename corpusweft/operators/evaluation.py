@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..registry import query, table
+from ..registry import plain, query, shaped, table
 from . import ranking
 
 #: Metric, least value, and from how many cases on a gate is judged at all.
@@ -94,3 +94,50 @@ def preferred_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = rows.select("p_brand", "p_partkey", "preferred", F.row_number().over(own).alias("n"), F.count_if("preferred").over(group).alias("many"))
     place = F.when(F.col("preferred"), F.col("n")).otherwise(F.col("n") + F.col("many")).cast("int")
     return ranked.select("p_brand", "p_partkey", "preferred", place.alias("place")).filter("place <= 8")
+
+
+#: Section types that are no test of a search; those that are less of one; what a leaf, a type, an equipment, text and depth are worth.
+SKIPPED, BROAD_TYPES, NO_EQUIPMENT = ("unknown", "company_profile"), ("overall_solution", "project_overview"), ("generic", "unknown", "")
+LEAF, TYPED, EQUIPPED, TEXT_CHARS, PER_LEVEL, LEVELS_MOST, LEAST_TEXT = 2.0, 1.5, 1.0, 180.0, 0.15, 0.45, 8
+
+
+def holdout_sections(sections: DataFrame, limit: int = 8) -> DataFrame:
+    """(document_id, section_id, points, place): sections of each document that test a search, of as many types as there are.
+
+    sections: (document_id, section_id, path, title, section_type, equipment_type, level, is_leaf, text). In order of points the first of each
+    type is taken, then a second of each, then any, no path twice: three passes over one sorted list of a document's sections,
+    as a fold that carries what it has taken. A path that is empty is the title; what has neither, or little text, is left out.
+    """
+    c = F.col
+    blank = lambda name, default: F.lower(F.trim(F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit(default))))
+    rows = sections.withColumns({"text": F.trim(F.coalesce("text", F.lit(""))), "title": F.trim(F.coalesce("title", F.lit(""))), "section_type": blank("section_type", "unknown"), "equipment_type": blank("equipment_type", "generic"), "level": F.coalesce("level", F.lit(0))})
+    rows = rows.withColumn("path", F.coalesce(F.nullif(F.trim("path"), F.lit("")), c("title"))).filter((c("title") != "") & ~c("section_type").isin(*SKIPPED) & (F.length("text") >= LEAST_TEXT))
+    some = lambda test, points: F.when(test, F.lit(points)).otherwise(F.lit(0.0))
+    points = some(F.coalesce("is_leaf", F.lit(False)), LEAF) + some(~c("section_type").isin(*BROAD_TYPES), TYPED) + some(~c("equipment_type").isin(*NO_EQUIPMENT), EQUIPPED) + F.least(F.length("text") / TEXT_CHARS, F.lit(1.0)) + F.least(c("level") * PER_LEVEL, F.lit(LEVELS_MOST))
+    item = F.struct((-points).alias("down"), (-c("level")).alias("shallow"), (-F.length("text")).alias("short"), c("path"), c("section_type").alias("kind"), c("section_id"))
+    # paths fall where all else ties, so they are turned round: the list is sorted by the first three and then each tie by path
+    listed = rows.groupBy("document_id").agg(F.collect_list(item).alias("all"))  # one document's sections
+    before = lambda a, b: F.when(F.struct(a["down"], a["shallow"], a["short"]) < F.struct(b["down"], b["shallow"], b["short"]), F.lit(-1)).when(F.struct(a["down"], a["shallow"], a["short"]) > F.struct(b["down"], b["shallow"], b["short"]), F.lit(1)).when(a["path"] > b["path"], F.lit(-1)).when(a["path"] < b["path"], F.lit(1)).when(a["section_id"] < b["section_id"], F.lit(-1)).otherwise(F.lit(1))
+    ranked = F.array_sort("all", before)
+    tries = F.flatten(F.transform(F.array(*map(F.lit, (1, 2, limit))), lambda most: F.transform("ranked", lambda x: F.struct(most.alias("most"), x.alias("x")))))
+    taken = lambda s, t: (F.size(s) < limit) & ~F.exists(s, lambda y: y["path"] == t["x"]["path"]) & (F.size(F.filter(s, lambda y: y["kind"] == t["x"]["kind"])) < t["most"])
+    chosen = F.aggregate(tries, F.slice("ranked", 1, 0), lambda s, t: F.when(taken(s, t), F.concat(s, F.array(t["x"]))).otherwise(s))
+    found = listed.withColumn("ranked", ranked).select("document_id", F.posexplode(chosen).alias("n", "x"))
+    return found.select("document_id", "x.section_id", F.round(-c("x.down"), 6).alias("points"), (c("n") + 1).alias("place"))
+
+
+_HELD = """SELECT CAST(floor(doc_id / 25) AS BIGINT) AS document_id, doc_id AS section_id, CASE doc_id % 7 WHEN 0 THEN 'A > ' || lang WHEN 1 THEN '' ELSE 'p' || CAST(doc_id % 40 AS STRING) END AS path, CASE doc_id % 9 WHEN 0 THEN '' ELSE source END AS title, CASE doc_id % 5 WHEN 0 THEN 'overall_solution' WHEN 1 THEN 'Unknown' WHEN 2 THEN lang ELSE source END AS section_type,
+    CASE doc_id % 3 WHEN 0 THEN 'generic' ELSE 'lci' END AS equipment_type, CAST(doc_id % 5 AS INT) AS level, doc_id % 2 = 0 AS is_leaf, substr(text, 1, 40 * CAST(doc_id % 7 AS INT)) AS text FROM {documents}"""
+
+
+@query(
+    f"""WITH RECURSIVE r AS (SELECT document_id, section_id, trim(text, ' ') AS text, title, lower(section_type) AS kind, level, CASE WHEN path = '' THEN title ELSE path END AS path, round((CASE WHEN is_leaf THEN 2.0 ELSE 0 END::DOUBLE + CASE WHEN lower(section_type) NOT IN ('overall_solution', 'project_overview') THEN 1.5 ELSE 0 END::DOUBLE + CASE WHEN equipment_type <> 'generic' THEN 1.0 ELSE 0 END::DOUBLE + least(length(trim(text, ' ')) / 180.0::DOUBLE, 1.0::DOUBLE) + least(level * 0.15::DOUBLE, 0.45::DOUBLE)), 9) AS points
+      FROM ({plain(_HELD)}) WHERE title <> '' AND lower(section_type) NOT IN ('unknown', 'company_profile') AND length(trim(text, ' ')) >= 8),
+    o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY points DESC, level DESC, length(text) DESC, path DESC, section_id) AS k, count(*) OVER (PARTITION BY document_id) AS n FROM r), t AS (SELECT document_id, section_id, kind, path, points, most, (pass - 1) * n + k AS step FROM o, (VALUES (1, 1), (2, 2), (3, 8)) p(pass, most)),
+    w AS (SELECT DISTINCT document_id, 0::BIGINT AS step, []::VARCHAR[] AS paths, []::VARCHAR[] AS kinds, 0::BIGINT AS section_id, 0::DOUBLE AS points, FALSE AS taken FROM t
+      UNION ALL SELECT document_id, step, CASE WHEN ok THEN list_append(paths, path) ELSE paths END, CASE WHEN ok THEN list_append(kinds, kind) ELSE kinds END, section_id, points, ok FROM (SELECT w.document_id, t.step, w.paths, w.kinds, t.path, t.kind, t.section_id, t.points, len(w.paths) < 8 AND NOT list_contains(w.paths, t.path) AND len(list_filter(w.kinds, lambda x: x = t.kind)) < t.most AS ok FROM w JOIN t ON t.document_id = w.document_id AND t.step = w.step + 1))
+    SELECT document_id, section_id, round(points, 6) AS points, len(paths)::INT AS place FROM w WHERE taken"""
+)
+def holdout_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of each document on which a search is tested, of as many types as there are."""
+    return holdout_sections(shaped(spark, sf_dir, _HELD))

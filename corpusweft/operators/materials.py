@@ -107,14 +107,6 @@ def overlap_share(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return F.when(union > 0, shared / union).otherwise(F.lit(0.0))
 
 
-def collected_strings(json: Column, keys: list[str], most: int = 300) -> Column:
-    """Scalars that stand under any of the keys, at any depth of a JSON text, in order, each once."""
-    names = "|".join(keys)
-    found = F.regexp_extract_all(json, F.lit(rf'"(?:{names})"\s*:\s*(?:"((?:[^"\\]|\\.)*)"|(-?[0-9][0-9.eE+-]*))'), 0)
-    value = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, rf'^"(?:{names})"\s*:\s*', ""), '^"|"$', ""))
-    return F.slice(F.array_distinct(F.filter(F.transform(found, value), lambda v: v != "")), 1, most)
-
-
 def document_profile(text: Column) -> Column:
     """struct of line metrics and the profile that they suggest."""
     lines = F.split(text, "\n")
@@ -249,13 +241,6 @@ def region_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped(spark, sf_dir, _BOXES).select("id", F.round(overlap_share(box, one), 6).alias("share"))
 
 
-@query("SELECT event_id, event_type || '|r' || user_id || '|' || user_id % 7 AS strings FROM events")
-def evidence_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scalars under chosen keys of nested JSON."""
-    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"title": "'), "event_type", F.lit('", "items": [{"reason": "r'), F.col("user_id").cast("string"), F.lit('", "skip": "x"}, {"deep": {"title": "'), "event_type", F.lit('", "file_name": '), (F.col("user_id") % 7).cast("string"), F.lit('}}], "other": "title"}')).alias("j"))
-    return rows.select("event_id", F.array_join(collected_strings(F.col("j"), ["title", "reason", "file_name"]), "|").alias("strings"))
-
-
 @query("WITH c AS (SELECT l_orderkey, p.p_name, p.p_brand FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier s ON l.l_suppkey = s.s_suppkey WHERE s_nationkey = 3 AND p_brand IN (SELECT 'Brand#' || n_nationkey FROM nation WHERE n_regionkey = 1)) SELECT l_orderkey, count(*) AS n, min(p_name) AS name FROM c GROUP BY 1")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks joined with their documents and projects, within a set of names."""
