@@ -11,12 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: A batch sent to Python holds about so many bytes: arrays over a batch take some 60 times that in a worker.
 BATCH_BYTES = 1 << 20
-#: Python workers are reused, so what a task has freed goes back to the system: for the C library, the sizes from which it does.
+#: Python workers are reused, so what a task has freed goes back to the system: for the C library, the sizes from which it does. The same wherever it runs.
 WORKER_ENVIRONMENT = {"MALLOC_MMAP_THRESHOLD_": str(1 << 19), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
-#: On one machine, where no executor's limit presses, larger sizes save a third of the time of array work.
-LOCAL_ENVIRONMENT = {"MALLOC_MMAP_THRESHOLD_": str(1 << 24), "MALLOC_TRIM_THRESHOLD_": str(1 << 26)}
-
-
 def is_local(spark: SparkSession) -> bool:
     """Whether driver and executors are one process."""
     return re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is not None
@@ -26,21 +22,21 @@ def bounded_batches(spark: SparkSession) -> None:
     """Let Arrow batches end by bytes, not only by rows: texts differ in length by a factor of 1000."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    for name, value in (LOCAL_ENVIRONMENT if is_local(spark) else WORKER_ENVIRONMENT).items():
+    for name, value in WORKER_ENVIRONMENT.items():
         spark.sparkContext.environment.setdefault(name, value)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``.
 
-    Where that is unset it is one under the warehouse, or, in local mode (tests), a temporary one.
+    Where that is unset, it is a temporary one in local mode (tests), and an error elsewhere.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and is_local(spark):
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+        if folder is None and not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
