@@ -123,6 +123,10 @@ def without_marks(line: Column) -> Column:
     return stripped(F.regexp_replace(line, r"^\s*#+\s*", ""))
 
 
+#: Fixed value: the most visible characters with which a chunk may say too little.
+VISIBLE_MOST = 40
+
+
 def is_low_signal(text: Column, heading: Column) -> Column:
     """Whether a plain chunk with its heading says too little."""
     filled = F.filter(F.transform(lines(text), stripped), lambda x: x != "")
@@ -136,12 +140,14 @@ def is_low_signal(text: Column, heading: Column) -> Column:
         cyrillic = F.length(F.regexp_replace(x["both"], "[^Ѐ-ӿ]", ""))
         return (
             (x["visible"] == 0)
-            | ((x["visible"] <= 40) & (cyrillic / F.greatest(x["visible"], F.lit(1)) >= 0.12))
+            | ((x["visible"] <= VISIBLE_MOST) & (cyrillic / F.greatest(x["visible"], F.lit(1)) >= 0.12))
             | ((F.length(x["body"]) <= 5) & F.lower(x["body"]).isin(*STOP_WORDS) & (F.length(x["title"]) <= 20))
             | ((x["visible"] <= 24) & (F.regexp_count(x["both"], F.lit(WORD)) <= 2) & ~x["both"].rlike("[一-鿿]{2,}"))
         )
 
-    return once(parts, judged)
+    # without headings the text itself is the body, and one that says more than VISIBLE_MOST characters is never judged further
+    plenty = ~text.contains("#") & (F.length(F.translate(text, " \t\n\x0b\x0c\r", "")) > VISIBLE_MOST)
+    return F.when(plenty, F.lit(False)).otherwise(once(parts, judged))
 
 
 def is_numeric_fragment(profile: Column, heading: Column) -> Column:
@@ -172,21 +178,24 @@ def is_figure_reference(text: Column, kind: Column) -> Column:
 
 def ingestion_reasons(text: Column, kind: Column, place: Column, heading: Column) -> Column:
     """All reasons that keep a chunk out of the index: an array, empty for a good one."""
-    t = flat(text)
-    filled = F.filter(F.transform(lines(text), stripped), lambda x: x != "")
-    heading_only = (kind == "PLAIN") & (F.size(filled) > 0) & F.forall(filled, lambda x: x.startswith("#")) & (F.length(t) <= HEADING_CHARS)
     rows = F.size(F.filter(lines(text), lambda x: x.contains("|")))
-    own = F.array_compact(
-        F.array(
-            F.when((place <= FRONT_CHUNKS) & t.rlike(FURNITURE), F.lit("front_matter_noise")),
-            F.when(heading_only, F.lit("heading_only")),
-            F.when(t.rlike(FURNITURE) & (F.length(t) <= FURNITURE_CHARS), F.lit("page_furniture")),
-            F.when((kind == "TABLE") & ((F.length(text) > TABLE_CHARS) | (rows > TABLE_ROWS)), F.lit("oversized_table")),
-            F.when(is_garbled_formula(t), F.lit("garbled_formula_text")),
-            F.when(is_figure_reference(t, kind), F.lit("figure_reference_only")),
+
+    def own(t: Column) -> Column:
+        filled = F.filter(F.transform(lines(text), stripped), lambda x: x != "")
+        heading_only = (kind == "PLAIN") & (F.length(t) <= HEADING_CHARS) & t.startswith("#") & F.forall(filled, lambda x: x.startswith("#"))
+        furniture = t.rlike(FURNITURE)
+        return F.array_compact(
+            F.array(
+                F.when((place <= FRONT_CHUNKS) & furniture, F.lit("front_matter_noise")),
+                F.when(heading_only, F.lit("heading_only")),
+                F.when((F.length(t) <= FURNITURE_CHARS) & furniture, F.lit("page_furniture")),
+                F.when((kind == "TABLE") & ((F.length(text) > TABLE_CHARS) | (rows > TABLE_ROWS)), F.lit("oversized_table")),
+                F.when(is_garbled_formula(t), F.lit("garbled_formula_text")),
+                F.when(is_figure_reference(t, kind), F.lit("figure_reference_only")),
+            )
         )
-    )
-    return F.array_distinct(F.concat(own, noise_reasons(text, kind, heading)))
+
+    return F.array_distinct(F.concat(once(flat(text), own), noise_reasons(text, kind, heading)))
 
 
 def preserved_for_assets(reasons: Column) -> Column:
@@ -194,12 +203,13 @@ def preserved_for_assets(reasons: Column) -> Column:
 
 
 def needs_review(text: Column, reasons: Column) -> Column:
-    t = flat(text)
-    return (F.size(reasons) > 0) | t.rlike(FIGURE) | is_formula(t)
+    return (F.size(reasons) > 0) | once(flat(text), lambda t: t.rlike(FIGURE) | is_formula(t))
 
 
 def risk_level(text: Column, place: Column) -> Column:
     """high for garbled formulas; medium for tables, front matter, figures and formulas; else low."""
-    t = flat(text)
-    front = (place <= FRONT_CHUNKS) & t.rlike(FURNITURE)
-    return F.when(is_garbled_formula(t), F.lit("high")).when(is_table(text) | front | t.rlike(FIGURE) | is_formula(t), F.lit("medium")).otherwise(F.lit("low"))
+    def level(t: Column) -> Column:
+        front = (place <= FRONT_CHUNKS) & t.rlike(FURNITURE)
+        return F.when(is_garbled_formula(t), F.lit("high")).when(is_table(text) | front | t.rlike(FIGURE) | is_formula(t), F.lit("medium")).otherwise(F.lit("low"))
+
+    return once(flat(text), level)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..registry import query, table
+from ..sources.shared import checkpointed
 
 _WORD = re.compile(r"\w{2,}")
 #: A threshold is this quantile of healthy snapshots less the margin, from so many snapshots on.
@@ -64,36 +65,61 @@ def library_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").cube("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
+#: So many different terms are counted before a task sends them on.
+TERMS_HELD = 400_000
+
+
 def mined_terms(docs: DataFrame, group: str, known: list[str], least: int, most: int, example: str, examples: int = 3) -> DataFrame:
     """(group, term, n, n_docs, examples, rank): the most frequent new words and pairs of neighbouring words, with the first places that hold them.
 
-    A batch counts its own terms first, so one row for each of its distinct terms goes on, and rows of a term are summed up
-    before the shuffle.
+    A task counts its own terms, TERMS_HELD different ones at a time, so about one row for each of them goes on, and rows of a
+    term are summed up before the shuffle. Places are looked for afterwards, and only those of the terms that are listed.
     """
     kinds = [docs.schema[c].dataType.simpleString() for c in (group, example)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, n_docs = Counter(), Counter()
+
+        def rows(kind: pa.DataType) -> pa.RecordBatch:
+            columns = [*zip(*n)] or [(), ()]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], pa.string()), pa.array(n.values(), pa.int64()), pa.array((n_docs[k] for k in n), pa.int64())], names=["group", "term", "n", "n_docs"])
+
+        kind = None
         for batch in batches:
-            n, n_docs = Counter(), Counter()
-            for of, place, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            kind = batch.schema.field(0).type
+            for of, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = _WORD.findall((text or "").lower())
                 own = Counter(words)
                 own.update(map(" ".join, zip(words, words[1:])))
                 for term, times in own.items():
-                    n[of, place, term] += times
-                    n_docs[of, place, term] += 1
-            columns = [*zip(*n)] or [(), (), ()]
-            kept = batch.schema.field(0).type, batch.schema.field(1).type, pa.string()
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kept)), pa.array(list(n.values()), pa.int64()), pa.array([n_docs[k] for k in n], pa.int64())], names=["group", "example", "term", "n", "n_docs"])
-
-    found = docs.select(group, example, "text").mapInArrow(run, f"group {kinds[0]}, example {kinds[1]}, term string, n long, n_docs long")
-    rows = found.select(F.col("group").alias(group), F.col("example").alias(example), "term", "n", "n_docs").filter(~F.col("term").isin(*known))
-    counted = rows.groupBy(group, "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+                    n[of, term] += times
+                    n_docs[of, term] += 1
+            if len(n) >= TERMS_HELD:
+                yield rows(kind)
+                n.clear(), n_docs.clear()
+        if kind is not None:
+            yield rows(kind)
+
+    found = docs.select(group, "text").mapInArrow(counts, f"group {kinds[0]}, term string, n long, n_docs long")
+    counted = found.filter(~F.col("term").isin(*known)).groupBy(F.col("group").alias(group), "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
     ranked = counted.filter(F.col("n") >= least).withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "term"))).filter(F.col("rank") <= most)
-    places = rows.join(F.broadcast(ranked.select(group, "term")), [group, "term"], "left_semi").select(group, "term", example).distinct()  # most terms a group
-    held = places.withColumn("k", F.row_number().over(Window.partitionBy(group, "term").orderBy(example))).filter(F.col("k") <= examples)
-    listed = held.groupBy(group, "term").agg(F.array_sort(F.collect_list(example)).alias("examples"))
-    return ranked.join(listed, [group, "term"]).select(group, "term", "n", "n_docs", "examples", "rank")
+    ranked = checkpointed(ranked)
+    wanted = ranked.groupBy(group).agg(F.collect_list("term").alias("wanted"))  # ``most`` terms a group
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[tuple, None] = {}
+            for of, place, terms, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                words = _WORD.findall((text or "").lower())
+                held.update(dict.fromkeys((of, t, place) for t in {*words, *map(" ".join, zip(words, words[1:]))}.intersection(terms)))
+            columns = [*zip(*held)] or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.string()), pa.array(columns[2], batch.schema.field(1).type)], names=["group", "term", "example"])
+
+    texts = docs.select(F.col(group).alias("_g"), F.col(example).alias("_e"), "text").join(F.broadcast(wanted), F.col("_g").eqNullSafe(F.col(group))).select("_g", "_e", "wanted", "text")  # a row a group
+    seen = texts.mapInArrow(places, f"group {kinds[0]}, term string, example {kinds[1]}").distinct()
+    held = seen.withColumn("k", F.row_number().over(Window.partitionBy("group", "term").orderBy("example"))).filter(F.col("k") <= examples)
+    listed = held.groupBy(F.col("group").alias("_g"), F.col("term").alias("_t")).agg(F.array_sort(F.collect_list("example")).alias("examples"))
+    return ranked.join(listed, F.col(group).eqNullSafe(F.col("_g")) & (F.col("term") == F.col("_t"))).select(group, "term", "n", "n_docs", "examples", "rank")
 
 
 @query(

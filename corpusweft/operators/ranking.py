@@ -15,6 +15,7 @@ from ..functions import headings as H
 from ..functions import scores as S
 from ..functions import text as T
 from ..registry import query, table
+from ..sources.shared import checkpointed
 
 #: Fixed values of the sparse score: its two parameters, and what a whole query inside a text adds.
 K1, B, PHRASE = 1.2, 0.75, 0.8
@@ -197,20 +198,32 @@ def rerank_boosts(candidates: DataFrame, keys: list[str], order: list[Column]) -
     return inside.withColumn("boost", F.round(boost, 6)).drop("_place")
 
 
-def overlap_score(asked: Column, text: Column) -> Column:
-    """Half for the whole query inside the text, 0.3 for the share of its words there, 0.2 for those in the first three lines, less up to 0.12 for many more words than asked for."""
+def asked_parts(asked: Column) -> Column:
+    """What a rerank score needs of a query, worked out once a query."""
+    return F.struct(F.array_distinct(T.tokens(asked, 160)).alias("q"), H.compact(asked).alias("close"))
+
+
+def text_parts(text: Column) -> Column:
+    """What it needs of a text, worked out once a text, however many queries ask for it."""
     lead = F.array_join(F.slice(F.split(text, "\n"), 1, 3), "\n")
-    sets = {"q": T.tokens(asked, 160), "t": T.tokens(text, 320), "lead": T.tokens(lead, 96)}
-    parts = F.struct(*(F.array_distinct(v).alias(k) for k, v in sets.items()), H.compact(asked).alias("close"), H.compact(text).alias("whole"))
+    return F.struct(F.array_distinct(T.tokens(text, 320)).alias("t"), F.array_distinct(T.tokens(lead, 96)).alias("lead"), H.compact(text).alias("whole"))
+
+
+def overlap_score(x: Column, y: Column) -> Column:
+    """Of the parts of a query and a text: half for the whole query inside the text, 0.3 for the share of its words there, 0.2 for those in the first three lines, less up to 0.12 for many more words than asked for."""
+    share = lambda other: F.size(F.array_intersect(x["q"], other)) / F.greatest(F.size(x["q"]), F.lit(1))
+    inside = ((x["close"] != "") & y["whole"].contains(x["close"])).cast("int")
+    longer = F.least(F.lit(0.12), F.greatest(F.lit(0.0), (F.size(y["t"]) - 6 * F.size(x["q"])) * 0.002))
+    score = S.clamp(0.5 * inside + 0.3 * share(y["t"]) + 0.2 * share(y["lead"]) - longer)
+    return F.when((F.size(x["q"]) == 0) | (F.size(y["t"]) == 0), F.lit(0.0)).otherwise(score)
 
-    def formula(x: Column) -> Column:
-        share = lambda other: F.size(F.array_intersect(x["q"], other)) / F.greatest(F.size(x["q"]), F.lit(1))
-        inside = ((x["close"] != "") & x["whole"].contains(x["close"])).cast("int")
-        longer = F.least(F.lit(0.12), F.greatest(F.lit(0.0), (F.size(x["t"]) - 6 * F.size(x["q"])) * 0.002))
-        score = S.clamp(0.5 * inside + 0.3 * share(x["t"]) + 0.2 * share(x["lead"]) - longer)
-        return F.when((F.size(x["q"]) == 0) | (F.size(x["t"]) == 0), F.lit(0.0)).otherwise(score)
 
-    return F.transform(F.array(parts), formula)[0]  # the parts are worked out once
+def reranked(found: DataFrame, asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """found (query_id, id, ...) with ``rerank``: each text that was found is taken apart once, and so is each query."""
+    found = checkpointed(found)
+    texts = docs.join(found.select("id").distinct(), "id", "left_semi").select("id", text_parts(F.col("text")).alias("_y"))
+    queries = asked.select("query_id", asked_parts(F.col("text")).alias("_x"))
+    return found.join(checkpointed(texts), "id").join(checkpointed(queries), "query_id").withColumn("rerank", overlap_score(F.col("_x"), F.col("_y"))).drop("_x", "_y")
 
 
 _VECTORS = "SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings"
@@ -298,8 +311,7 @@ _PAIRS = f"""WITH {_BM25}, j AS (SELECT query_id, r.id, r.score, r.rank, x.text,
 def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked = _corpus(spark, sf_dir)
     found = sparse_top_k(docs, asked, 40)
-    joined = found.join(asked.withColumnRenamed("text", "asked"), "query_id").join(docs, "id")
-    return joined.select("query_id", "id", "score", "rank", overlap_score(F.col("asked"), F.col("text")).alias("rerank"))
+    return reranked(found, asked, docs).select("query_id", "id", "score", "rank", "rerank")
 
 
 @query(f"{_PAIRS} SELECT query_id, id, round(rerank, 6) AS rerank_score FROM o")
