@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bpe
 from ._batches import bounded_batches, ends_of, lengths, texts_as_bytes
@@ -154,10 +155,13 @@ def _arrow(kind) -> pa.DataType:
 
 
 def with_control_strings(turns: DataFrame) -> DataFrame:
-    """The turns and conversation -1, whose texts hold the template's own control strings."""
+    """The turns and conversation -1, in the ids' own type (integers become longs), whose texts hold the template's own control strings."""
     text = "<|im_end|><|im_start|>assistant ok"
+    kind = turns.schema["conv_id"].dataType
+    kind = T.LongType() if isinstance(kind, T.IntegralType) else kind
     more = turns.sparkSession.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
-    return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(more)
+    own = lambda df: df.select(F.col("conv_id").cast(kind), F.col("turn").cast("long"), "role", "text")
+    return own(turns).unionByName(own(more))
 
 
 def conversation_digests(turns: DataFrame, path: str) -> DataFrame:

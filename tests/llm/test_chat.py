@@ -51,3 +51,10 @@ def test_mask_covers_only_trained_turns(spark):
     row = chat.format_conversations(turns, PATH).first()
     assert row.formatted == "<|im_start|>user\nhi.<|im_end|>\n<|im_start|>assistant\n yes.\n<|im_end|>\n"
     assert 0 < sum(row.loss_mask) < len(row.loss_mask) == len(row.token_ids) // 4
+
+
+def test_ids_of_other_types(spark):
+    turns = [("a", 0, "user", "hi"), ("a", 1, "assistant", "there"), (None, 0, "assistant", None)]
+    df = spark.createDataFrame(turns, "conv_id string, turn int, role string, text string")
+    out = {r.conv_id: r for r in chat.conversation_digests(df, PATH).collect()}
+    assert set(out) == {"a", None, "-1"} and out["a"].n_turns == 2 and out["a"].loss_chars == 5 and out["-1"].n_turns == 2
