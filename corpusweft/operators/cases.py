@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import headings as H
 from ..functions import text as T
+from ..functions.chunks import once
 from ..registry import plain, query, shaped, table
 from ..sources.shared import checkpointed
+from . import ranking
 
 #: Reasons that make a row a direct hit, a primary one, noise, a signal, or a weak ancestor.
 INTENT = ("query_intent_heading_overlap", "leaf_query_intent_match")
@@ -31,6 +33,8 @@ CASE_TERM, CASE_TERMS, CASE_TITLE, CASE_HEADINGS, CASE_SEMANTIC = 0.14, 0.7, 0.1
 NEIGHBOUR, PER_PLACE = 0.38, 0.04
 #: How near to the best a scope has to be, with and without direct support, and how many scopes there are.
 SCOPE_NEAR, SCOPE_WIDE, SCOPES = 0.08, 0.10, 3
+#: Queries that meet the cases at once, and parts in which a query's cases are ranked first.
+QUERY_BLOCK, PARTS = 32, 64
 
 
 def has(reasons: Column, *names: str) -> Column:
@@ -55,7 +59,7 @@ def is_broad(heading: Column, words: tuple[str, ...] = BROAD) -> Column:
 
 def case_score(terms: Column, text: Column, titles: Column, n_headings: Column, semantic: Column) -> Column:
     """Of a case by the query's terms in its text and titles, the number of its headings and a semantic score."""
-    hits = F.size(F.filter(terms, lambda t: F.lower(text).contains(F.lower(t))))
+    hits = once(F.lower(text), lambda low: F.size(F.filter(terms, lambda t: low.contains(F.lower(t)))))
     titled = F.exists(titles, lambda x: F.exists(terms, lambda t: F.lower(x).contains(F.lower(t))))
     return F.least(F.lit(CASE_TERMS), hits * CASE_TERM) + F.when(titled, F.lit(CASE_TITLE)).otherwise(F.lit(0.0)) + F.when(n_headings >= 20, F.lit(CASE_HEADINGS)).otherwise(F.lit(0.0)) + F.coalesce(semantic, F.lit(0.0)) * CASE_SEMANTIC
 
@@ -305,16 +309,36 @@ def blocks_of_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_blocks(rows, wanted, 8).select("sample_id", "id", "place")
 
 
+def case_search(cases: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, case_id, score, place): the k best cases (case_id, text, titles, n_headings) of each query (query_id, terms), equal texts once.
+
+    Queries are a stated set. They meet the cases in blocks of QUERY_BLOCK, whose terms are part of the plan, so no side is broadcast;
+    every case is scored for every query, and a query's best of each part go on to its last ranking.
+    """
+    c = F.col
+    out = None
+    for block in ranking.query_blocks(queries.select("query_id", "terms"), QUERY_BLOCK):
+        kind = queries.schema["query_id"].dataType
+        asked = F.array(*(F.struct(F.lit(r["query_id"]).cast(kind).alias("query_id"), F.array(*map(F.lit, r["terms"])).cast("array<string>").alias("terms")) for r in block.to_pylist()))
+        pairs = cases.withColumn("_q", F.explode(asked))
+        scored = pairs.select(c("_q.query_id").alias("query_id"), "case_id", F.xxhash64("text").alias("_print"), F.sha2("text", 256).alias("_text"), F.round(case_score(c("_q.terms"), c("text"), c("titles"), c("n_headings"), F.lit(0.0)), 6).alias("score")).filter("score > 0")
+        part = Window.partitionBy("query_id", F.pmod("_print", F.lit(PARTS)))
+        first = scored.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "_text").orderBy(F.desc("score"), "case_id"))).filter("_n = 1")
+        best = first.withColumn("_n", F.row_number().over(part.orderBy(F.desc("score"), "case_id"))).filter(c("_n") <= k)
+        out = best if out is None else out.unionByName(best)
+    if out is None:
+        return queries.select("query_id", F.lit(None).alias("case_id"), F.lit(0.0).alias("score"), F.lit(0).alias("place")).limit(0)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "case_id"))
+    return out.withColumn("place", place).filter(c("place") <= k).select("query_id", "case_id", "score", "place")
+
+
 @query(
-    f"""WITH d AS (SELECT doc_id, lower(text) AS t, list_slice(string_split(lower(text), chr(10)), 1, 3) AS titles, len(string_split(text, chr(10))) AS n FROM documents), q AS (SELECT item_id, list_slice(list_filter(tt, lambda x, i: NOT list_contains(list_slice(tt, 1, i - 1), x)), 1, 8) AS w FROM (SELECT item_id, {T.sql_tokens("text")} AS tt FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 10))),
-    s AS (SELECT item_id, doc_id, round(least(0.7::DOUBLE, len(list_filter(w, lambda x: contains(t, x))) * 0.14::DOUBLE) + CASE WHEN len(list_filter(titles, lambda y: len(list_filter(w, lambda x: contains(y, x))) > 0)) > 0 THEN 0.18 ELSE 0 END::DOUBLE + CASE WHEN n >= 20 THEN 0.05 ELSE 0 END::DOUBLE, 6) AS score FROM d, (SELECT item_id, list_sort(w) AS w FROM q)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM s) SELECT item_id, count(*) FILTER (WHERE score > 0) AS n_cases, max(score) AS best FROM r GROUP BY 1"""
+    f"""WITH d AS (SELECT doc_id, text, lower(text) AS t, list_slice(string_split(lower(text), chr(10)), 1, 3) AS titles, len(string_split(text, chr(10))) AS n FROM documents), q AS (SELECT item_id, list_distinct({T.sql_tokens("text")}) AS w FROM benchmark WHERE item_id % 50 = 0),
+    s AS (SELECT item_id, doc_id, text, round(least(0.7::DOUBLE, len(list_filter(w, lambda x: contains(t, x))) * 0.14::DOUBLE) + CASE WHEN len(list_filter(titles, lambda y: len(list_filter(w, lambda x: contains(y, x))) > 0)) > 0 THEN 0.18 ELSE 0 END::DOUBLE + CASE WHEN n >= 20 THEN 0.05 ELSE 0 END::DOUBLE, 6) AS score FROM d, q),
+    u AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS one FROM s WHERE score > 0) SELECT item_id, doc_id, score, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM u WHERE one = 1) WHERE place <= 12"""
 )
 def case_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many documents each of ten queries finds as cases, and the best score."""
-    asked = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(10).select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("all"))  # a stated query set
-    terms = asked.select("item_id", F.slice("all", 1, 8).alias("w"))
-    text = F.lower("text")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.slice(F.split("text", "\n"), 1, 3).alias("titles"), F.size(F.split("text", "\n")).alias("n"))
-    scored = docs.join(F.broadcast(terms), F.lit(True)).select("item_id", F.round(case_score(F.col("w"), text, F.col("titles"), F.col("n"), F.lit(0.0)), 6).alias("score"))
-    return scored.groupBy("item_id").agg(F.count_if(F.col("score") > 0).alias("n_cases"), F.max("score").alias("best"))
+    """The twelve best documents as cases for each query of the stated set, by all of its terms, equal texts once."""
+    asked = table(spark, sf_dir, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.array_distinct(T.tokens(F.col("text"))).alias("terms"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), "text", F.slice(F.split("text", "\n"), 1, 3).alias("titles"), F.size(F.split("text", "\n")).alias("n_headings"))
+    return case_search(docs, asked, 12).withColumnsRenamed({"query_id": "item_id", "case_id": "doc_id"})
