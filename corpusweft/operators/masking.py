@@ -33,32 +33,18 @@ COMPANY_STOPS = ("法定代表人", "项目经理", "联系人", "负责人", "
 COMPANY_LEADS = ("本合同由", "项目由", "请联系", "请联络", "联系人", "联系", "甲方", "乙方", "客户", "供应商", "合作方", "根据", "由")
 _LABELS = "|".join(label for label, _, _ in ENTITIES.values())
 PLACEHOLDER = re.compile(rf"\[(?:{_LABELS})_[A-Za-z0-9]+\]")
-_END, _TAIL, _LEAD = (re.compile(p) for p in ("|".join(COMPANY_ENDS), f"(?:{'|'.join(COMPANY_ENDS)})$", f"^(?:{'|'.join(sorted(COMPANY_LEADS, key=len, reverse=True))})"))
-
-
-def _without_leads(name: str) -> str:
-    while (m := _LEAD.match(name)) and _TAIL.search(rest := name[m.end() :].strip()):
-        name = rest
-    return name
+#: Stretches of characters of which names are made, the ends in them, and what a name is: all that is left of a stretch up to an end behind its
+#: leading words and the last word that no name reaches across, with the leading words behind that one.
+_STRETCH, _END = re.compile(r"(?:[^\W_]|[·（）()])+"), re.compile("|".join(COMPANY_ENDS))
+_LEADS, _STOPS = (f"(?:{'|'.join(sorted(words, key=len, reverse=True))})" for words in (COMPANY_LEADS, COMPANY_STOPS))
+_NAME = re.compile(rf"{_LEADS}*+(?:.+{_STOPS}{_LEADS}*+)?(.*(?:{'|'.join(COMPANY_ENDS)}))", re.DOTALL)
 
 
 def company_spans(text: str) -> list[tuple[int, int]]:
-    """Company names: back from each end over letters, digits and brackets, without what stands in front of the name."""
-    found = []
-    for m in _END.finditer(text):
-        start = m.start()
-        while start > 0 and (text[start - 1].isalnum() or text[start - 1] in "·（）()"):
-            start -= 1
-        name = _without_leads(text[start : m.end()].strip())
-        while True:
-            cuts = [(at, name[at + len(stop) :].strip()) for stop in COMPANY_STOPS if (at := name.rfind(stop)) > 0]
-            cuts = [(at, rest) for at, rest in cuts if rest and _TAIL.search(rest)]
-            if not cuts:
-                break
-            name = _without_leads(max(cuts)[1])
-        if len(name) >= len(m[0]):
-            found.append((m.end() - len(name), m.end()))
-    return found
+    """Company names: one for each end of a name in the text, told by a single pattern over the stretch in front of it."""
+    stretches = ((s.start(), s[0]) for s in _STRETCH.finditer(text))
+    names = ((at, end, _NAME.fullmatch(run, 0, end.end())) for at, run in stretches for end in _END.finditer(run))
+    return [(at + name.start(1), at + name.end(1)) for at, end, name in names if name and len(name[1]) >= len(end[0])]
 
 
 def spans(text: str) -> list[tuple[int, int, str]]:
