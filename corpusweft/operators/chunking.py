@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -103,10 +104,10 @@ def sibling_sections(sections: DataFrame, keys: list[str], quality: str, place:
     return grouped.select(*(F.col(f"b.{c}").alias(c) for c in sections.columns if c != place), F.col("first").alias(place), "n_merged")
 
 
-def flattened(trees: DataFrame, id_column: str, children: str = "children", levels: int = 6) -> DataFrame:
-    """(id, order, level, title) of nested trees in pre-order; trees are structs with ``title`` and an array of ``children``."""
+def flattened(trees: DataFrame, id_column: str, children: str = "children") -> DataFrame:
+    """(id, order, level, title) of nested trees in pre-order, as deep as their type goes; trees are structs with ``title`` and an array of ``children``."""
     out, now = None, trees.select(id_column, F.posexplode("sections").alias("_i", "_s")).select(id_column, F.format_string("%06d", "_i").alias("order"), F.lit(1).alias("level"), "_s")
-    for n in range(1, levels + 1):
+    for n in itertools.count(1):
         rows = now.select(id_column, "order", "level", F.col("_s.title").alias("title"))
         out = rows if out is None else out.unionByName(rows)
         if children not in {f.name for f in now.schema["_s"].dataType.fields}:

@@ -75,14 +75,14 @@ def detected(rows: DataFrame) -> DataFrame:
 
 
 def letters(n: Column) -> Column:
-    """1, 2, ... as A to Z, AA, AB and so on (up to five letters)."""
+    """1, 2, ... as A to Z, AA, AB and so on, up to five letters (12 million); more are an error."""
     out, below = None, 0
     for size in range(1, 6):
         rest = n - 1 - below
         code = F.concat(*(F.char(65 + F.floor(rest / 26**i) % 26) for i in range(size - 1, -1, -1)))
         below += 26**size
         out = F.when(n <= below, code) if out is None else out.when(n <= below, code)
-    return out
+    return out.when(n.isNotNull(), F.raise_error(F.lit("more than five letters of a placeholder")).cast("string"))
 
 
 def placeholder(entity: Column, number: Column) -> Column:
