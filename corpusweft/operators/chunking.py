@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F

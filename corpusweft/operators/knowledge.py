@@ -356,3 +356,42 @@ def term_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms and abbreviations that texts put side by side, united over all their links."""
     pairs = shaped(spark, sf_dir, _ALIASED).select(F.explode(mined_aliases(F.col("text"))).alias("p")).select("p.long", "p.alias").distinct()
     return alias_groups(pairs)
+
+
+#: From which similarity a title covers another, and below which it is missing.
+COVERED, MISSING = 0.55, 0.34
+
+
+def best_titles(baseline: DataFrame, generated: DataFrame) -> DataFrame:
+    """(outline_id, title, section_id, score, covered, missing): for each title of a baseline (outline_id, title) the section (outline_id, section_id, title) of the same outline that comes nearest.
+
+    Titles meet only within an outline, which is a short list. Equal scores go to the least id; a title whose outline has no
+    section, or none that is like it at all, is missing with a score of 0.
+    """
+    c = F.col
+    pairs = baseline.select("outline_id", "title").distinct().join(generated.select("outline_id", "section_id", c("title").alias("_other")), "outline_id", "left")
+    score = F.round(F.coalesce(title_similarity(F.coalesce("title", F.lit("")), F.coalesce("_other", F.lit(""))), F.lit(0.0)), 6)
+    order = Window.partitionBy("outline_id", "title").orderBy(F.desc("score"), "section_id")
+    best = pairs.withColumn("score", F.when(c("_other").isNull(), F.lit(0.0)).otherwise(score)).withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+    return best.select("outline_id", "title", F.when(c("score") > 0, c("section_id")).alias("section_id"), "score", (c("score") >= COVERED).alias("covered"), (c("score") < MISSING).alias("missing"))
+
+
+def coverage(matches: DataFrame) -> DataFrame:
+    """(outline_id, n_titles, n_covered, n_missing, share) of each outline's matches."""
+    found = matches.groupBy("outline_id").agg(F.count("*").alias("n_titles"), F.count_if("covered").alias("n_covered"), F.count_if("missing").alias("n_missing"))
+    return found.withColumn("share", F.round(F.col("n_covered") / F.col("n_titles"), 4))
+
+
+_BASELINE = "SELECT CAST(floor(doc_id / 12) AS BIGINT) AS outline_id, doc_id AS section_id, CAST(doc_id % 9 AS STRING) || '.' || CAST(doc_id % 4 AS STRING) || ' ' || substr(text, 1, 24) AS title FROM {documents} WHERE doc_id % 12 < 7"
+_MADE = "SELECT CAST(floor(doc_id / 12) AS BIGINT) AS outline_id, doc_id AS section_id, CASE doc_id % 3 WHEN 0 THEN substr(text, 3, 20) ELSE '2.1 ' || source || ' ' || substr(text, 1, 18) END AS title FROM {documents} WHERE doc_id % 12 > 3 AND floor(doc_id / 12) % 10 <> 4"
+
+
+@query(
+    f"""WITH b AS (SELECT DISTINCT outline_id, title FROM ({plain(_BASELINE)})), g AS (SELECT * FROM ({plain(_MADE)})), p AS (SELECT b.outline_id, b.title, g.section_id, CASE WHEN g.title IS NULL THEN 0 ELSE round({_sql_similarity("b.title", "g.title")}, 6) END AS score FROM b LEFT JOIN g ON g.outline_id = b.outline_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY outline_id, title ORDER BY score DESC, section_id) AS n FROM p) SELECT outline_id, count(*) AS n_titles, count(*) FILTER (WHERE score >= 0.55) AS n_covered, count(*) FILTER (WHERE score < 0.34) AS n_missing, round(count(*) FILTER (WHERE score >= 0.55) / count(*), 4) AS share, sum(CASE WHEN score > 0 THEN section_id END)::BIGINT AS sections FROM r WHERE n = 1 GROUP BY 1"""
+)
+def outline_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each outline's baseline its sections cover, title by title within the outline."""
+    matches = best_titles(shaped(spark, sf_dir, _BASELINE), shaped(spark, sf_dir, _MADE))
+    chosen = matches.groupBy("outline_id").agg(F.sum("section_id").alias("sections"))
+    return coverage(matches).join(chosen, "outline_id")
