@@ -11,6 +11,7 @@ from ..functions import chunks as C
 from ..functions import scores as S
 from ..functions import text as T
 from ..registry import plain, query, shaped, table
+from . import chunking
 
 #: The query where a requirement says nothing, names of parameters that are worth a search, lengths of summaries and fallback texts.
 DEFAULT_QUERY, PARAMETER_NAMES, SUMMARY_CHARS, FALLBACK_CHARS, FALLBACK_FACTOR = "售前方案 需求分析", ("voltage", "power", "motor", "control", "interface"), 180, 420, 0.92
@@ -160,19 +161,33 @@ def evidence_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("request_id", "strategy").agg(F.count("*").alias("n_hits"), F.min("hit").alias("first_hit"))
 
 
-_RESULTS = """SELECT doc_id % 25 AS request_id, doc_id AS rank, 'c' || CAST(doc_id AS STRING) AS chunk_id, CAST(doc_id % 40 AS STRING) AS document_id, source AS document_name, CASE WHEN doc_id % 8 = 0 THEN NULL ELSE lang || ' > ' || source || ' > ' END AS heading_path, CASE WHEN doc_id % 9 = 0 THEN 'IMAGE' WHEN contains(text, chr(10) || '|') THEN 'table' ELSE 'PLAIN' END AS kind,
-    CASE WHEN doc_id % 13 = 0 THEN substr(text, 1, 9) ELSE text END AS content, round((doc_id % 101) / 128.0, 4) AS score, CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS risk, doc_id % 17 = 0 AS front_matter, doc_id % 5 = 0 AS needs_asset, 'a=' || lang || ',,b' AS reason_list FROM {documents}"""
+_RESULTS = """SELECT doc_id % 25 AS request_id, doc_id AS rank, 'c' || CAST(doc_id AS STRING) AS chunk_id, CAST(doc_id % 40 AS STRING) AS document_id, source AS document_name, CASE WHEN doc_id % 8 = 0 THEN NULL ELSE lang || ' > ' || source || ' > ' END AS heading_path, CASE WHEN doc_id % 9 = 0 THEN 'IMAGE' WHEN doc_id % 13 IN (1, 2, 3) OR contains(text, chr(10) || '|') THEN 'table' ELSE 'PLAIN' END AS kind,
+    CASE doc_id % 13 WHEN 0 THEN substr(text, 1, 9) WHEN 1 THEN '|x###|y@@@|' || chr(10) || '|' || substr(text, 1, 8) || '|Ã|' WHEN 2 THEN '|1.5|2|3|' || chr(10) || '|4|5|6|' WHEN 3 THEN '| a | b |' || chr(10) || '| ' || lang || ' | 3 kV |' WHEN 4 THEN 'Да Нет ' || substr(text, 1, 10) WHEN 5 THEN '# the' WHEN 6 THEN ' ' ELSE text END AS content, round((doc_id % 101) / 128.0, 4) AS score, CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS risk, doc_id % 17 = 0 AS front_matter, doc_id % 5 = 0 AS needs_asset, 'a=' || lang || ',,b' AS reason_list FROM {documents}"""
+
+
+_MARKS = r"^\s*#+\s*"
+
+
+def _sql_noise(source: str) -> str:
+    """CTEs over rows (content, heading, kind, ...) of a statement, the last of them ``noisy`` with ``noise``: whether evidence leaves the row out."""
+    strip = chunking._STRIP
+    words = ", ".join(f"'{w}'" for w in C.STOP_WORDS)
+    return rf"""base AS (SELECT *, {strip.format('content')} AS text FROM ({source})), {chunking._sql_profile("text")},
+    n1 AS (SELECT *, {chunking._LOW}, {strip.format(f"regexp_replace(heading, '{_MARKS}', '')")} AS title, list_filter(header, lambda c: c <> '') AS heads FROM w), n2 AS (SELECT *, list_filter(filled, lambda x: NOT starts_with(x, '#')) AS own FROM n1),
+    n3 AS (SELECT *, array_to_string(list_filter(list_transform(CASE WHEN len(own) > 0 THEN own ELSE filled END, lambda x: {strip.format(f"regexp_replace(x, '{_MARKS}', '')")}), lambda x: x <> ''), ' ') AS body FROM n2), n4 AS (SELECT *, {strip.format("concat_ws(' ', nullif(title, ''), nullif(body, ''))")} AS whole FROM n3),
+    n5 AS (SELECT *, length(regexp_replace(whole, '\s', '', 'g')) AS visible, length(regexp_replace(whole, '[^Ѐ-ӿ]', '', 'g')) AS cyrillic FROM n4),
+    n6 AS (SELECT *, visible = 0 OR (cyrillic / greatest(visible, 1) >= 0.12 AND visible <= 40) OR (length(body) <= 5 AND lower(body) IN ({words}) AND length(title) <= 20) OR (visible <= 24 AND len(regexp_extract_all(whole, '{C.WORD}')) <= 2 AND NOT regexp_matches(whole, '[一-鿿]{{2,}}')) AS low FROM n5),
+    noisy AS (SELECT *, text = '' OR (kind = 'PLAIN' AND low) OR (kind = 'TABLE' AND (profile = 'garbled_table' OR (profile = 'sparse_lookup' AND len(rows_) <= 4 AND numeric_ratio >= 0.8 AND ((len(heads) > 0 AND len(list_filter(heads, lambda c: NOT regexp_matches(c, '{C.NUMERIC_CELL}'))) = 0) OR regexp_matches({strip.format('heading')}, '{C.NUMERIC_HEADING}'))))) AS noise FROM n6)"""
 
 
 @query(
-    rf"""WITH r AS (SELECT *, regexp_replace(regexp_replace(content, '^\s+', ''), '\s+$', '') AS text FROM ({plain(_RESULTS)})), k AS (SELECT *, concat_ws(' ', nullif(regexp_replace(regexp_replace(regexp_replace(coalesce(heading_path, ''), '^#+\s*', ''), '^\s+', ''), '\s+$', ''), ''), nullif(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), lambda x: x <> ''), ' '), '')) AS whole FROM r),
-    n AS (SELECT *, text = '' OR (upper(kind) = 'PLAIN' AND length(regexp_replace(whole, '\s', '', 'g')) <= 24 AND len(regexp_extract_all(whole, '{C.WORD}')) <= 2) AS noise FROM k), m AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank) AS num FROM n WHERE NOT noise)
-    SELECT request_id, printf('ev_%03d', num) AS evidence_id, CASE upper(kind) WHEN 'TABLE' THEN 'table' WHEN 'IMAGE' THEN 'figure' ELSE 'section' END AS type, chunk_id AS source_chunk_id, upper(kind) AS source_chunk_type, document_id AS source_doc_id, document_name AS source_title, array_to_string(list_filter(list_transform(string_split(coalesce(heading_path, ''), '>'), lambda s: trim(s, ' ')), lambda s: s <> ''), '/') AS heading_path,
-    substr(content, 1, 180) AS summary, score::DOUBLE AS relevance_score, round(least(1.0, greatest(0.0, score::DOUBLE * CASE risk WHEN 'high' THEN 0.55 WHEN 'medium' THEN 0.8 ELSE 1.0 END::DOUBLE * CASE WHEN front_matter THEN 0.35 ELSE 1.0 END::DOUBLE * CASE WHEN needs_asset THEN 0.85 ELSE 1.0 END::DOUBLE)), 4) AS reusability_score, 'a=' || split_part(reason_list, ',', 1)[3:] || '; b' AS retrieval_reason FROM m WHERE upper(kind) <> 'TABLE'"""
+    rf"""WITH {_sql_noise(f"SELECT * EXCLUDE (kind), upper(kind) AS kind, coalesce(heading_path, '') AS heading FROM ({plain(_RESULTS)})")}, m AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank) AS num FROM noisy WHERE NOT noise)
+    SELECT request_id, printf('ev_%03d', num) AS evidence_id, CASE kind WHEN 'TABLE' THEN 'table' WHEN 'IMAGE' THEN 'figure' ELSE 'section' END AS type, chunk_id AS source_chunk_id, kind AS source_chunk_type, document_id AS source_doc_id, document_name AS source_title, array_to_string(list_filter(list_transform(string_split(coalesce(heading_path, ''), '>'), lambda s: trim(s, ' ')), lambda s: s <> ''), '/') AS heading_path,
+    substr(content, 1, 180) AS summary, score::DOUBLE AS relevance_score, round(least(1.0, greatest(0.0, score::DOUBLE * CASE risk WHEN 'high' THEN 0.55 WHEN 'medium' THEN 0.8 ELSE 1.0 END::DOUBLE * CASE WHEN front_matter THEN 0.35 ELSE 1.0 END::DOUBLE * CASE WHEN needs_asset THEN 0.85 ELSE 1.0 END::DOUBLE)), 4) AS reusability_score, 'a=' || split_part(reason_list, ',', 1)[3:] || '; b' AS retrieval_reason FROM m"""
 )
 def evidence_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results as numbered evidence with their fields; here without tables."""
-    rows = shaped(spark, sf_dir, _RESULTS).filter("upper(kind) <> 'TABLE'").withColumn("reasons", F.split("reason_list", ",")).withColumn("score", F.col("score").cast("double"))
+    """Results as numbered evidence with their fields."""
+    rows = shaped(spark, sf_dir, _RESULTS).withColumn("reasons", F.split("reason_list", ",")).withColumn("score", F.col("score").cast("double"))
     return evidence_items(rows).drop("raw_content").withColumn("heading_path", F.array_join("heading_path", "/"))
 
 
