@@ -395,3 +395,50 @@ def outline_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     matches = best_titles(shaped(spark, sf_dir, _BASELINE), shaped(spark, sf_dir, _MADE))
     chosen = matches.groupBy("outline_id").agg(F.sum("section_id").alias("sections"))
     return coverage(matches).join(chosen, "outline_id")
+
+
+#: From which lexical points a card is considered without its section type, and without its equipment.
+LEXICAL, LEXICAL_ALONE = 2, 3
+
+
+def product_matches(requests: DataFrame, cards_: DataFrame, most: int = 3) -> DataFrame:
+    """(request_id, card_id, points, place): the product cards that go with each request by its words, section type and equipment.
+
+    requests: (request_id, bundle_id, query, section_type, equipment_type); cards_: (bundle_id, card_id, texts, sections, equipment,
+    entry_count), sections and equipment arrays of struct<value, count>. Requests meet the cards of their own bundle, a short list.
+    A card needs its section type or LEXICAL points, and where equipment is asked for that it has not, its section type or
+    LEXICAL_ALONE points. Ties go to the larger entry count, then to the lesser id.
+    """
+    c = F.col
+    pairs = requests.join(cards_, "bundle_id")
+    words = F.aggregate(F.transform(F.coalesce("texts", F.array().cast("array<string>")), lambda t: text_match(F.coalesce(t, F.lit("")), c("query"))), F.lit(0), lambda s, n: s + n)
+    rows = pairs.withColumns({"query": F.coalesce("query", F.lit("")), "_s": F.coalesce("section_type", F.lit("")), "_e": F.lower(F.coalesce("equipment_type", F.lit("")))})
+    rows = rows.withColumns({"_words": words, "_section": distribution_count(c("sections"), "value", c("_s")), "_equipment": distribution_count(c("equipment"), "value", c("_e"))})
+    asked = ~c("_e").isin("", "generic", "unknown")
+    fits = (c("_section") > 0) | ((c("_words") >= LEXICAL) & ~(asked & (c("_equipment") <= 0) & (c("_words") < LEXICAL_ALONE)))
+    found = rows.filter(fits).withColumn("points", c("_section") + c("_words") + c("_equipment"))
+    order = Window.partitionBy("request_id").orderBy(F.desc("points"), F.desc("entry_count"), "card_id")
+    return found.withColumn("place", F.row_number().over(order)).filter(c("place") <= most).select("request_id", "card_id", "points", "place")
+
+
+_WANTS = "SELECT c_custkey AS request_id, CAST(floor(c_custkey / 120) AS INT) AS bundle_id, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'the red bolt x' ELSE 'Supplier ' || CAST(c_custkey % 90 AS STRING) || ' bolt ring' END AS query, CASE c_custkey % 4 WHEN 0 THEN 'Unknown' WHEN 1 THEN 'T1' WHEN 2 THEN 't2' ELSE '' END AS section_type, CASE c_custkey % 3 WHEN 0 THEN 'generic' WHEN 1 THEN 'lci' ELSE 'VFD' END AS equipment_type FROM {customer}"
+_OFFERS = "SELECT CAST(floor(s_suppkey / 8) AS INT) AS bundle_id, s_suppkey AS card_id, CASE s_suppkey % 4 WHEN 0 THEN 'red  Bolt|ring' WHEN 1 THEN 'Supplier ' || CAST(s_suppkey AS STRING) WHEN 2 THEN '' ELSE 'ring|bolt|the' END AS texts, CASE s_suppkey % 3 WHEN 0 THEN 't1:3|T2:1' WHEN 1 THEN 't2:2|t2:5' ELSE '' END AS sections, CASE s_suppkey % 5 WHEN 0 THEN 'vfd:2' WHEN 1 THEN 'lci:4|generic:9' ELSE '' END AS equipment, s_nationkey AS entry_count FROM {supplier}"
+
+
+def _sql_matches() -> str:
+    flat = lambda x: f"trim(regexp_replace(lower({x}), '\\s+', ' ', 'g'), ' ')"
+    words = lambda x: f"list_distinct(regexp_extract_all({flat(x)}, '[a-z0-9_+-]{{2,}}|[一-鿿]{{2,}}'))"
+    parts = lambda x: f"list_filter(string_split({x}, '|'), lambda v: v <> '')"
+    count = lambda x, want: f"CASE WHEN lower({want}) IN ('', 'generic', 'unknown') THEN 0 ELSE coalesce(list_max(list_transform(list_filter({parts(x)}, lambda v: lower(string_split(v, ':')[1]) = lower({want})), lambda v: string_split(v, ':')[2]::DOUBLE)), 0) END::DOUBLE"
+    lexical = f"list_sum(list_transform({parts('texts')} || [''], lambda t: CASE WHEN {flat('t')} = '' THEN 0 ELSE CASE WHEN contains({flat('query')}, {flat('t')}) THEN 3 ELSE 0 END + len(list_intersect({words('query')}, {words('t')})) END))"
+    return f"""WITH p AS (SELECT *, {lexical} AS w, {count('sections', 'section_type')} AS s, {count('equipment', 'equipment_type')} AS e FROM ({plain(_WANTS)}) JOIN ({plain(_OFFERS)}) USING (bundle_id)),
+    f AS (SELECT *, s + w + e AS points FROM p WHERE s > 0 OR (w >= 2 AND NOT (lower(equipment_type) NOT IN ('', 'generic', 'unknown') AND e <= 0 AND w < 3))), r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY points DESC, entry_count DESC, card_id) AS place FROM f) SELECT request_id, card_id, points::DOUBLE AS points, place::INT AS place FROM r WHERE place <= 3"""
+
+
+@query(_sql_matches())
+def product_card_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product cards that go with each request."""
+    items = lambda n: F.filter(F.split(n, "[|]"), lambda v: v != "")
+    counted = lambda n: F.transform(items(n), lambda v: F.struct(F.split(v, ":")[0].alias("value"), F.split(v, ":")[1].alias("count")))
+    offers = shaped(spark, sf_dir, _OFFERS).withColumns({"texts": items("texts"), "sections": counted("sections"), "equipment": counted("equipment")})
+    return product_matches(shaped(spark, sf_dir, _WANTS), offers)
