@@ -11,6 +11,7 @@ from ..functions import scores as S
 from ..functions import text as T
 from ..registry import plain, query, shaped, table
 from ..sources.shared import checkpointed
+from . import ranking
 
 #: What an item's score starts from, and what evidence, documents and reuse add to it (each and at most).
 ITEM_START, PER_EVIDENCE, EVIDENCE_MOST, PER_DOCUMENT, DOCUMENT_MOST, PER_REUSE, REUSE_MOST = 0.64, 0.055, 0.22, 0.04, 0.12, 0.01, 0.05
@@ -442,3 +443,45 @@ def product_card_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = lambda n: F.transform(items(n), lambda v: F.struct(F.split(v, ":")[0].alias("value"), F.split(v, ":")[1].alias("count")))
     offers = shaped(spark, sf_dir, _OFFERS).withColumns({"texts": items("texts"), "sections": counted("sections"), "equipment": counted("equipment")})
     return product_matches(shaped(spark, sf_dir, _WANTS), offers)
+
+
+#: Items whose terms are part of one plan.
+ITEM_BLOCK = 64
+#: The fields of an entry in which terms are looked for.
+FIELDS = ("heading_path", "source_heading", "summary", "content", "retrieval_text")
+
+
+def evidence_for_terms(items: DataFrame, entries: DataFrame, n: int) -> DataFrame:
+    """(item_id, entry, place): the first n entries, in their order, in one of whose fields stands a term of the item, whatever the case.
+
+    items: (item_id, terms), a lexicon, taken in blocks whose terms go into the plan; entries: (entry, place, FIELDS). An entry that
+    holds none of a block's terms gives no row, so no pair is made that does not match. Entries that occur again count once, after the cut.
+    """
+    c = F.col
+    hay = F.lower(F.concat_ws(" ", *(F.coalesce(f, F.lit("")) for f in FIELDS)))
+    kind = items.schema["item_id"].dataType
+    out = None
+    for block in ranking.query_blocks(items.select(c("item_id").alias("query_id"), F.filter(F.transform("terms", lambda t: F.lower(F.trim(t))), lambda t: t != "").alias("terms")), ITEM_BLOCK):
+        asked = F.array(*(F.struct(F.lit(r["query_id"]).cast(kind).alias("item_id"), F.array(*map(F.lit, r["terms"])).cast("array<string>").alias("terms")) for r in block.to_pylist()))
+        rows = entries.select("entry", "place", hay.alias("_hay")).withColumn("_q", F.explode(F.filter(asked, lambda q: F.exists(q["terms"], lambda t: c("_hay").contains(t)))))
+        found = rows.select("_q.item_id", "entry", "place")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return items.select("item_id", F.lit(None).alias("entry"), F.lit(0).alias("place")).limit(0)
+    order = Window.partitionBy("item_id").orderBy("place", "entry")
+    first = out.withColumn("_n", F.row_number().over(order)).filter(c("_n") <= n)
+    return first.groupBy("item_id", "entry").agg(F.min("_n").alias("place"))
+
+
+_TERMS_OF = "SELECT n_nationkey AS item_id, lower(substr(n_name, 1, 3)) || ',' || CASE n_nationkey % 4 WHEN 0 THEN ' Que ' WHEN 1 THEN 'der u' WHEN 2 THEN 'SRC' || CAST(n_nationkey % 5 AS STRING) ELSE '' END AS terms FROM {nation}"
+_FIELDS = "SELECT doc_id % 400 AS entry, doc_id AS place, source AS heading_path, lang AS source_heading, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'type' END AS summary, text AS content, 'generic' AS retrieval_text FROM {documents}"
+
+
+@query(
+    f"""WITH i AS (SELECT item_id, list_filter(list_transform(string_split(terms, ','), lambda t: lower(trim(t))), lambda t: t <> '') AS terms FROM ({plain(_TERMS_OF)})), e AS (SELECT entry, place, lower(heading_path || ' ' || source_heading || ' ' || coalesce(summary, '') || ' ' || content || ' ' || retrieval_text) AS hay FROM ({plain(_FIELDS)})),
+    m AS (SELECT item_id, entry, row_number() OVER (PARTITION BY item_id ORDER BY place, entry) AS n FROM i, e WHERE len(list_filter(terms, lambda t: contains(hay, t))) > 0) SELECT item_id, entry, min(n)::INT AS place FROM m WHERE n <= 600 GROUP BY 1, 2"""
+)
+def lexicon_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 600 places where terms of each item stand, each entry once."""
+    items = shaped(spark, sf_dir, _TERMS_OF).withColumn("terms", F.split("terms", ","))
+    return evidence_for_terms(items, shaped(spark, sf_dir, _FIELDS), 600)
