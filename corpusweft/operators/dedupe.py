@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
-from ..registry import query, table
+from ..registry import plain, query, shaped, table
 
 
 def distinct_in_order(values: Column) -> Column:
@@ -68,3 +68,42 @@ def source_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of one key: uploaded ones come before baseline ones, then the first."""
     rank = F.struct((F.col("o_orderstatus") != "O").alias("baseline"), "o_orderkey")
     return table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.min_by("o_orderkey", rank).alias("o_orderkey"))
+
+
+#: Fixed value: the flag of an item into which others were merged.
+MERGED = "human_merged"
+SETS = ("aliases", "documents", "evidence")
+
+
+def merged_items(items: DataFrame, merges: DataFrame) -> DataFrame:
+    """The items (item_id, item_type, aliases, documents, evidence, flags) with what was merged into them, and ``merged_into`` of those that went into another.
+
+    merges: (target_id, source_id, place). The sets of a target come first, then those of its sources by place, each value once.
+    Only other items of the same type are merged; other rows of merges change nothing, nor do sources that are not there.
+    """
+    c = F.col
+    none = F.array().cast("array<string>")
+    rows = items.withColumns({n: F.coalesce(n, none) for n in (*SETS, "flags")})
+    target, source = rows.select(c("item_id").alias("target_id"), c("item_type").alias("_type")), rows.select(c("item_id").alias("source_id"), c("item_type").alias("_own"), *SETS)
+    valid = merges.join(target, "target_id").join(source, "source_id").filter((c("target_id") != c("source_id")) & (c("_type") == c("_own")))
+    gained = valid.groupBy("target_id").agg(F.sort_array(F.collect_list(F.struct("place", "source_id", *SETS))).alias("_g"))  # what an editor merged by hand
+    gone = valid.groupBy(c("source_id").alias("item_id")).agg(F.min("target_id").alias("merged_into"))
+    joined = rows.join(gained.withColumnRenamed("target_id", "item_id"), "item_id", "left").join(gone, "item_id", "left")
+    union = {n: F.array_distinct(F.concat(c(n), F.coalesce(F.flatten(c(f"_g.{n}")), none))) for n in SETS}
+    return joined.withColumns(union | {"flags": F.when(c("_g").isNotNull(), F.array_distinct(F.concat("flags", F.array(F.lit(MERGED))))).otherwise(c("flags"))}).drop("_g")
+
+
+_WIKI = "SELECT p_partkey AS item_id, 't' || CAST(p_size % 3 AS STRING) AS item_type, p_type || ',' || p_brand AS aliases, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'd' || CAST(p_size AS STRING) || ',d' || CAST(p_size % 7 AS STRING) END AS documents, 'e' || CAST(p_partkey % 11 AS STRING) AS evidence, CASE p_partkey % 4 WHEN 0 THEN 'human_merged' ELSE 'x' END AS flags FROM {part}"
+_MERGES = "SELECT CAST(floor(l_partkey / 4) * 4 AS BIGINT) AS target_id, l_partkey AS source_id, min(l_orderkey) AS place FROM {lineitem} WHERE l_quantity > 30 GROUP BY l_partkey"
+
+
+@query(
+    f"""WITH i AS (SELECT item_id, item_type, {', '.join(f"coalesce(string_split({n}, ','), []) AS {n}" for n in (*SETS, 'flags'))} FROM ({plain(_WIKI)})), v AS (SELECT m.target_id, m.source_id, m.place, s.aliases, s.documents, s.evidence FROM ({plain(_MERGES)}) m JOIN i t ON t.item_id = m.target_id JOIN i s ON s.item_id = m.source_id WHERE m.target_id <> m.source_id AND s.item_type = t.item_type),
+    g AS (SELECT target_id AS item_id, {', '.join(f"flatten(list({n} ORDER BY place, source_id)) AS g_{n}" for n in SETS)} FROM v GROUP BY 1), j AS (SELECT i.*, {', '.join(f"{n} || coalesce(g_{n}, []) AS all_{n}" for n in SETS)}, g.item_id IS NOT NULL AS hit, (SELECT min(target_id) FROM v WHERE v.source_id = i.item_id) AS merged_into FROM i LEFT JOIN g USING (item_id))
+    SELECT item_id, {', '.join(f"array_to_string(list_filter(all_{n}, lambda x, k: NOT list_contains(list_slice(all_{n}, 1, k - 1), x)), ',') AS {n}" for n in SETS)}, array_to_string(CASE WHEN hit AND NOT list_contains(flags, 'human_merged') THEN list_append(flags, 'human_merged') ELSE flags END, ',') AS flags, merged_into FROM j"""
+)
+def wiki_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items after others were merged into them."""
+    items = shaped(spark, sf_dir, _WIKI).withColumns({n: F.split(n, ",") for n in (*SETS, "flags")})
+    found = merged_items(items, shaped(spark, sf_dir, _MERGES))
+    return found.select("item_id", *(F.array_join(n, ",").alias(n) for n in (*SETS, "flags")), "merged_into")
