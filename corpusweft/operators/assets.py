@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -290,3 +293,53 @@ def channel_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("label") % 2 == 0, F.lit("even")).otherwise(F.lit("odd")).alias("channel"), F.col("embedding").alias("vector"))
     asked = points.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.explode(F.array(F.lit("even"), F.lit("odd"))).alias("channel"), "vector")  # the stated query set
     return best_channels(points, asked, 5).withColumn("score", F.round("score", 6))
+
+
+#: Section types for which layouts, photos, tables, curves and papers are noise, and what each costs.
+SCHEMES, CONTROLS, SPECS, OVERVIEWS = ("main_circuit_scheme", "overall_solution", "control_logic", "protection_interlock"), ("protection_interlock", "control_logic", "communication_interface"), ("vfd_spec", "starter_spec"), ("main_circuit_scheme", "overall_solution", "communication_interface")
+LAYOUT_COST, PHOTO_COST, UNFOCUSED_COST, STRANGE_COST, CURVE_COST, PAPER_COST = 0.55, 0.68, 0.45, 0.24, 0.34, 0.18
+
+
+@dataclass(frozen=True)
+class NoisePatterns:
+    """What noise looks like in an asset's titles and captions: patterns, and words of certificates."""
+
+    layout: str
+    photo: str
+    control: str
+    strange_table: str
+    curve: str
+    drive: str
+    papers: tuple[str, ...]
+
+
+def section_noise(target: Column, role: Column, kind: Column, text: Column, patterns: NoisePatterns) -> Column:
+    """What an asset loses for a section type that its layout, photo, table, curve or paper does not help."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    close = F.regexp_replace(low, r"\s+", "")
+    role, kind = F.lower(F.coalesce(role, F.lit(""))), F.coalesce(kind, F.lit(""))
+    focused = low.rlike(patterns.control)
+    papers = reduce(lambda a, b: a | b, (low.contains(w) | close.contains(w.replace(" ", "")) for w in patterns.papers), F.lit(False))
+    table = target.isin(*CONTROLS) & (kind == "table") & ~focused
+    costs = [
+        (target.isin(*SCHEMES) & role.isin("illustration", "layout_drawing") & low.rlike(patterns.layout), LAYOUT_COST), (target.isin(*SCHEMES) & ((role == "product_photo") | low.rlike(patterns.photo)), PHOTO_COST),
+        (table, UNFOCUSED_COST), (table & low.rlike(patterns.strange_table), STRANGE_COST), (target.isin(*SPECS) & low.rlike(patterns.curve) & ~low.rlike(patterns.drive), CURVE_COST), (target.isin(*OVERVIEWS) & papers, PAPER_COST),
+    ]
+    return reduce(lambda total, cost: total + F.when(F.coalesce(cost[0], F.lit(False)), F.lit(cost[1])).otherwise(F.lit(0.0)), costs, F.lit(0.0))
+
+
+_SEEN = NoisePatterns("ring|bolt", "gizmo", "gear|red", "widget", "pump", "valve", ("large gear", "promo"))
+_TARGETED = """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'main_circuit_scheme' WHEN 1 THEN 'overall_solution' WHEN 2 THEN 'control_logic' WHEN 3 THEN 'communication_interface' WHEN 4 THEN 'vfd_spec' WHEN 5 THEN 'starter_spec' WHEN 6 THEN 'protection_interlock' ELSE 'other' END AS target,
+    CASE p_size % 5 WHEN 0 THEN 'Illustration' WHEN 1 THEN 'layout_drawing' WHEN 2 THEN 'product_photo' WHEN 3 THEN NULL ELSE 'figure' END AS role, CASE p_partkey % 3 WHEN 0 THEN 'table' ELSE 'figure' END AS kind, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE p_name || ' ' || p_type END AS text FROM {part}"""
+_IN = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+@query(
+    f"""WITH t AS (SELECT p_partkey, target, lower(coalesce(role, '')) AS role, kind, lower(coalesce(text, '')) AS low FROM ({plain(_TARGETED)})), f AS (SELECT *, regexp_matches(low, '{_SEEN.control}') AS focused, {" OR ".join(f"contains(low, '{w}') OR contains(replace(low, ' ', ''), '{w.replace(' ', '')}')" for w in _SEEN.papers)} AS papers FROM t)
+    SELECT p_partkey, round(CASE WHEN target IN {_IN(SCHEMES)} AND role IN ('illustration', 'layout_drawing') AND regexp_matches(low, '{_SEEN.layout}') THEN 0.55 ELSE 0 END::DOUBLE + CASE WHEN target IN {_IN(SCHEMES)} AND (role = 'product_photo' OR regexp_matches(low, '{_SEEN.photo}')) THEN 0.68 ELSE 0 END::DOUBLE + CASE WHEN target IN {_IN(CONTROLS)} AND kind = 'table' AND NOT focused THEN CASE WHEN regexp_matches(low, '{_SEEN.strange_table}') THEN 0.69 ELSE 0.45 END ELSE 0 END::DOUBLE
+      + CASE WHEN target IN {_IN(SPECS)} AND regexp_matches(low, '{_SEEN.curve}') AND NOT regexp_matches(low, '{_SEEN.drive}') THEN 0.34 ELSE 0 END::DOUBLE + CASE WHEN target IN {_IN(OVERVIEWS)} AND papers THEN 0.18 ELSE 0 END::DOUBLE, 6) AS penalty FROM f"""
+)
+def asset_section_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each asset loses for the section type it is meant for."""
+    c = F.col
+    return shaped(spark, sf_dir, _TARGETED).select("p_partkey", F.round(section_noise(c("target"), c("role"), c("kind"), c("text"), _SEEN), 6).alias("penalty"))
