@@ -244,3 +244,56 @@ def asset_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeated_paragraphs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first pairs of paragraphs of each draft that say the same; a unit test holds them against a plain version."""
     return repeated_paragraphs(shaped(spark, sf_dir, _DRAFTS))
+
+
+#: What older projects were about, words of their starting sequence, sections in which that may stand; technical section types, and words of headings that do not belong there.
+OLD_OBJECTS = ("高浓磨机", "磨机", "高炉鼓风机", "鼓风机", "压缩机", "油站", "冷却器")
+OLD_SEQUENCE = ("lci", "sfc", "变频软起", "软起动", "软启动", "纯加速", "换相", "同步切换", "工频切换", "励磁柜", "总启动时间")
+SEQUENCE_ALLOWED = ("lci", "sfc", "变频软起", "软起动", "软启动", "同步切换", "工频切换", "启动时间", "启动过程", "同步电机")
+SCHEME_TYPES = ("overall_solution", "main_circuit_scheme", "vfd_spec", "starter_spec", "motor_spec", "transformer_spec", "control_logic", "communication_interface", "protection_interlock")
+STRAY_HEADINGS = ("培训", "售后", "维保", "质保", "巡检", "备品备件", "配件及工具", "建设、经营", "建设经营", "经营方案", "运营模式", "项目建设", "项目实施", "实施进度", "进度规划", "进度计划", "进度安排", "施工进度", "节能效益分享", "收益回收", "所有权", "合同期满")
+DRIFT_SHOWN = 4
+
+
+def tokens_in(text: Column, tokens: tuple[str, ...]) -> Column:
+    """The tokens that a text holds, whatever the case and white space, in their own order."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    close = F.regexp_replace(low, r"\s+", "")
+    return F.array_compact(F.array(*(F.when(low.contains(t) | close.contains(t.replace(" ", "")), F.lit(t)) for t in tokens)))
+
+
+def drift_issues(section: Column, project: Column, section_type: Column, text: Column, objects: tuple[str, ...] = OLD_OBJECTS, sequence: tuple[str, ...] = OLD_SEQUENCE, allowed: tuple[str, ...] = SEQUENCE_ALLOWED, stray: tuple[str, ...] = STRAY_HEADINGS) -> Column:
+    """array<struct<code, target>>: old projects' objects or starting sequence in a section that is not about them (SQ014), and a heading that does not belong into a technical section (SQ015).
+
+    section, project: what title, purpose and keywords of the section and the fields of the project say.
+    """
+    whole = F.array_join(body(text), "\n\n")
+    told = F.concat_ws(" ", section, project)
+    some = lambda x, words: F.size(tokens_in(x, words)) > 0
+    of_objects, of_sequence = tokens_in(whole, objects), tokens_in(whole, sequence)
+    issue = lambda code, x: F.struct(F.lit(code).alias("code"), x.alias("target"))
+    shown = lambda hits: F.array_join(F.slice(hits, 1, DRIFT_SHOWN), "、")
+    old = F.when((F.size(of_objects) > 0) & ~some(told, allowed) & ~some(told, objects), issue("SQ014", shown(of_objects))).when((F.size(of_sequence) >= 2) & ~some(told, allowed), issue("SQ014", shown(of_sequence)))
+    off = F.filter(draft_headings(text), lambda h: (h["level"] > 2) & some(h["title"], stray))
+    return F.when(whole != "", F.array_compact(F.array(old, F.when(F.lower(section_type).isin(*SCHEME_TYPES) & (F.size(off) > 0), issue("SQ015", F.get(off, F.lit(0))["title"]))))).otherwise(F.array().cast("array<struct<code:string,target:string>>"))
+
+
+_DRIFT = """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '启动过程' WHEN 1 THEN 'the hat' ELSE 'plain' END AS section, CASE doc_id % 7 WHEN 0 THEN 'P que' WHEN 1 THEN 'lci 改造' ELSE lang END AS project, CASE doc_id % 3 WHEN 0 THEN 'VFD_spec' ELSE 'other' END AS section_type,
+    CASE doc_id % 4 WHEN 0 THEN '### 2.1 质保 与服务' || chr(10) WHEN 1 THEN '## 培训' || chr(10) || '#### 实施 进度' || chr(10) ELSE '' END || replace(substr(text, 1, 300), chr(10), chr(10) || chr(10)) || CASE doc_id % 6 WHEN 0 THEN ' 鼓风 机 SFC' WHEN 1 THEN ' 换相, LCI' WHEN 2 THEN ' 油站' ELSE '' END AS text FROM {documents}"""
+_OLD = ("que", "鼓风机", "油站", "hat t")
+
+
+def _sql_tokens(text: str, tokens: tuple[str, ...]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN contains(lower({text}), '{t}') OR contains(regexp_replace(lower({text}), '\\s+', '', 'g'), '{t.replace(' ', '')}') THEN '{t}' END" for t in tokens) + "], lambda x: x IS NOT NULL)"
+
+
+@query(
+    rf"""WITH d AS (SELECT *, array_to_string({_SQL_BODY}, chr(10) || chr(10)) AS w, section || ' ' || project AS told, list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP.format('x')}), lambda x: regexp_matches(x, '^#{{3,6}}\s+\S')), lambda x: {_STRIP.format("regexp_replace(x, '^#{2,6}\\s+', '')")}) AS heads FROM ({plain(_DRIFT)})),
+    h AS (SELECT *, {_sql_tokens("w", _OLD)} AS a, {_sql_tokens("w", OLD_SEQUENCE)} AS b, len({_sql_tokens("told", SEQUENCE_ALLOWED)}) > 0 AS ok, len({_sql_tokens("told", _OLD)}) > 0 AS own, list_filter(heads, lambda q: len({_sql_tokens("q", STRAY_HEADINGS)}) > 0) AS off FROM d WHERE w <> '')
+    SELECT doc_id, 'SQ014' AS code, array_to_string(list_slice(CASE WHEN len(a) > 0 AND NOT ok AND NOT own THEN a ELSE b END, 1, 4), '、') AS target FROM h WHERE NOT ok AND ((len(a) > 0 AND NOT own) OR len(b) >= 2) UNION ALL SELECT doc_id, 'SQ015', off[1] FROM h WHERE lower(section_type) = 'vfd_spec' AND len(off) > 0"""
+)
+def drift_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where drafts drift to other projects or other sections."""
+    c = F.col
+    found = shaped(spark, sf_dir, _DRIFT).select("doc_id", F.explode(drift_issues(c("section"), c("project"), c("section_type"), c("text"), _OLD)).alias("i"))
+    return found.select("doc_id", "i.code", "i.target")
