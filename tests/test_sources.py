@@ -54,3 +54,39 @@ def test_holdout_sections_are_of_many_types(spark):
         out = E.holdout_sections(df, limit).orderBy("document_id", "place").collect()
         assert [r.section_id for r in out if r.document_id == 1] == greedy([(n, p, k) for n, p, k, _ in rows], limit)
         assert [r.section_id for r in out if r.document_id == 2] == [98]
+
+
+def test_registry_is_read_from_its_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from corpusweft.operators import taxonomy
+
+    write = lambda name, value: (tmp_path / f"{name}.json").write_text(json.dumps(value), encoding="utf-8")
+    write("synonyms", {"schema_version": 1, "synonym_groups": [{"canonical": "VFD", "aliases": ["变频器", " vfd "]}, {"canonical": "LCI", "aliases": None}]})
+    write("section_types", {"schema_version": 1, "section_types": [{"key": "Control", "label": "x", "keywords": ["控制", "Logic"], "support_content_forms": ["figure"], "related_section_types": ["other"]}], "content_form_terms": {"Certificate": ["License"]}})
+    write("retrieval_policies", {"schema_version": 1, "section_type_groups": {"extractive_section_types": ["control"]}, "mappings": {"section_asset_query_hints": {"control": ["diagram"]}}})
+    r = taxonomy.read_registry(spark, str(tmp_path))
+    assert r.synonyms == (("vfd", "变频器"), ("lci",)) and r.section_types == (("control", ("控制", "logic")),) and r.equipment_types == ()
+    assert (r.content_forms, r.support_forms, r.related_types, r.extractive) == ({"certificate": ("license",)}, {"control": ("figure",)}, {"control": ("other",)}, ("control",))
+    df = spark.createDataFrame([("control",), ("x",)], "s string")
+    out = {row.s: row.p for row in df.select("s", taxonomy.policy(r, F.col("s")).alias("p")).collect()}
+    assert (out["control"].hints, out["control"].extractive, out["x"].hints, out["x"].extractive) == (["diagram"], True, [], False)
+    write("equipment_types", {"equipment_types": []})
+    import pytest
+
+    with pytest.raises(ValueError):
+        taxonomy.read_registry(spark, str(tmp_path))
+
+
+def test_channels_keep_their_dimension_and_keys_their_numbers(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from corpusweft.operators import cases, materials
+
+    vectors = spark.createDataFrame([(1, "a", [1.0, 2.0]), (2, "a", [1.0]), (3, "b", [1.0]), (4, "b", None), (5, "a", [3.0, 4.0])], "id int, channel string, vector array<double>")
+    assert {r.id for r in materials.channel_tables(vectors).collect()} == {1, 3, 5}
+    ids = spark.createDataFrame([(x,) for x in ("3.10", "3.9", "3", "x", "3.9.1")], "s string")
+    assert [r.s for r in ids.orderBy(materials.natural_key(F.col("s"))).collect()] == ["3", "3.9", "3.9.1", "3.10", "x"]
+    near = lambda *a: spark.range(1).select(cases.neighbour_score(*map(F.lit, a)).alias("s")).first().s
+    assert round(near(1, False, True, True, False, False, 0.1), 6) == round(0.38 - 0.04 + 0.05 + 0.22 + 0.1, 6)
+    assert round(near(20, True, False, False, False, True, 0.0), 6) == round(0 - 0.18 - 0.04, 6) and round(near(0, False, False, False, True, False, 0.0), 6) == 0.48
