@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import registry
 from .operators import aggregates, assets, caps, cases, chunking, cleaning, dedupe, drafts, evaluation, evidence, excerpts, joins, knowledge, lookups, masking, materials, predicates, projections, ranking, records, reuse, scoring, search, similar, taxonomy, validation  # noqa: F401  they register their queries
-from .plans import compiling  # noqa: F401
+from .plans import compiling, requirements  # noqa: F401
 from .sources import json_strings  # noqa: F401
 from .streaming import index_sink, replay  # noqa: F401
 
