@@ -3,7 +3,7 @@
 The ratio is 2M / (|a| + |b|), M characters matched in order. A pair at or above a threshold leaves few characters of
 either text unmatched, an unmatched one breaks at most q of a text's q-grams, and so all but K of a text's q-grams occur
 in the other, where K follows from its length and the threshold. Put the q-grams of all texts in one order: then the first
-K + 1 of either text hold a common one, and only pairs that share such a key are looked at. The order has rare q-grams
+K + SHARED of either text hold SHARED common ones, and only pairs that share so many such keys are looked at. The order has rare q-grams
 first, so a q-gram that thousands of texts share is a key of none that has K + 1 rarer ones. The order's counts are only
 coarse, which costs candidates, never pairs.
 """
@@ -25,6 +25,8 @@ from . import drafts as D
 
 #: Counters of the order of q-grams: one row each reaches the driver at most.
 COUNTERS = 1 << 18
+#: How many of their keys two texts have to share, where both are long enough to have so many more than they may lack.
+SHARED = 8
 #: Rounds in which only the first of each group of candidates is compared with the rest, before all pairs that are left.
 ROUNDS = 2
 #: Every character that counts as white space, for texts that are compared without it.
@@ -84,7 +86,9 @@ def rarity(texts: DataFrame, q: int) -> np.ndarray:
 
 
 def keyed(texts: DataFrame, threshold: float, level: np.ndarray, scope: Column | None = None) -> DataFrame:
-    """(id, size, key): the first K + 1 q-grams of each text (id, text), rare ones first; a repeated q-gram is another one each time.
+    """(id, size, need, key): the first K + SHARED q-grams of each text (id, text), rare ones first; a repeated q-gram is another one each time.
+
+    need: how many keys a text shares at least with one that is similar to it, as far as its own length says.
 
     scope: texts of different scopes have different keys, but for chance.
     """
@@ -108,13 +112,23 @@ def keyed(texts: DataFrame, threshold: float, level: np.ndarray, scope: Column |
             order = np.lexsort((keys, rank, of[order]))
             ends = np.cumsum(counts)
             sizes = np.fromiter(map(len, words), np.int64, len(words))
-            take = np.minimum(counts, np.floor(sizes * share + 1e-9).astype(np.int64) + 1)
+            lacking = np.floor(sizes * share + 1e-9).astype(np.int64)
+            take, need = np.minimum(counts, lacking + SHARED), np.clip(counts - lacking, 1, SHARED)
             own = batch.column(2).to_numpy().view(np.uint64)
             at = order[np.repeat(ends - counts - (np.cumsum(take) - take), take) + np.arange(take.sum())]
             who = np.repeat(np.arange(len(words)), take)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(sizes[who]), pa.array(((keys[at] ^ own[who]) * MIX).view(np.int64))], names=["id", "size", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(sizes[who]), pa.array(need[who].astype(np.int32)), pa.array(((keys[at] ^ own[who]) * MIX).view(np.int64))], names=["id", "size", "need", "key"])
+
+    return texts.select("id", "text", (F.lit(0).cast("long") if scope is None else F.xxhash64(scope)).alias("scope")).mapInArrow(run, f"id {kind}, size long, need int, key long")
+
 
-    return texts.select("id", "text", (F.lit(0).cast("long") if scope is None else F.xxhash64(scope)).alias("scope")).mapInArrow(run, f"id {kind}, size long, key long")
+def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float, wanted: Column | None = None) -> DataFrame:
+    """(a, b) of the keyed texts of both sides that share as many keys as both need and whose lengths allow the threshold; wanted: a test of a, b, m, n."""
+    of = lambda df, i, n, k: df.select(F.col("id").alias(i), F.col("size").alias(n), F.col("need").alias(k), "key")
+    met = of(left, "a", "n", "_x").join(of(right, "b", "m", "_y"), "key").filter(close_lengths(F.col("m"), F.col("n"), threshold))
+    met = met if wanted is None else met.filter(wanted)
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("_n"), F.min(F.least("_x", "_y")).alias("_need"))
+    return counted.filter(F.col("_n") >= F.col("_need")).select("a", "b")
 
 
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -152,9 +166,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, earlier:
     left, right = long(left), long(right)
     level = rarity(left.select("text").union(right.select("text")), q)
     a, b = keyed(left, threshold, level), keyed(right, threshold, level)
-    a, b = a.select(F.col("id").alias("a"), F.col("size").alias("m"), "key"), b.select(F.col("id").alias("b"), F.col("size").alias("n"), "key")
-    wanted = F.col("b") < F.col("a") if earlier else F.lit(True)
-    pairs = a.join(b, "key").filter(wanted & close_lengths(F.col("m"), F.col("n"), threshold)).select("a", "b").distinct()
+    pairs = candidate_pairs(a, b, threshold, F.col("b") < F.col("a") if earlier else None)
     return verified(pairs, left, right, threshold)
 
 
@@ -186,15 +198,23 @@ def near_repeats(texts: DataFrame, threshold: float, least: int, scope: str | No
     """
     q = gram_size(threshold)
     shortest = max(math.ceil(least * threshold / (2 - threshold) - 1e-9), 2 * q - 1)
-    texts = checkpointed(texts.filter(F.length("text") >= shortest).select("id", "text"))
-    keys = checkpointed(keyed(texts, threshold, rarity(texts, q), None if scope is None else F.col(f"id.{scope}")))
+    own = F.lit(None).cast("string") if scope is None else F.col(f"id.{scope}")
+    # numbers in the order of the ids, which are small and compare fast; the checkpoint holds them fast
+    rows = texts.filter(F.length("text") >= shortest).orderBy("id").select(F.monotonically_increasing_id().alias("n"), "id", own.alias("scope"), "text")
+    rows = checkpointed(rows)
+    texts = rows.select(F.col("n").alias("id"), "text")
+    keys = keyed(rows.select(F.col("n").alias("id"), "text", "scope"), threshold, rarity(texts, q), None if scope is None else F.col("scope"))
+    # most of the rarest q-grams are in one text alone
+    keys = checkpointed(keys.withColumn("_n", F.count("*").over(Window.partitionBy("key"))).filter("_n > 1").drop("_n"))
     gone = texts.select("id").limit(0)
 
     def candidates(first: DataFrame, rest: DataFrame) -> DataFrame:
-        early, late = (df.select(F.col("id").alias(i), F.col("size").alias(n), "key") for df, i, n in ((first, "b", "m"), (rest, "a", "n")))
-        same = F.lit(True) if scope is None else F.col(f"a.{scope}").eqNullSafe(F.col(f"b.{scope}"))
-        met = early.join(late, "key").filter(same & (F.col("b") < F.col("a")) & (F.col("n") >= least) & close_lengths(F.col("m"), F.col("n"), threshold))
-        return verified(met.select("a", "b").distinct(), texts, texts, threshold)
+        met = candidate_pairs(rest, first, threshold, (F.col("b") < F.col("a")) & (F.col("n") >= least))
+        found = verified(met, texts, texts, threshold)
+        if scope is None:
+            return found
+        of = lambda side: rows.select(F.col("n").alias(side), F.col("scope").alias(f"_{side}"))  # noqa: E731  keys of two scopes may be equal by chance
+        return found.join(of("a"), "a").join(of("b"), "b").filter(F.col("_a").eqNullSafe(F.col("_b"))).select("a", "b", "ratio")
 
     for _ in range(ROUNDS):
         heads = keys.groupBy("key").agg(F.min("id").alias("head"))
@@ -203,7 +223,8 @@ def near_repeats(texts: DataFrame, threshold: float, least: int, scope: str | No
         gone = gone.union(lost)
         keys = checkpointed(keys.join(certain.union(lost), "id", "left_anti"))
     more = settled(checkpointed(candidates(keys, keys).select("a", "b")))
-    return gone if more is None else gone.union(more)
+    lost = gone if more is None else gone.union(more)
+    return rows.join(lost.select(F.col("id").alias("n")).distinct(), "n", "left_semi").select("id")
 
 
 def blocks_of(text: Column) -> Column:
