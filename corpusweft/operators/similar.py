@@ -294,9 +294,11 @@ def paragraph_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def library_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose whole text is at least 0.92 like that of an earlier one, with the ratio; a unit test holds them against a plain version."""
-    rows = shaped(spark, sf_dir, "SELECT doc_id AS id, text FROM {documents}").withColumn("text", D.plain_similarity(F.col("text"))).filter(F.length("text") >= D.REUSED_CHARS)
-    first = rows.groupBy("text").agg(F.min("id").alias("id")).select("id", "text")
-    pairs = similar_pairs(first, first, 0.92, earlier=True)
-    return pairs.groupBy(F.col("a").alias("doc_id")).agg(F.max_by(F.struct(F.col("b").alias("earlier"), F.round("ratio", 4).alias("score")), F.struct("ratio", (-F.col("b")).alias("order"))).alias("best")).select("doc_id", "best.*")
+def reuse_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the two lines before each line of the documents the one that it repeats most; a unit test holds the function against a plain version."""
+    docs = shaped(spark, sf_dir, "SELECT doc_id, source, text FROM {documents}")
+    lines = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line").cast("long"))
+    number = lambda line: F.col("doc_id") * 1_000_000 + line
+    sections = lines.select(number(F.col("line")).alias("section_id"), "text")
+    packs = lines.withColumn("place", F.explode(F.array(F.lit(1), F.lit(2)))).select(number(F.col("line") + F.col("place")).alias("section_id"), "place", number(F.col("line")).alias("block_id"), F.col("source").alias("source_title"), "text")
+    return reuse_similarity(sections, packs)
