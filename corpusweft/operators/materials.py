@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..registry import plain, query, shaped, table
 
 #: Order of reused blocks by kind, and the drop of a score that counts as a regression.
@@ -95,7 +96,7 @@ def compared(before: DataFrame, after: DataFrame, scores: list[str]) -> DataFram
 
 def gate_messages(metrics: dict[str, tuple[Column, float]]) -> Column:
     """Messages of the metrics that are missing or below their least value."""
-    return F.array_compact(F.array(*(F.when(v.isNull(), F.lit(f"{n} is missing")).when(v < least, F.concat(F.lit(f"{n} "), F.format_string("%.4f", v), F.lit(f" is below {least:.4f}"))) for n, (v, least) in metrics.items())))
+    return F.array_compact(F.array(*(F.when(v.isNull(), F.lit(f"{n} is missing")).when(v < least, F.concat(F.lit(f"{n} "), T.fixed(v, 4), F.lit(f" is below {least:.4f}"))) for n, (v, least) in metrics.items())))
 
 
 def overlap_share(a: dict[str, Column], b: dict[str, Column]) -> Column:

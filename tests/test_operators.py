@@ -168,3 +168,9 @@ def test_preceding_context_holds_all_prior_turns_whole(spark):
     assert got[1, 8] == ("\n".join(texts[:6]), "t0、t1、t3 etc.")
     assert got[1, 3] == ("\n".join(texts[:3]), "t0、t1")
     assert got[1, 0] == got[2, 0] == ("", "")
+
+
+def test_digits_are_those_of_the_double(spark):
+    values = [k / 1e6 for k in (*range(500, 1_000_000, 1000), 1, 999_999, 1_000_000)] + [0.4375, 0.0625, 2.5, 1e-9, -0.1235, 123456.7895, 1e17]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", text.fixed(F.col("v"), 3).alias("three"), text.fixed(F.col("v"), 4).alias("four")).collect()
+    assert [(r.three, r.four) for r in rows] == [(f"{r.v:.3f}", f"{r.v:.4f}") for r in rows]
