@@ -144,13 +144,23 @@ def card_evidence(cards_: DataFrame, entries: DataFrame, limit: int) -> DataFram
     return total.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit)
 
 
+def title_parts(title: Column) -> Column:
+    """What titles are compared by: their words and their pairs of characters; numbers in front do not count."""
+    bare = F.regexp_replace(F.lower(title), r"^\s*\d+(\.\d+)*\s*", "")
+    words = F.array_distinct(F.regexp_extract_all(bare, F.lit("[A-Za-z0-9]+|[一-鿿]{2,}"), 0))
+    close = F.regexp_replace(bare, r"[^a-z0-9一-鿿]+", "")
+    pairs = F.array_distinct(F.when(F.length(close) > 1, F.transform(F.sequence(F.lit(1), F.length(close) - 1), lambda i: F.substr(close, i, F.lit(2)))).otherwise(F.array(close)))
+    return F.struct(words.alias("words"), pairs.alias("pairs"))
+
+
+def parts_similarity(a: Column, b: Column) -> Column:
+    """The larger of the overlaps of two titles' words and pairs of characters."""
+    return F.greatest(S.jaccard(a["words"], b["words"]), S.jaccard(a["pairs"], b["pairs"]))
+
+
 def title_similarity(a: Column, b: Column) -> Column:
     """The larger of the overlaps of words and of pairs of characters; numbers in front do not count."""
-    bare = lambda c: F.regexp_replace(F.lower(c), r"^\s*\d+(\.\d+)*\s*", "")
-    words = lambda c: F.array_distinct(F.regexp_extract_all(bare(c), F.lit("[A-Za-z0-9]+|[一-鿿]{2,}"), 0))
-    close = lambda c: F.regexp_replace(bare(c), r"[^a-z0-9一-鿿]+", "")
-    pairs = lambda c: F.array_distinct(F.when(F.length(close(c)) > 1, F.transform(F.sequence(F.lit(1), F.length(close(c)) - 1), lambda i: F.substr(close(c), i, F.lit(2)))).otherwise(F.array(close(c))))
-    return F.greatest(S.jaccard(words(a), words(b)), S.jaccard(pairs(a), pairs(b)))
+    return parts_similarity(title_parts(a), title_parts(b))
 
 
 def alias_groups(pairs: DataFrame) -> DataFrame:
@@ -336,10 +346,10 @@ def _sql_similarity(a: str, b: str) -> str:
 )
 def outline_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each title of a baseline the generated section that comes nearest, and whether it covers it."""
-    wanted = table(spark, sf_dir, "part").select(F.col("p_type").alias("title")).distinct()
-    made = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("section_id"), F.concat((F.col("n_nationkey") % 7).cast("string"), F.lit(".1 "), F.lower("n_name"), F.lit(" polished steel")).alias("other"))
+    wanted = table(spark, sf_dir, "part").select(F.col("p_type").alias("title")).distinct().withColumn("own", title_parts(F.col("title")))
+    made = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("section_id"), F.concat((F.col("n_nationkey") % 7).cast("string"), F.lit(".1 "), F.lower("n_name"), F.lit(" polished steel")).alias("other")).withColumn("its", title_parts(F.col("other")))
     pairs = wanted.join(F.broadcast(made), F.lit(True))  # sections of one outline
-    best = F.max(F.struct(F.round(title_similarity(F.col("title"), F.col("other")), 6).alias("score"), (-F.col("section_id")).alias("order"))).alias("b")
+    best = F.max(F.struct(F.round(parts_similarity(F.col("own"), F.col("its")), 6).alias("score"), (-F.col("section_id")).alias("order"))).alias("b")
     found = pairs.groupBy("title").agg(best).select("title", (-F.col("b.order")).alias("section_id"), F.col("b.score").alias("score"))
     return found.select("title", "section_id", "score", (F.col("score") >= 0.55).alias("covered"), (F.col("score") < 0.34).alias("missing"))
 
@@ -370,10 +380,13 @@ def best_titles(baseline: DataFrame, generated: DataFrame) -> DataFrame:
     section, or none that is like it at all, is missing with a score of 0.
     """
     c = F.col
-    pairs = baseline.select("outline_id", "title").distinct().join(generated.select("outline_id", "section_id", c("title").alias("_other")), "outline_id", "left")
-    score = F.round(F.coalesce(title_similarity(F.coalesce("title", F.lit("")), F.coalesce("_other", F.lit(""))), F.lit(0.0)), 6)
+    # titles are taken apart once each, before they meet
+    wanted = baseline.select("outline_id", "title").distinct().withColumn("_own", title_parts(F.coalesce("title", F.lit(""))))
+    pairs = wanted.join(generated.select("outline_id", "section_id", c("title").alias("_other"), title_parts(F.coalesce("title", F.lit(""))).alias("_its")), "outline_id", "left")
+    score = F.round(F.coalesce(parts_similarity(c("_own"), c("_its")), F.lit(0.0)), 6)
     order = Window.partitionBy("outline_id", "title").orderBy(F.desc("score"), "section_id")
-    best = pairs.withColumn("score", F.when(c("_other").isNull(), F.lit(0.0)).otherwise(score)).withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+    scores = pairs.withColumn("score", F.when(c("_other").isNull(), F.lit(0.0)).otherwise(score)).drop("_own", "_its", "_other")
+    best = scores.withColumn("_n", F.row_number().over(order)).filter("_n = 1")
     return best.select("outline_id", "title", F.when(c("score") > 0, c("section_id")).alias("section_id"), "score", (c("score") >= COVERED).alias("covered"), (c("score") < MISSING).alias("missing"))
 
 
