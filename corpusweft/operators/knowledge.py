@@ -129,19 +129,32 @@ def distribution_count(distribution: Column, key: str, wanted: Column) -> Column
 def card_evidence(cards_: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
     """(card, entry, points, place): entries that share a document, section type, equipment type or term with a card, the best first.
 
-    cards_: (card, documents, sections, equipment, terms) of arrays, a short list. Each kind is an equi-join on the exploded
-    array; points of a pair are summed up, so no card meets entries with which it shares nothing.
+    cards_: (card, documents, sections, equipment, terms) of arrays. Each combination of values that entries have keeps its first
+    ``limit`` entries, as any others that share just these come after them in every card; cards with equal arrays are one kind,
+    and kinds meet the combinations that they ask for by an equi-join. Only different terms meet all texts.
     """
-    parts = []
-    for kind, column, own in (("document", "documents", "document"), ("section", "sections", "section"), ("equipment", "equipment", "equipment_type")):
-        wanted = cards_.select("card", F.explode(column).alias("_v")).distinct()
-        parts.append(entries.select("entry", F.col(own).alias("_v")).join(F.broadcast(wanted), "_v").select("card", "entry", F.lit(EVIDENCE_POINTS[kind]).alias("points")))
-    terms = cards_.select("card", F.explode("terms").alias("_t")).filter("_t <> ''")
-    held = entries.join(F.broadcast(terms), F.lower("text").contains(F.lower("_t"))).select("card", "entry").distinct()
-    parts.append(held.select("card", "entry", F.lit(EVIDENCE_POINTS["term"]).alias("points")))
-    total = reduce(DataFrame.unionByName, parts).groupBy("card", "entry").agg(F.sum("points").alias("points"))
-    best = Window.partitionBy("card").orderBy(F.desc("points"), "entry")
-    return total.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit)
+    c = F.col
+    kinds = {"documents": ("document", "document"), "sections": ("section", "section"), "equipment": ("equipment", "equipment_type"), "terms": ("term", "_term")}
+    whole = lambda n: F.sort_array(F.array_distinct(F.filter(F.flatten(F.collect_list(F.coalesce(n, F.array().cast("array<string>")))), lambda v: v.isNotNull()))).alias(n)
+    own = cards_.groupBy("card").agg(*map(whole, kinds)).withColumn("terms", F.filter("terms", lambda t: t != ""))  # a few values a card
+    asked = own.select(*kinds).distinct()
+    any_of = lambda values: F.concat(values, F.array(F.lit(None).cast("string")))  # noqa: E731  null: whatever the value
+    terms = asked.select(F.explode("terms").alias("_term")).distinct()
+    held = entries.join(F.broadcast(terms), F.lower("text").contains(F.lower("_term"))).select("entry", "_term")
+    held = entries.select("entry", "document", "section", "equipment_type", F.lit(None).cast("string").alias("_term")).unionByName(entries.join(held, "entry").select("entry", "document", "section", "equipment_type", "_term"))
+    columns = [column for _, column in kinds.values()]
+    combined = held
+    for column in columns[:-1]:
+        combined = combined.withColumn(column, F.explode(F.array_distinct(F.array(c(column), F.lit(None).cast("string")))))
+    combined = combined.filter(F.coalesce(*columns).isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy(*columns).orderBy("entry"))).filter(c("_n") <= limit)
+    wanted = asked
+    for values, (_, column) in kinds.items():
+        wanted = wanted.withColumn(f"_{column}", F.explode(any_of(c(values))))
+    points = sum(F.when(c(column).isNotNull(), EVIDENCE_POINTS[kind]).otherwise(0) for kind, column in kinds.values())
+    same = reduce(Column.__and__, (c(f"_{column}").eqNullSafe(c(column)) for column in columns))
+    total = wanted.join(combined, same).groupBy(*kinds, "entry").agg(F.max(points).cast("long").alias("points"))
+    best = total.withColumn("place", F.row_number().over(Window.partitionBy(*kinds).orderBy(F.desc("points"), "entry"))).filter(c("place") <= limit)
+    return own.join(best, list(kinds)).select("card", "entry", "points", "place")
 
 
 def title_parts(title: Column) -> Column:

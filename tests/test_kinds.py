@@ -1,5 +1,8 @@
 """Rows that ask for the same are one kind, and only kinds meet what they ask for."""
 
+import random
+import re
+
 from corpusweft.operators import knowledge
 
 
@@ -7,6 +10,20 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_cards_meet_combinations_of_values(spark):
+    draw = random.Random(5)
+    some = lambda values: draw.sample(values, draw.randint(0, 2)) + draw.choice([[], [None], [values[0]]])
+    cards = [(i, some(["d1", "d2", "d3"]), some(["s1", "s2"]), some(["e1", "e2"]), draw.choice([["Ring", ""], ["gear", "ring"], [], ["x"]])) for i in range(40)]
+    entries = [(i, draw.choice(["d1", "d2", "d3", "d4", None]), draw.choice(["s1", "s2", "s3"]), draw.choice(["e1", "e2", None]), draw.choice(["a ring", "GEAR and ring", "none"])) for i in range(120)]
+    df = knowledge.card_evidence(spark.createDataFrame(cards, "card long, documents array<string>, sections array<string>, equipment array<string>, terms array<string>"), spark.createDataFrame(entries, "entry long, document string, section string, equipment_type string, text string"), 4)
+    want = set()
+    for card, d, s, e, t in cards:
+        points = [(-(4 * (y is not None and y in d) + 3 * (z in s) + 2 * (w is not None and w in e) + any(x and x.lower() in v.lower() for x in t)), i) for i, y, z, w, v in entries]
+        want |= {(card, i, -p, n) for n, (p, i) in enumerate(sorted(x for x in points if x[0])[:4], 1)}
+    assert {tuple(r) for r in df.select("card", "entry", "points", "place").collect()} == want
+    assert not re.search(r"Aggregate \[card#\d+L?, entry#", plan(df))  # cards do not meet the entries
+
+
 def test_titles_are_taken_apart_before_they_meet(spark):
     rows = lambda titles: spark.createDataFrame([(1, i, t) for i, t in enumerate(titles)], "outline_id long, section_id long, title string")
     found = knowledge.best_titles(rows(["1.2 Motor control", "Valve"]), rows(["motor Control", "cooling"]))
