@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..registry import plain, query, shaped
 
 TRACK = "pilot_main"
+#: Parts into which requests that meet all global assets are dealt out.
+PARTS = 256
 
 
 def chunks_of_hits(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -36,7 +38,10 @@ def assets_of_requests(requests: DataFrame, assets: DataFrame, raws: DataFrame)
     asked = requests.select("request_id", "project_id", F.coalesce("with_global", F.lit(False)).alias("with_global"), *(F.filter(F.coalesce(n, F.array().cast("array<string>")), lambda x: F.trim(x) != "").alias(n) for n in ("asset_types", "doc_types", "names")))
     # two equi-joins in place of one with "or": by project, and for all that is global
     local = own.join(asked, own["_project"] == asked["project_id"])
-    world = own.filter("scope = 'global'").withColumn("_all", F.lit(True)).join(asked.filter("with_global").withColumn("_all", F.lit(True)), "_all").drop("_all").filter(~c("_project").eqNullSafe(c("project_id")))
+    # every asking request meets all that is global: the requests are dealt out, the assets go to each part
+    part = F.pmod(F.xxhash64("request_id"), F.lit(PARTS))
+    everywhere = own.filter("scope = 'global'").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    world = everywhere.join(asked.filter("with_global").withColumn("_part", part), "_part").drop("_part").filter(~c("_project").eqNullSafe(c("project_id")))
     rows = local.unionByName(world)
     fits = ((F.size("asset_types") == 0) | F.array_contains("asset_types", c("asset_type"))) & ((F.size("doc_types") == 0) | F.array_contains("doc_types", c("doc_type")))
     marked = rows.filter(fits).withColumn("anchored", (F.size("names") == 0) | F.coalesce(F.array_contains("names", c("name")), F.lit(False)))

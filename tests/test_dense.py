@@ -1,7 +1,7 @@
 import numpy as np
 import pyarrow as pa
 
-from corpusweft.operators import ranking
+from corpusweft.operators import lookups, ranking
 
 
 def test_a_task_keeps_the_best_over_all_batches():
@@ -31,3 +31,12 @@ def test_scores_of_many_queries_need_no_large_matrix(spark):
     for i in range(700):
         assert np.allclose([s for _, s, _ in sorted(got[i])], np.sort(score[i])[::-1][:3])
     assert [n for _, _, n in sorted(got[9001])] == [0, 1, 2]  # all scores are 0
+
+
+def test_requests_for_global_assets_are_dealt_out(spark):
+    requests = spark.createDataFrame([(i, "p", True, [], [], []) for i in range(300)], "request_id long, project_id string, with_global boolean, asset_types array<string>, doc_types array<string>, names array<string>")
+    assets = spark.createDataFrame([(1, 1, "table", True), (2, 2, "table", True)], "asset_id long, raw_id long, asset_type string, usable boolean")
+    raws = spark.createDataFrame([(1, "q", "global", "own", "d"), (2, "p", "global", "own", "d")], "raw_id long, project_id string, scope string, doc_type string, name string")
+    found = lookups.assets_of_requests(requests, assets, raws)
+    assert sorted((r.request_id, r.asset_id) for r in found.collect()) == [(i, a) for i in range(300) for a in (1, 2)]
+    assert "_part" in found._jdf.queryExecution().optimizedPlan().toString()
