@@ -34,6 +34,8 @@ CONTENTS_LINE, TABLE_CHARS, LEAST_CHARS = r"^(?:#{1,6}\s+)?(?:[-*]\s+)?.+?(?:\t|
 #: Why a line goes; the counts of a text are by these. Lines of no kind of their own count among all that go.
 CONTENTS_KIND, FILE_KIND, BRAND_KIND, COVER_KIND, FURNITURE_KIND, OTHER_KIND = range(1, 7)
 COUNTS = {"lines_removed": range(1, 7), "toc_lines_removed": (CONTENTS_KIND,), "front_matter_lines_removed": (FILE_KIND, BRAND_KIND, COVER_KIND), "brand_lines_removed": (BRAND_KIND,), "page_furniture_lines_removed": (FURNITURE_KIND,)}
+#: Bytes of texts that are cleaned together.
+SMALL = 1 << 20
 
 
 def last_seen(here: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -67,12 +69,25 @@ def kept_form(line: str) -> str:
     return (line if bare.startswith("|") else re.sub(r"[ \t]{2,}", " ", line)).rstrip()
 
 
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about SMALL bytes: a text in lines with its marks takes many times its size."""
+    for batch in batches:
+        todo = [batch] if batch.num_rows else []
+        while todo:
+            some = todo.pop()
+            if some.num_rows > 1 and some.nbytes > 2 * SMALL:
+                half = some.num_rows // 2
+                todo += [some.slice(half), some.slice(0, half)]
+            else:
+                yield some
+
+
 def cleaned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, text, and how many lines went, by reason): texts of parsed pages without their furniture. A null text is empty."""
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [IMAGE.sub("", unicodedata.normalize("NFKC", t or "")).splitlines() for t in batch.column(1).to_pylist()]
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
             ends = np.cumsum(sizes)

@@ -94,3 +94,13 @@ def test_library_predicates(spark):
     c = F.col
     for r in df.select("*", C.is_contents(c("text")).alias("x"), C.is_reusable(c("text"), c("kind"), c("heading"), c("front"), c("risk")).alias("y")).collect():
         assert (r.x, r.y) == (r.contents, r.reusable), r
+
+
+def test_batches_are_cleaned_in_small_parts():
+    import pyarrow as pa
+
+    texts = ["x" * n for n in (10, 3_000_000, 20, 700_000, 700_000, 700_000, 5)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["id", "text"])
+    parts = list(C.small([batch, batch.slice(0, 0)]))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(7))
+    assert all(p.nbytes <= 2 * C.SMALL or p.num_rows == 1 for p in parts) and len(parts) < 7
