@@ -295,7 +295,8 @@ def ingestion_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def formula_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lines of each document look like formulas, the first of them, and how many are garbled."""
-    found = table(spark, sf_dir, "documents").select("doc_id", C.formula_lines(F.col("text")).alias("f")).filter(F.size("f") > 0)
+    docs = table(spark, sf_dir, "documents").filter(C.is_formula(F.col("text")))  # few texts have such a line
+    found = docs.select("doc_id", C.formula_lines(F.col("text")).alias("f")).filter(F.size("f") > 0)
     return found.select("doc_id", F.size("f").cast("long").alias("n_lines"), F.get("f", F.lit(0))["line"].alias("first_line"), F.size(F.filter("f", lambda x: x["garbled"])).cast("long").alias("n_garbled"))
 
 
