@@ -58,8 +58,9 @@ def heading_issues(title: Column, text: Column) -> Column:
 
 def body(text: Column) -> Column:
     """The text without headings and lines of placeholders, cut at blank lines: array<string> of paragraphs."""
-    kept = F.filter(C.lines(F.coalesce(text, F.lit(""))), lambda x: ~C.stripped(x).rlike(r"^#{2,6}\s+\S") & ~x.rlike(ASSET))
-    joined = F.array_join(F.transform(kept, lambda x: F.when(C.stripped(x) == "", F.lit("")).otherwise(F.rtrim(x))), "\n")
+    left_out = lambda x: (x.contains("##") & C.stripped(x).rlike(r"^#{2,6}\s+\S")) | (x.contains("[[ASSET:") & x.rlike(ASSET))
+    kept = F.filter(C.lines(F.coalesce(text, F.lit(""))), lambda x: ~left_out(x))
+    joined = F.array_join(F.transform(kept, lambda x: F.when(x.rlike(r"\S"), F.rtrim(x)).otherwise(F.lit(""))), "\n")
     return F.filter(F.transform(F.split(joined, r"\n\s*\n"), C.stripped), lambda p: p != "")
 
 
@@ -69,8 +70,11 @@ def visible_chars(text: Column) -> Column:
 
 def content_issues(title: Column, section_class: Column, text: Column, forbidden: list[str], glossary: list[tuple[str, list[str]]]) -> Column:
     """array<struct<code, target>>: empty phrases, inner voices, forbidden phrases, mixed terms, and technical sections that are too short."""
-    whole = F.array_join(body(text), "\n\n")
-    low = F.lower(whole)
+    found = lambda whole: C.once(F.lower(whole), lambda low: _content_issues(title, section_class, whole, low, forbidden, glossary))
+    return C.once(F.array_join(body(text), "\n\n"), found)
+
+
+def _content_issues(title: Column, section_class: Column, whole: Column, low: Column, forbidden: list[str], glossary: list[tuple[str, list[str]]]) -> Column:
     issue = lambda code, x: F.struct(F.lit(code).alias("code"), x.alias("target"))
     technical = F.lower(section_class).isin(*TECHNICAL_CLASSES) | title.rlike("|".join(TECHNICAL_WORDS))
     found = [
@@ -80,9 +84,9 @@ def content_issues(title: Column, section_class: Column, text: Column, forbidden
         *(F.when(low.contains(p.lower()), issue("KW001", F.lit(p))) for p in forbidden),
     ]
     for term, others in glossary:
-        counts = [T.word_occurrences(whole, t) for t in (term, *others)]
-        forms = sum(((n > 0).cast("int") for n in counts), F.lit(0))
-        found.append(F.when((forms >= 2) & (sum(counts[1:], F.lit(0)) >= 1) & (sum(counts, F.lit(0)) >= 3), issue("KW010", F.lit(term))))
+        total = lambda counts: F.aggregate(counts, F.lit(0).cast("long"), lambda s, n: s + n)
+        mixed = lambda counts: (F.size(F.filter(counts, lambda n: n > 0)) >= 2) & (total(F.slice(counts, 2, 1 + len(others))) >= 1) & (total(counts) >= 3)
+        found.append(F.when(C.once(F.array(*(T.word_occurrences(low, t) for t in (term, *others))), mixed), issue("KW010", F.lit(term))))
     return F.when(whole != "", F.array_compact(F.array(*found))).otherwise(F.array().cast("array<struct<code:string,target:string>>"))
 
 
