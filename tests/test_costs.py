@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from corpusweft.functions import chunks as C
-from corpusweft.operators import chunking, drafts
+from corpusweft.operators import caps, cases, chunking, drafts
 
 
 def plan(df):
@@ -30,3 +30,17 @@ def test_content_rules_cut_a_text_once(spark):
     found = df.select(drafts.content_issues(F.col("title"), F.col("kind"), F.col("text"), ["lci."], [("VFD", ["LCI"])]).alias("i"))
     assert len(re.findall(r"split\(", plan(found))) <= 2  # into lines and into paragraphs
     assert [[x.code for x in r.i] for r in found.collect()] == [["KW010"], []]
+
+
+def test_caps_tell_names_of_reasons_once(spark):
+    for step in (caps.parent_competition, caps.support_tail_caps):
+        told = plan(step(spark, "/root/testdata/sf0.001"))
+        assert told.count("substring_index(") == 1
+
+
+def test_broad_words_are_looked_for_in_a_heading_normalised_once(spark):
+    df = spark.createDataFrame([("1 系统 方案",), ("a.b",), ("axb",), ("",), (None,)], "h string")
+    out = [r.x for r in df.select(cases.is_broad(F.col("h"), ("系统方案", "ab")).alias("x")).collect()]
+    assert out == [True, True, False, False, None]
+    assert [r.x for r in df.select(cases.is_broad(F.col("h"), ()).alias("x")).collect()][:1] == [False]
+    assert plan(df.select(cases.is_broad(F.col("h")))).count("btrim") + plan(df.select(cases.is_broad(F.col("h")))).count("BOTH") <= 1
