@@ -11,14 +11,15 @@ coarse, which costs candidates, never pairs.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.matching import Second, ratios
 from ..registry import query, shaped
 from ..sources.shared import checkpointed
 from . import drafts as D
@@ -139,17 +140,15 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: flo
     kinds = [joined.schema[c].dataType.simpleString() for c in ("a", "b")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = SequenceMatcher(None)
-        last = None
+        second = Second("")
         for batch in batches:
-            ratios = []
+            scores = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if y != last:
-                    matcher.set_seq2(y)
-                    last = y
-                matcher.set_seq1(x)
-                ratios.append(matcher.ratio() if matcher.quick_ratio() >= threshold else 0.0)
-            found = np.array(ratios)
+                if second.y != y:
+                    second = Second(y)
+                near = 2.0 * second.common(Counter(x)) / (len(x) + len(y)) >= threshold
+                scores.append(second.ratio(x) if near else 0.0)
+            found = np.array(scores)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["a", "b", "ratio"]).filter(pa.array(found >= threshold))
 
     return joined.mapInArrow(run, f"a {kinds[0]}, b {kinds[1]}, ratio double")
@@ -266,14 +265,24 @@ def reuse_similarity(sections: DataFrame, packs: DataFrame) -> DataFrame:
     sections: (section_id, text); packs: (section_id, place, block_id, source_title, text). Plain texts of fewer than 60
     characters take no part; of equal ratios the first place counts. A pack is what one section was written from: a few blocks.
     """
-    plain = lambda df: df.withColumn("text", D.plain_similarity(F.col("text"))).filter(F.length("text") >= D.REUSED_CHARS)
-    own = plain(sections.select(F.col("section_id").alias("_id"), "text")).withColumnRenamed("text", "own")
-    joined = plain(packs.select("section_id", "place", "block_id", "source_title", "text")).join(own, F.col("section_id") == F.col("_id"))
+    return closest_blocks(with_plain(sections.select("section_id", "text")), with_plain(packs.select("section_id", "place", "block_id", "source_title", "text")))
+
+
+def with_plain(texts: DataFrame) -> DataFrame:
+    """The rows with plain texts, without short ones; a text is worked out once, not for the filter and again for the result."""
+    plain = F.filter(F.array(D.plain_similarity(F.col("text"))), lambda x: F.length(x) >= D.REUSED_CHARS)
+    return texts.select(*(c for c in texts.columns if c != "text"), F.explode(plain).alias("text"))
+
+
+def closest_blocks(sections: DataFrame, packs: DataFrame) -> DataFrame:
+    """The same for texts that are plain already."""
+    own = sections.select(F.col("section_id").alias("_id"), F.col("text").alias("own"))
+    joined = packs.join(own, F.col("section_id") == F.col("_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ratios = [SequenceMatcher(None, x, y).ratio() for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ratios, pa.float64())], names=[*batch.schema.names[:4], "score"])
+            found = ratios(batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.float64())], names=[*batch.schema.names[:4], "score"])
 
     kinds = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in ("section_id", "place", "block_id", "source_title"))
     scored = joined.select("section_id", "place", "block_id", "source_title", "own", "text").mapInArrow(run, f"{kinds}, score double").filter("score > 0")
@@ -297,8 +306,8 @@ def paragraph_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reuse_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the two lines before each line of the documents the one that it repeats most; a unit test holds the function against a plain version."""
     docs = shaped(spark, sf_dir, "SELECT doc_id, source, text FROM {documents}")
-    lines = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line").cast("long"))
+    lines = with_plain(docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line").cast("long")))
     number = lambda line: F.col("doc_id") * 1_000_000 + line
     sections = lines.select(number(F.col("line")).alias("section_id"), "text")
     packs = lines.withColumn("place", F.explode(F.array(F.lit(1), F.lit(2)))).select(number(F.col("line") + F.col("place")).alias("section_id"), "place", number(F.col("line")).alias("block_id"), F.col("source").alias("source_title"), "text")
-    return reuse_similarity(sections, packs)
+    return closest_blocks(sections, packs)
