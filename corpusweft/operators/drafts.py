@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunks as C
 from ..functions import text as T
+from ..functions.matching import Second
 from ..registry import plain, query, shaped
 
 #: Patterns of headings that are notes of the editor's, numbered in letters or say nothing; of phrases and voices that do not belong into a text.
@@ -95,12 +97,31 @@ def plain_similarity(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ASSET, " "), r"[#>*`_\-|\[\]()]", " "), r"\s+", " ")))
 
 
-def ratio(a: str, b: str, least: float) -> float:
-    """How similar two texts are by their matching stretches; 0 where bounds already say that it is below ``least``."""
-    if not a or not b or 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
+def ratio(a: str, b: Second, least: float, counts: dict[str, int] | None = None) -> float:
+    """How similar two texts are by their matching stretches; 0 where bounds already say that it is below ``least``. counts: of a's characters."""
+    both = len(a) + len(b.y)
+    if not a or not b.y or 2 * min(len(a), len(b.y)) < least * both:
         return 0.0
-    m = SequenceMatcher(None, a, b, autojunk=True)
-    return m.ratio() if m.quick_ratio() >= least else 0.0
+    if 2.0 * b.common(counts or Counter(a)) / both < least or not b.long and 2.0 * b.at_most(a) / both < least:
+        return 0.0
+    return b.ratio(a)
+
+
+def repeats(parts: list[str]) -> Iterator[tuple[int, int, float]]:
+    """(place of the first, of the second, ratio) of the paragraphs of a draft that say the same; what a text needs is worked out once."""
+    seconds: dict[int, Second] = {}
+    able = [i for i, p in enumerate(parts) if len(p) >= REPEATED_CHARS]
+    for k, i in enumerate(able):
+        a = parts[i]
+        counts = seconds[i].counts if i in seconds else Counter(a)
+        for j in able[k + 1 :]:
+            if 2 * min(len(a), len(parts[j])) < REPEATED * (len(a) + len(parts[j])):
+                continue
+            if j not in seconds:
+                seconds[j] = Second(parts[j])
+            if (r := ratio(a, seconds[j], REPEATED, counts)) >= REPEATED:
+                yield i + 1, j + 1, r
+        seconds.pop(i, None)
 
 
 def repeated_paragraphs(drafts: DataFrame, most: int = 2) -> DataFrame:
@@ -112,9 +133,7 @@ def repeated_paragraphs(drafts: DataFrame, most: int = 2) -> DataFrame:
         for batch in batches:
             out = []
             for draft, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                pairs = ((i, j) for i in range(len(parts)) for j in range(i + 1, len(parts)) if min(len(parts[i]), len(parts[j])) >= REPEATED_CHARS)
-                hits = ((draft, i + 1, j + 1, r) for i, j in pairs if (r := ratio(parts[i], parts[j], REPEATED)) >= REPEATED)
-                out += [h for h, _ in zip(hits, range(most))]
+                out += [(draft, *h) for h in islice(repeats(parts), most)]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((batch.schema.field(0).type, pa.int32(), pa.int32(), pa.float64()))], names=["draft_id", "first", "second", "similarity"])
 
     return rows.mapInArrow(run, f"draft_id {kind}, first int, second int, similarity double")
