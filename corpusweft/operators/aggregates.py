@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,61 +65,101 @@ def library_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").cube("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-#: So many different terms are counted before a task sends them on.
-TERMS_HELD = 400_000
+#: So many words are counted together before their counts leave a task.
+COUNTED_WORDS = 1 << 22
+
+
+def counted(codes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct codes, how often they occur, in how many texts) of codes in the order of their texts, ``of`` being the texts' numbers."""
+    by = np.argsort(codes, kind="stable")  # texts stay in order among equal codes
+    codes, of = codes[by], of[by]
+    new = np.r_[True, (codes[1:] != codes[:-1]) | (of[1:] != of[:-1])][: len(codes)]
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]][: len(codes)])
+    return codes[first], np.diff(np.append(first, len(codes))), np.add.reduceat(new, first, dtype=np.int64) if len(first) else first
 
 
 def mined_terms(docs: DataFrame, group: str, known: list[str], least: int, most: int, example: str, examples: int = 3) -> DataFrame:
     """(group, term, n, n_docs, examples, rank): the most frequent new words and pairs of neighbouring words, with the first places that hold them.
 
-    A task counts its own terms, TERMS_HELD different ones at a time, so about one row for each of them goes on, and rows of a
-    term are summed up before the shuffle. Places are looked for afterwards, and only those of the terms that are listed.
+    Words are counted first. A pair occurs no more often than either of its words, so one among the first ``most`` of a group
+    consists of words as frequent as the group's last listed word, and only such pairs are counted; where words are fewer than
+    ``most``, of words that reach ``least``. A task counts COUNTED_WORDS together, so about one row for each different
+    one goes on. Places are looked for afterwards, and only those of the terms that are listed.
     """
     kinds = [docs.schema[c].dataType.simpleString() for c in (group, example)]
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, n_docs = Counter(), Counter()
+    def rows_of(of: object, kind: pa.DataType, terms: list[str], n: np.ndarray, n_docs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([of] * len(terms), kind), pa.array(terms, pa.string()), pa.array(n), pa.array(n_docs)], names=["group", "term", "n", "n_docs"])
 
-        def rows(kind: pa.DataType) -> pa.RecordBatch:
-            columns = [*zip(*n)] or [(), ()]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], pa.string()), pa.array(n.values(), pa.int64()), pa.array((n_docs[k] for k in n), pa.int64())], names=["group", "term", "n", "n_docs"])
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[object, tuple[dict[str, int], list[np.ndarray]]] = {}
+        size, kind = 0, None
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for of, (number, texts) in held.items():
+                codes, n, n_docs = counted(np.concatenate(texts), np.repeat(np.arange(len(texts)), list(map(len, texts))))
+                yield rows_of(of, kind, list(number), n, n_docs)  # numbers without gaps, in order
 
-        kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
             for of, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = _WORD.findall((text or "").lower())
-                own = Counter(words)
-                own.update(map(" ".join, zip(words, words[1:])))
-                for term, times in own.items():
-                    n[of, term] += times
-                    n_docs[of, term] += 1
-            if len(n) >= TERMS_HELD:
-                yield rows(kind)
-                n.clear(), n_docs.clear()
-        if kind is not None:
-            yield rows(kind)
-
-    found = docs.select(group, "text").mapInArrow(counts, f"group {kinds[0]}, term string, n long, n_docs long")
-    counted = found.filter(~F.col("term").isin(*known)).groupBy(F.col("group").alias(group), "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
-    ranked = counted.filter(F.col("n") >= least).withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "term"))).filter(F.col("rank") <= most)
+                number, texts = held.setdefault(of, ({}, []))
+                own = _WORD.findall((text or "").lower())
+                texts.append(np.fromiter((number.setdefault(w, len(number)) for w in own), np.int32, len(own)))
+                size += len(own)
+                if size >= COUNTED_WORDS:
+                    yield from rows()
+                    held, size = {}, 0
+        yield from rows()
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[object, tuple[list[str], dict[str, int], list[np.ndarray]]] = {}
+            for of, terms, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                if of not in held:
+                    own = terms.as_py()
+                    held[of] = own, {w: i for i, w in enumerate(own)}, []
+                own, number, texts = held[of]
+                ids = np.array([number.get(w, -1) for w in _WORD.findall((text or "").lower())], np.int64)
+                texts.append((ids[:-1] * len(own) + ids[1:])[(ids[:-1] >= 0) & (ids[1:] >= 0)])
+            for of, (own, _, texts) in held.items():
+                codes, n, n_docs = counted(np.concatenate(texts), np.repeat(np.arange(len(texts)), list(map(len, texts))))
+                yield rows_of(of, batch.schema.field(0).type, [f"{own[c // len(own)]} {own[c % len(own)]}" for c in codes.tolist()], n, n_docs)
+
+    summed = lambda found: found.groupBy(F.col("group").alias(group), "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs")).filter(F.col("n") >= least)
+    first = lambda terms: terms.filter(~F.col("term").isin(*known)).withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "term"))).filter(F.col("rank") <= most)
+    schema = f"group {kinds[0]}, term string, n long, n_docs long"
+    single = checkpointed(summed(docs.select(group, "text").mapInArrow(words, schema)))
+    listed = checkpointed(first(single))
+    bound = listed.filter(F.col("rank") == most).select(F.col(group).alias("_g"), F.col("n").alias("_n"))
+    often = single.join(F.broadcast(bound), F.col(group).eqNullSafe(F.col("_g")), "left").filter(F.col("n") >= F.coalesce("_n", F.lit(least)))
+    often = often.groupBy(group).agg(F.collect_list("term").alias("often"))  # ``most`` words a group, those as frequent as the last, and known ones
+    texts = docs.select(F.col(group).alias("_g"), "text").join(F.broadcast(often), F.col("_g").eqNullSafe(F.col(group))).select("_g", "often", "text")
+    ranked = first(listed.drop("rank").unionByName(summed(texts.mapInArrow(pairs, schema))))
     ranked = checkpointed(ranked)
     wanted = ranked.groupBy(group).agg(F.collect_list("term").alias("wanted"))  # ``most`` terms a group
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[tuple, None] = {}
-            for of, place, terms, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                words = _WORD.findall((text or "").lower())
-                held.update(dict.fromkeys((of, t, place) for t in {*words, *map(" ".join, zip(words, words[1:]))}.intersection(terms)))
+            open_terms: dict[tuple, set[str]] = {}  # what a place of a group has not shown yet
+            held = []
+            for of, place, terms, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if (of, place) not in open_terms:
+                    open_terms[of, place] = set(terms.as_py())
+                if not (wanted_here := open_terms[of, place]):
+                    continue
+                words = f" {' '.join(_WORD.findall((text.as_py() or '').lower()))} "
+                seen_here = {t for t in wanted_here if f" {t} " in words}
+                wanted_here -= seen_here
+                held += ((of, t, place) for t in seen_here)
             columns = [*zip(*held)] or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.string()), pa.array(columns[2], batch.schema.field(1).type)], names=["group", "term", "example"])
 
     texts = docs.select(F.col(group).alias("_g"), F.col(example).alias("_e"), "text").join(F.broadcast(wanted), F.col("_g").eqNullSafe(F.col(group))).select("_g", "_e", "wanted", "text")  # a row a group
     seen = texts.mapInArrow(places, f"group {kinds[0]}, term string, example {kinds[1]}").distinct()
     held = seen.withColumn("k", F.row_number().over(Window.partitionBy("group", "term").orderBy("example"))).filter(F.col("k") <= examples)
-    listed = held.groupBy(F.col("group").alias("_g"), F.col("term").alias("_t")).agg(F.array_sort(F.collect_list("example")).alias("examples"))
-    return ranked.join(listed, F.col(group).eqNullSafe(F.col("_g")) & (F.col("term") == F.col("_t"))).select(group, "term", "n", "n_docs", "examples", "rank")
+    shown = held.groupBy(F.col("group").alias("_g"), F.col("term").alias("_t")).agg(F.array_sort(F.collect_list("example")).alias("examples"))
+    return ranked.join(shown, F.col(group).eqNullSafe(F.col("_g")) & (F.col("term") == F.col("_t"))).select(group, "term", "n", "n_docs", "examples", "rank")
 
 
 @query(

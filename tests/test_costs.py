@@ -44,3 +44,50 @@ def test_broad_words_are_looked_for_in_a_heading_normalised_once(spark):
     assert out == [True, True, False, False, None]
     assert [r.x for r in df.select(cases.is_broad(F.col("h"), ()).alias("x")).collect()][:1] == [False]
     assert plan(df.select(cases.is_broad(F.col("h")))).count("btrim") + plan(df.select(cases.is_broad(F.col("h")))).count("BOTH") <= 1
+
+
+def test_terms_of_many_texts_go_on_as_one_row_each(spark):
+    import random
+
+    from corpusweft.operators import aggregates
+
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choices("abcdefghij", k=4)) for _ in range(700)})
+    texts = [[(i % 2 and "x") or None, " ".join(rng.choices(words, k=80)), f"s{i % 5}"] for i in range(700)] + [["x", None, "s9"], ["x", "", "s9"]]
+    df = spark.createDataFrame(texts, "lang string, text string, source string").repartition(3)
+    n, n_docs, places = {}, {}, {}
+    for lang, text, source in texts:
+        own = (text or "").split()
+        for t in [*own, *map(" ".join, zip(own, own[1:]))]:
+            n[lang, t] = n.get((lang, t), 0) + 1
+            places.setdefault((lang, t), set()).add(source)
+        for t in {*own, *map(" ".join, zip(own, own[1:]))}:
+            n_docs[lang, t] = n_docs.get((lang, t), 0) + 1
+    want = set()
+    for lang in ("x", None):
+        best = sorted((-c, t) for (g, t), c in n.items() if g == lang and t != words[0] and c >= 3)[:30]
+        want |= {(lang, t, -c, n_docs[lang, t], tuple(sorted(places[lang, t])[:3]), k + 1) for k, (c, t) in enumerate(best)}
+    rows = aggregates.mined_terms(df, "lang", [words[0]], 3, 30, "source").collect()
+    assert {(r.lang, r.term, r.n, r.n_docs, tuple(r.examples), r.rank) for r in rows} == want
+    few = spark.createDataFrame([["x", "aa bb aa bb aa bb cc", "s"], ["x", "aa bb cc", "t"]], "lang string, text string, source string")
+    found = {(r.term, r.n, r.n_docs, r.rank) for r in aggregates.mined_terms(few, "lang", ["bb"], 3, 30, "source").collect()}
+    assert found == {("aa", 4, 2, 1), ("aa bb", 4, 2, 2)}
+    assert aggregates.mined_terms(few.limit(0), "lang", ["bb"], 3, 30, "source").collect() == []
+
+
+def test_codes_are_counted_in_all_and_by_text():
+    import numpy as np
+
+    from corpusweft.operators import aggregates
+
+    codes, n, n_docs = aggregates.counted(np.array([3, 1, 3, 3, 1]), np.array([0, 0, 0, 1, 2]))
+    assert (codes.tolist(), n.tolist(), n_docs.tolist()) == ([1, 3], [2, 3], [2, 2])
+    assert [len(x) for x in aggregates.counted(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0, 0]
+
+
+def test_plain_text_is_worked_out_once_for_a_line(spark):
+    from corpusweft.operators import similar
+
+    df = spark.createDataFrame([(1, "x" * 80)], "section_id long, text string")
+    plan = similar.with_plain(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
