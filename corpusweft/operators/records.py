@@ -72,8 +72,11 @@ def next_versions(projects: DataFrame, drafts: DataFrame) -> DataFrame:
 
 
 def draft_versions(drafts: DataFrame) -> DataFrame:
-    """The drafts (project_id, section_id, place, version) with ``next_version`` as it stood when each was written: one more than the running maximum."""
-    so_far = Window.partitionBy("project_id", "section_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    """The drafts (project_id, section_id, place, version) with ``next_version`` as it stood when each was written: one more than the running maximum.
+
+    Of drafts at one place the lower version counts as written first, so that the result does not hang on the order of the rows.
+    """
+    so_far = Window.partitionBy("project_id", "section_id").orderBy("place", "version").rowsBetween(Window.unboundedPreceding, 0)
     return drafts.withColumn("next_version", F.coalesce(F.max("version").over(so_far), F.lit(0)) + 1)
 
 

@@ -191,3 +191,11 @@ def test_first_answers_and_their_counts(spark):
     assert {k: sorted(v) for k, v in found.items()} == {1: [1, 2], 2: [1, 3], 3: [1, 2, 3, 4, 5], 4: [5], 5: [4]}
     plan = evidence.answer_counts(attempts, hits)._jdf.queryExecution().optimizedPlan().toString()
     assert "array_contains" not in plan and " OR " not in plan  # no request meets the hits one by one
+
+
+def test_versions_at_one_place_do_not_hang_on_the_order_of_rows(spark):
+    from corpusweft.operators import records
+
+    rows = [(1, "a", 5, 3), (1, "a", 5, 1), (1, "a", 5, None), (1, "a", 2, 0)]
+    of = lambda some: sorted((r.place, r.next_version) for r in records.draft_versions(spark.createDataFrame(some, "project_id long, section_id string, place long, version int").coalesce(1)).collect())
+    assert of(rows) == of(rows[::-1]) == [(2, 1), (5, 1), (5, 2), (5, 4)]
