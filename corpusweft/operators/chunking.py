@@ -72,28 +72,23 @@ def chunked(docs: DataFrame, id_column: str = "doc_id", limit: int = CHUNK_CHARS
 def section_tree(headings: DataFrame, document: str = "doc_id", place: str = "place", level: str = "level", title: str = "title") -> DataFrame:
     """Headings in order as a tree: section_id (1.2.1), parent_id, and the path of titles.
 
-    The parent is the nearest earlier heading of a lower level, found by looking up the last heading of each lower level.
+    The parent is the nearest earlier heading of a lower level. No heading between a parent and its child has a lower level
+    than the parent, so the last heading of each lower level, as seen from a heading, tells all of its ancestors: those that
+    come after every last one of a lower level still. Rows are dealt by document once. A null document has no tree.
     """
-    back = Window.partitionBy(document).orderBy(place)
-    top = 9
-    last = {n: F.max(F.when(F.col(level) == n, F.col(place))).over(back.rowsBetween(Window.unboundedPreceding, -1)) for n in range(1, top)}
-    above = F.greatest(F.lit(-1), *(F.when(F.col(level) > n, F.coalesce(last[n], F.lit(-1))).otherwise(F.lit(-1)) for n in last))
-    rows = headings.withColumn("_above", above)
+    back = Window.partitionBy(document).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    levels = range(1, 9)
+    own = F.col(document).isNotNull()
+    rows = headings.withColumns({f"_p{n}": F.max(F.when(own & (F.col(level) == n), F.col(place))).over(back) for n in levels})
+    last = lambda below: F.greatest(F.lit(-1), F.lit(-1), *(F.coalesce(f"_p{n}", F.lit(-1)) for n in levels if n < below))
+    rows = rows.withColumn("_above", F.greatest(F.lit(-1), *(F.when(F.col(level) > n, F.coalesce(f"_p{n}", F.lit(-1))).otherwise(F.lit(-1)) for n in levels)))
     rows = rows.withColumn("_number", F.row_number().over(Window.partitionBy(document, "_above").orderBy(place)))
-    found = rows.select(document, place, level, title, "_above", F.col("_number").cast("string").alias("section_id"), F.col(title).alias("path"), F.col("_above").alias("_next"))
-    parents = rows.select(F.col(document).alias("_d"), F.col(place).alias("_p"), F.col("_number").alias("_n"), F.col(title).alias("_t"), F.col("_above").alias("_a"))
-    for _ in range(top):  # a level at a time: no path is longer
-        joined = found.join(parents, (F.col(document) == F.col("_d")) & (F.col("_next") == F.col("_p")), "left")
-        found = joined.select(
-            document,
-            place,
-            level,
-            title,
-            "_above",
-            F.concat_ws(".", F.col("_n").cast("string"), "section_id").alias("section_id"),
-            F.concat_ws(" > ", "_t", "path").alias("path"),
-            F.coalesce("_a", F.lit(-1)).alias("_next"),
-        )
+    known = F.struct(F.col(place).alias("p"), F.col("_number").cast("string").alias("n"), F.col(title).alias("t"))
+    rows = rows.withColumns({f"_l{n}": F.max(F.when(own & (F.col(level) == n), known)).over(back) for n in levels})
+    over = lambda n, of: F.when((F.col(level) > n) & (F.col(f"_p{n}") > last(n)), F.col(f"_l{n}.{of}"))
+    section = F.concat_ws(".", *(over(n, "n") for n in levels), F.col("_number").cast("string"))
+    path = F.concat_ws(" > ", *(over(n, "t") for n in levels), title)
+    found = rows.select(document, place, level, title, "_above", section.alias("section_id"), path.alias("path"))
     parent = F.when(F.col("_above") >= 0, F.regexp_replace("section_id", r"\.[0-9]+$", ""))
     return found.select(document, place, level, title, "section_id", parent.alias("parent_id"), "path")
 

@@ -91,3 +91,27 @@ def test_plain_text_is_worked_out_once_for_a_line(spark):
     df = spark.createDataFrame([(1, "x" * 80)], "section_id long, text string")
     plan = similar.with_plain(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(") == 1
+
+
+def test_section_tree_deals_rows_once_and_knows_all_ancestors(spark):
+    import random
+
+    from corpusweft.operators import chunking
+
+    rng = random.Random(8)
+    rows = [(d, p * 3, rng.randint(0, 10), f"t{p}") for d in range(12) for p in range(60)] + [(None, 1, 1, "x"), (None, 2, 2, "y")]
+    want = {(None, 1): ("1", None, "x"), (None, 2): ("2", None, "y")}
+    for d in range(12):
+        made, stack = {}, []
+        for _, p, level, title in (r for r in rows if r[0] == d):
+            over = [s for s in stack if s[0] < level]
+            above = over[-1] if over else (0, "", "")
+            made[above[1]] = made.get(above[1], 0) + 1
+            number = f"{above[1]}.{made[above[1]]}".lstrip(".")
+            path = f"{above[2]} > {title}" if over else title
+            want[d, p] = (number, above[1] or None, path)
+            if 1 <= level <= 8:  # others are no parents
+                stack = [*over, (level, number, path)]
+    found = chunking.section_tree(spark.createDataFrame(rows, "doc_id long, place long, level int, title string"))
+    assert {(r.doc_id, r.place): (r.section_id, r.parent_id, r.path) for r in found.collect()} == want
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange ") == 1
