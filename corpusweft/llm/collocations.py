@@ -2,8 +2,8 @@
 
 The first pass hashes every n-gram of one to four words into count-min sketches of bytes that stop at 255, one a task;
 the sketches are added up slice by slice. A cell below the least frequency proves that none of its n-grams reaches it,
-so the second pass aggregates only n-grams all of whose cells reach it, exactly, by their words: the sketch can only let
-too much through, never too little. Every part of a phrase is at least as frequent as the phrase, so the survivors hold
+so the second pass aggregates only n-grams all of whose cells reach it, and those of the shorter n-grams in them, exactly,
+by their words: the sketch can only let too much through, never too little. Every part of a phrase is at least as frequent as the phrase, so the survivors hold
 all counts that scores need.
 
 The sketch has one size whatever the input (two rows of 2**26 cells: 128 MB in a task, 16 MB as the bits that are
@@ -153,12 +153,18 @@ def frequencies(docs: DataFrame, least: int = LEAST, bits: int = CELL_BITS) -> D
         for lang, texts in languages(batches):
             grams = Grams(lang, texts)
             total = 0
+            passing = np.zeros(len(grams.ids), bool)  # where an n-gram starts that may reach ``least``
             for n, at, hashes in grams:
                 total += len(at) * (n == 1)
+                if n > 1:  # no n-gram is more frequent than either of the two one shorter in it
+                    both = passing[at] & passing[at + 1]
+                    at, hashes = at[both], hashes[both]
                 for row in range(ROWS):
                     cell = cells(hashes, row, bits) + (row << bits)
                     keep = (flags[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
                     at, hashes = at[keep], hashes[keep]
+                passing[:] = False
+                passing[at] = True
                 lead, number = tallies(grams, at, hashes, n)
                 names = [grams.words[i] for i in grams.ids[(lead[:, None] + np.arange(n)).ravel()]]
                 offsets = pa.array(np.arange(0, len(names) + 1, n, dtype=np.int32))
