@@ -1,6 +1,10 @@
+import random
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from corpusweft.functions import text as T
 from corpusweft.operators import lookups, ranking
 
 
@@ -40,3 +44,30 @@ def test_requests_for_global_assets_are_dealt_out(spark):
     found = lookups.assets_of_requests(requests, assets, raws)
     assert sorted((r.request_id, r.asset_id) for r in found.collect()) == [(i, a) for i in range(300) for a in (1, 2)]
     assert "_part" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_phrases_are_found_as_by_looking_for_each():
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("ab中", k=rng.randint(0, 400))) for _ in range(60)] + ["", "a", "b" * 40]
+    phrases = [t[i : i + n] for t in texts for n in (1, 15, 16, 17, 60) for i in (0, 3)] + ["", "c" * 20, texts[3][-16:] + texts[4][:16], texts[5]]
+    want = {(i, j) for i, p in enumerate(phrases) if p for j, t in enumerate(texts) if p in t}
+    assert ranking.Phrases(phrases).inside(texts) == want
+    assert ranking.Phrases(["", "a"]).inside([]) == ranking.Phrases([]).inside(["abc"]) == set()
+
+
+def test_a_task_sends_on_its_best_and_a_text_is_digested_once(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} other{i % 5} common") for i in range(3000)], "id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(1, "common word3"), (2, "other2"), (3, None)], "query_id long, text string")
+    sent = []
+    real = ranking._ranked
+    ranking._ranked = lambda hits, k: sent.append(hits.count()) or real(hits, k)
+    try:
+        out = ranking.sparse_top_k(docs, asked, 4).collect()
+    finally:
+        ranking._ranked = real
+    assert sent == [8]
+    assert sorted((r.query_id, r.rank, r.id) for r in out) == [(1, n + 1, 3 + 7 * n) for n in range(4)] + [(2, n + 1, 2 + 5 * n) for n in range(4)]
+    own = docs.limit(1).select(T.fallback_vector(F.col("text")).alias("v"))
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("sha2(") < plan.index("lambdafunction(")  # the argument of the outer lambda, not a part of it
+    assert len(own.first().v) == 64
