@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from corpusweft.functions import headings as H
 from corpusweft.functions import text as T
 from corpusweft.operators import lookups, ranking
 
@@ -71,3 +72,13 @@ def test_a_task_sends_on_its_best_and_a_text_is_digested_once(spark):
     plan = own._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("sha2(") < plan.index("lambdafunction(")  # the argument of the outer lambda, not a part of it
     assert len(own.first().v) == 64
+
+
+def test_the_compact_form_is_the_normalised_one_without_spaces_by_one_pattern_less(spark):
+    rng = random.Random(3)
+    rows = [("".join(rng.choices(" \t\n\x0b\f\r\u3000\u00a0.。·…:：+,，、;；/\\-()（）[]【】12第三章节一中ab", k=rng.randint(0, 14))),) for _ in range(20000)] + [(None,)]
+    df = spark.createDataFrame(rows, "text string")
+    text = F.col("text")
+    plain = F.replace(H.normalised(text), F.lit(" "), F.lit(""))
+    assert df.filter(~plain.eqNullSafe(H.compact(text))).count() == 0
+    assert df.select(H.compact(text).alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
