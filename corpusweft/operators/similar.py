@@ -6,6 +6,9 @@ in the other, where K follows from its length and the threshold. Put the q-grams
 K + SHARED of either text hold SHARED common ones, and only pairs that share so many such keys are looked at. The order has rare q-grams
 first, so a q-gram that thousands of texts share is a key of none that has K + 1 rarer ones. The order's counts are only
 coarse, which costs candidates, never pairs.
+
+Keys are many times the text, so texts that share too few with every other are left out before keys are written anywhere:
+texts of one scope and of lengths close enough to pair meet in cells of bounded size, and keys are made within a cell.
 """
 
 from __future__ import annotations
@@ -30,6 +33,10 @@ COUNTERS = 1 << 18
 SHARED = 8
 #: Rounds in which only the first of each group of candidates is compared with the rest, before all pairs that are left.
 ROUNDS = 2
+#: Characters of a part of a cell: two parts of it meet in a task at most. A task needs some 30 times as many bytes.
+CELL = 6_000_000
+#: Characters whose q-grams are worked out at once, and meetings of texts that are counted at once.
+SLICE, MEETINGS = 1_000_000, 2_000_000
 #: Every character that counts as white space, for texts that are compared without it.
 WHITE = r"[\s\x0B\x1C-\x1F\x85\xA0  -     　]+"
 MIX, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
@@ -169,6 +176,103 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, earlier:
     return verified(pairs, left, right, threshold)
 
 
+def in_company(texts: list[str], threshold: float, least: int, everything: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts in their order: which may be similar to another one by their first q-grams, which to an earlier one, and pairs (later, earlier) of them.
+
+    A later one has ``least`` characters or more. The pairs are those whose earlier text may be similar to none before it, or all.
+    """
+    q, n = gram_size(threshold), len(texts)
+    share, low, number = broken(threshold, q), np.uint64(2**32 - 1), np.uint64(2**20 - 1)
+    sizes = np.fromiter(map(len, texts), np.int64, n)
+    bounds = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE, prepend=-1))
+    parts = []
+    for a, b in zip(bounds, [*bounds[1:], n]):
+        hashes, counts = grams_of(texts[a:b], q)
+        grams = np.sort(np.repeat(np.arange(b - a, dtype=np.uint64), counts) << np.uint64(32) | hashes >> np.uint64(32))
+        runs = np.flatnonzero(np.diff(grams, prepend=grams[:1] ^ np.uint64(1)))
+        again = (np.arange(len(grams)) - np.repeat(runs, np.diff(np.append(runs, len(grams))))).astype(np.uint64)
+        keys = ((grams & low) + again * STEP) * MIX >> np.uint64(32)
+        parts.append(((grams >> np.uint64(32)) + np.uint64(a) << np.uint64(44)) | keys)  # text, then room for the key's frequency, then the key
+    grams = np.concatenate(parts)
+    del parts
+    by_key = np.sort((grams & low) << np.uint64(32) | np.arange(len(grams), dtype=np.uint64))
+    runs = np.flatnonzero(np.diff(by_key >> np.uint64(32), prepend=np.uint64(2**33)))
+    times = np.diff(np.append(runs, len(by_key)))
+    grams[(by_key & low).astype(np.int64)] |= np.repeat(np.minimum(times, 4095).astype(np.uint64) << np.uint64(32), times)
+    del by_key
+    grams.sort()  # of each text its rare keys first, in one order for all texts
+    counts = np.maximum(sizes - q + 1, 0)
+    lacking = np.floor(sizes * share + 1e-9).astype(np.int64)
+    place = np.arange(len(grams)) - np.repeat(np.cumsum(counts) - counts, counts)
+    grams = grams[(place < np.repeat(lacking + SHARED, counts)) & (grams >> np.uint64(32) & np.uint64(4095) > 1)]
+    need = int(np.clip(counts - lacking, 1, SHARED).min())
+    met = np.sort((grams & low) << np.uint64(20) | grams >> np.uint64(44))  # each key with the texts that have it
+    del grams, place
+    found, after, pairs = np.zeros(n, bool), np.zeros(n, bool), [np.zeros((2, 0), np.int64)]
+    while True:
+        of = (met & number).astype(np.int64)
+        runs = np.flatnonzero(np.diff(met >> np.uint64(20), prepend=np.uint64(2**50)))
+        times = np.diff(np.append(runs, len(met)))
+        stay = (np.bincount(of, minlength=n)[of] >= need) & (np.repeat(times, times) > 1)
+        if stay.all():
+            break
+        met = met[stay]
+
+    def noted(codes: np.ndarray, first: int) -> np.ndarray:
+        """Of meetings, a code each for two texts that have a key, the pairs (later, earlier) that share enough keys; they are noted."""
+        codes.sort()
+        often = np.unique(codes[need - 1 :][codes[: len(codes) - need + 1] == codes[need - 1 :]])
+        x, y = (often >> np.uint64(20)).astype(np.int64) + first, (often & number).astype(np.int64)
+        a, b = np.maximum(x, y), np.minimum(x, y)
+        close = (a != b) & (sizes[a] >= least) & (2 * np.minimum(sizes[a], sizes[b]) >= threshold * (sizes[a] + sizes[b]) - 1e-9)
+        a, b = a[close], b[close]
+        found[a] = found[b] = after[a] = True
+        return np.stack([a, b])
+
+    same = np.diff(met >> np.uint64(20)) == 0
+    noted((met[:-1][same] & number) << np.uint64(20) | of[1:][same].astype(np.uint64), 0)  # neighbours tell most that are after another one
+    by_text = np.argsort(of, kind="stable")
+    by_text = by_text if everything else by_text[~after[of[by_text]]]
+    start, many = np.repeat(runs, times)[by_text], np.repeat(times, times)[by_text]
+    cuts = np.flatnonzero(np.diff(of[by_text], prepend=-1))
+    if len(cuts):
+        pieces = np.flatnonzero(np.diff(np.cumsum(np.add.reduceat(many, cuts)) // MEETINGS, prepend=-1))
+        edges = np.append(cuts, len(by_text))
+        for a, b in zip(edges[pieces], edges[np.append(pieces[1:], len(cuts))]):
+            at = np.repeat(start[a:b] - (np.cumsum(many[a:b]) - many[a:b]), many[a:b]) + np.arange(many[a:b].sum())
+            first = int(of[by_text[a]])
+            pairs.append(noted(np.repeat((of[by_text[a:b]] - first).astype(np.uint64) << np.uint64(20), many[a:b]) | of[at].astype(np.uint64), first))
+    both = np.concatenate(pairs, axis=1)
+    return found, after, np.unique(both if everything else both[:, ~after[both[1]]], axis=1)
+
+
+def company(texts: DataFrame, threshold: float, least: int, everything: bool = False) -> DataFrame:
+    """(n, after, b) of the texts (n, scope, text), n their order, that may be similar to others of their scope: whether to an earlier one, and in rows of their own pairs with an earlier b.
+
+    A text meets all of lengths close enough in one of two cells. A cell of several parts, dealt by hash, is a task for each two
+    of them. Scopes may be equal by chance of a hash.
+    """
+    step = math.log((2 - threshold) / threshold) * (1 + 1e-9) or 1e-9
+    own = texts.select("n", F.xxhash64("scope").alias("s"), F.floor(F.log(F.length("text")) / step).alias("level"), "text")
+    own = own.withColumn("level", F.explode(F.array(F.col("level") - 1, F.col("level"))))
+    size = F.sum(F.greatest(F.length("text"), F.lit(24)))
+    large = own.groupBy("s", "level").agg(F.ceil(size / CELL).cast("int").alias("parts")).filter("parts > 1")  # a row for CELL characters at most
+    parted = own.join(F.broadcast(large), ["s", "level"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = F.pmod(F.xxhash64("n"), F.col("parts")).cast("int")
+    dealt = parted.withColumn("i", part).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("i <> j or parts = 1")
+    dealt = dealt.select("n", "text", F.xxhash64("s", "level", F.least("i", "j"), F.greatest("i", "j")).alias("cell"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("n")
+        order = rows.column("n").to_numpy()
+        found, after, (a, b) = in_company(rows.column("text").to_pylist(), threshold, least, everything)
+        at = np.flatnonzero(found)
+        none = pa.nulls(len(at), pa.int64()), pa.nulls(len(a), pa.bool_())
+        return pa.table({"n": np.concatenate([order[at], order[a]]), "after": pa.concat_arrays([pa.array(after[at]), none[1]]), "b": pa.concat_arrays([none[0], pa.array(order[b], pa.int64())])})
+
+    return dealt.groupBy("cell").applyInArrow(run, "n long, after boolean, b long")
+
+
 def settled(edges: DataFrame) -> DataFrame:
     """(id) of those that go, of edges (b, a) from earlier to later texts: each that a staying earlier one reaches.
 
@@ -200,28 +304,28 @@ def near_repeats(texts: DataFrame, threshold: float, least: int, scope: str | No
     own = F.lit(None).cast("string") if scope is None else F.col(f"id.{scope}")
     # numbers in the order of the ids, which are small and compare fast; the checkpoint holds them fast
     rows = texts.filter(F.length("text") >= shortest).orderBy("id").select(F.monotonically_increasing_id().alias("n"), "id", own.alias("scope"), "text")
-    rows = checkpointed(rows)
-    texts = rows.select(F.col("n").alias("id"), "text")
-    keys = keyed(rows.select(F.col("n").alias("id"), "text", "scope"), threshold, rarity(texts, q), None if scope is None else F.col("scope"))
-    # most of the rarest q-grams are in one text alone
-    keys = checkpointed(keys.withColumn("_n", F.count("*").over(Window.partitionBy("key"))).filter("_n > 1").drop("_n"))
-    gone = texts.select("id").limit(0)
-
-    def candidates(first: DataFrame, rest: DataFrame) -> DataFrame:
-        met = candidate_pairs(rest, first, threshold, (F.col("b") < F.col("a")) & (F.col("n") >= least))
-        found = verified(met, texts, texts, threshold)
-        if scope is None:
-            return found
-        of = lambda side: rows.select(F.col("n").alias(side), F.col("scope").alias(f"_{side}"))  # noqa: E731  keys of two scopes may be equal by chance
-        return found.join(of("a"), "a").join(of("b"), "b").filter(F.col("_a").eqNullSafe(F.col("_b"))).select("a", "b", "ratio")
-
-    for _ in range(ROUNDS):
-        heads = keys.groupBy("key").agg(F.min("id").alias("head"))
-        certain = checkpointed(keys.join(heads, "key").groupBy("id").agg(F.bool_and(F.col("id") == F.col("head")).alias("ok")).filter("ok").select("id"))
-        lost = checkpointed(candidates(keys.join(certain, "id", "left_semi"), keys).select(F.col("a").alias("id")).distinct())
+    rows = left = checkpointed(rows)
+    gone = rows.select(F.col("n").alias("id")).limit(0)
+
+    def similar(met: DataFrame, texts: DataFrame) -> DataFrame:
+        """(a, b) of pairs (n, b)."""
+        of = lambda side: texts.select(F.col("n").alias(side), F.col("scope").alias(f"_{side}"))  # noqa: E731  cells of two scopes may be equal by chance
+        own = met.select(F.col("n").alias("a"), "b").distinct().join(of("a"), "a").join(of("b"), "b").filter(F.col("_a").eqNullSafe(F.col("_b"))).select("a", "b")
+        plain = texts.select(F.col("n").alias("id"), "text")
+        return verified(own, plain, plain, threshold).select("a", "b")
+
+    for last in [False] * ROUNDS + [True]:
+        met = checkpointed(company(left, threshold, least, everything=last))
+        known = met.filter("b is null").groupBy("n").agg(F.bool_or("after").alias("after"))
+        left = checkpointed(left.join(known, "n").select(*rows.columns, "after"))
+        pairs = met.filter("b is not null")
+        if last:
+            more = settled(checkpointed(similar(pairs, left)))
+            break
+        certain = left.filter("not after").select(F.col("n").alias("b"))
+        lost = checkpointed(similar(pairs.join(certain, "b", "left_semi"), left).select(F.col("a").alias("id")).distinct())
         gone = gone.union(lost)
-        keys = checkpointed(keys.join(certain.union(lost), "id", "left_anti"))
-    more = settled(checkpointed(candidates(keys, keys).select("a", "b")))
+        left = left.filter("after").drop("after").join(lost.withColumnRenamed("id", "n"), "n", "left_anti")
     lost = gone if more is None else gone.union(more)
     return rows.join(lost.select(F.col("id").alias("n")).distinct(), "n", "left_semi").select("id")
 
@@ -242,11 +346,11 @@ def kept_paragraphs(drafts: DataFrame, threshold: float = D.DUPLICATE, least: in
     first = parts.filter("bare <> ''").groupBy("project", "print").agg(F.min("at").alias("lead"), F.first("bare").alias("bare"))
     texts = first.select(F.struct("project", F.col("lead").alias("at")).alias("id"), F.col("bare").alias("text"))
     gone = near_repeats(texts, threshold, least, "project").select(F.col("id.project").alias("p"), F.col("id.at").alias("gone"))
-    # a repeat goes with its first occurrence or for it, where it is long enough
-    lead = F.min("at").over(Window.partitionBy("project", "print"))
-    again = parts.withColumn("lead", lead)
-    rest = again.filter((F.length("bare") < least) | (F.col("at") == F.col("lead")))
-    stay = rest.join(gone, F.col("project").eqNullSafe(F.col("p")) & (F.col("at") == F.col("gone")), "left_anti")
+    # a repeat goes with its first occurrence or for it, where it is long enough; what goes is told by places and prints, texts are met with it once
+    own = parts.select("project", "print", "at", F.length("bare").alias("size"))
+    again = own.withColumn("lead", F.min("at").over(Window.partitionBy("project", "print"))).filter((F.col("size") >= least) & (F.col("at") != F.col("lead")))
+    lost = again.select(F.col("project").alias("p"), F.col("at").alias("gone"), F.col("print").alias("of")).unionByName(gone.withColumn("of", F.lit(None).cast("string")))
+    stay = parts.join(lost, F.col("project").eqNullSafe(F.col("p")) & (F.col("at") == F.col("gone")) & (F.col("of").isNull() | (F.col("of") == F.col("print"))), "left_anti")
     return stay.select("project", "draft_id", "place", "paragraph")
 
 
