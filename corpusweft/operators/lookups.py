@@ -31,21 +31,40 @@ def assets_of_requests(requests: DataFrame, assets: DataFrame, raws: DataFrame)
     """The assets that each request may use, with ``anchored``: of its own project or of all projects, of its types, and of its documents if any of those has one.
 
     requests: (request_id, project_id, with_global, asset_types, doc_types, names); assets: (asset_id, raw_id, asset_type,
-    usable); raws: (raw_id, project_id, scope, doc_type, name). Whether the named documents have any is one aggregate a request.
+    usable); raws: (raw_id, project_id, scope, doc_type, name). Whether the named documents have any is told by the kinds of
+    assets, of which there are few, so what is found, the product of requests and global assets, is neither shuffled nor sorted.
     """
     c = F.col
     own = assets.filter("usable").join(raws.withColumnRenamed("project_id", "_project"), "raw_id")
     asked = requests.select("request_id", "project_id", F.coalesce("with_global", F.lit(False)).alias("with_global"), *(F.filter(F.coalesce(n, F.array().cast("array<string>")), lambda x: F.trim(x) != "").alias(n) for n in ("asset_types", "doc_types", "names")))
-    # two equi-joins in place of one with "or": by project, and for all that is global
-    local = own.join(asked, own["_project"] == asked["project_id"])
-    # every asking request meets all that is global: the requests are dealt out, the assets go to each part
-    part = F.pmod(F.xxhash64("request_id"), F.lit(PARTS))
-    everywhere = own.filter("scope = 'global'").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
-    world = everywhere.join(asked.filter("with_global").withColumn("_part", part), "_part").drop("_part").filter(~c("_project").eqNullSafe(c("project_id")))
-    rows = local.unionByName(world)
+    named, free = asked.filter(F.size("names") > 0), asked.filter(F.size("names") == 0)
+    by_name = named.withColumn("asked_name", F.explode(F.array_distinct("names")))
     fits = ((F.size("asset_types") == 0) | F.array_contains("asset_types", c("asset_type"))) & ((F.size("doc_types") == 0) | F.array_contains("doc_types", c("doc_type")))
-    marked = rows.filter(fits).withColumn("anchored", (F.size("names") == 0) | F.coalesce(F.array_contains("names", c("name")), F.lit(False)))
-    return marked.withColumn("_some", F.bool_or("anchored").over(Window.partitionBy("request_id"))).filter(c("anchored") | ~c("_some")).select("request_id", "asset_id", "raw_id", "anchored")
+    everywhere = own.filter("scope = 'global'")
+
+    def found(requests: DataFrame, *same: Column) -> DataFrame:
+        """Two equi-joins in place of one with "or": by project, and for all that is global."""
+        local = requests.join(own, [c("project_id") == c("_project"), *same]).filter(fits)
+        # every asking request meets all global assets of its kinds: the requests are dealt out, the assets go to each part
+        kinds = everywhere.select(c("asset_type").alias("_type"), c("doc_type").alias("_doc")).distinct()
+        wanted = ((F.size("asset_types") == 0) | F.array_contains("asset_types", c("_type"))) & ((F.size("doc_types") == 0) | F.array_contains("doc_types", c("_doc")))
+        asking = requests.filter("with_global").join(F.broadcast(kinds), wanted).withColumn("_to", F.pmod(F.xxhash64("request_id"), F.lit(PARTS)))
+        copies = everywhere.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+        world = asking.hint("merge").join(copies, [c("_to") == c("_part"), c("_type").eqNullSafe(c("asset_type")), c("_doc").eqNullSafe(c("doc_type")), *same])
+        return local.select("request_id", "asset_id", "raw_id").unionAll(world.filter(~F.coalesce(c("_project") == c("project_id"), F.lit(False))).select("request_id", "asset_id", "raw_id"))
+
+    def finding(requests: DataFrame, *same: Column) -> DataFrame:
+        """The ids of the requests that find anything, by kinds of assets."""
+        local = requests.join(own.select("_project", "asset_type", "doc_type", "name").distinct(), [c("project_id") == c("_project"), *same])
+        world = requests.filter("with_global").join(F.broadcast(everywhere.select("asset_type", "doc_type", "name").distinct()), [fits, *same])
+        return local.filter(fits).select("request_id").unionAll(world.select("request_id"))
+
+    same_name = c("asked_name") == c("name")
+    again = free.join(named.select(c("request_id").alias("_r")), c("request_id").eqNullSafe(c("_r")), "left_semi")  # an id may ask with names and without
+    some = finding(by_name, same_name).unionAll(finding(again)).select(c("request_id").alias("_r")).distinct()
+    rest = named.join(some, c("request_id").eqNullSafe(c("_r")), "left_anti")
+    parts = (found(by_name, same_name), True), (found(free), True), (found(rest), False)
+    return reduce(DataFrame.unionAll, (rows.withColumn("anchored", F.lit(anchored)) for rows, anchored in parts))
 
 
 def cache_rows(assets: DataFrame, raws: DataFrame, include: Column, project: str | None = None, asset_types: list[str] | None = None, doc_type: str | None = None, status: str | None = "done", limit: int = 0) -> DataFrame:

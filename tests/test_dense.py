@@ -47,6 +47,31 @@ def test_requests_for_global_assets_are_dealt_out(spark):
     assert "_part" in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_assets_of_requests_are_not_shuffled_once_found(spark):
+    """Against a plain loop, with ids that ask more than once, and without a window over what is found."""
+    rng = random.Random(11)
+    pick = lambda *values: rng.choice(values)
+    requests = [(pick(None, *range(150)), pick(None, "p", "q", "r"), pick(None, True, False), *(pick(None, [], ["", " "], [x], [x, y, x, None]) for x, y in (("table", "figure"), ("own", "old"), ("d1", "d9")))) for _ in range(120)]
+    assets = [(i, i % 37, pick(None, "table", "figure", "chart"), pick(True, True, False, None)) for i in range(120)]
+    raws = [(i, pick(None, "p", "q", "s"), pick("global", "project", None), pick(None, "own", "old"), pick(None, "d1", "d2", "d3")) for i in range(35)]
+    by_raw, rows = {r[0]: r[1:] for r in raws}, []
+    for request, project, world, *wanted in requests:
+        types, docs, names = ([x for x in w or [] if x and x.strip()] for w in wanted)
+        for asset, raw, kind, usable in assets:
+            owner, scope, doc, name = by_raw.get(raw, (None,) * 4)
+            if usable and raw in by_raw and ((project is not None and owner == project) or (world and scope == "global")) and (not types or kind in types) and (not docs or doc in docs):
+                rows.append((request, asset, raw, not names or name in names))
+    some = {r[0] for r in rows if r[3]}
+    found = lookups.assets_of_requests(
+        spark.createDataFrame(requests, "request_id long, project_id string, with_global boolean, asset_types array<string>, doc_types array<string>, names array<string>"),
+        spark.createDataFrame(assets, "asset_id long, raw_id long, asset_type string, usable boolean"), spark.createDataFrame(raws, "raw_id long, project_id string, scope string, doc_type string, name string"))
+    order = lambda r: tuple((x is not None, x) for x in r)
+    want = [r for r in rows if r[3] or r[0] not in some]
+    assert sorted(map(tuple, found.collect()), key=order) == sorted(want, key=order)
+    assert {a for *_, a in want} == {True, False} and len(want) < len(rows)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_phrases_are_found_as_by_looking_for_each():
     rng = random.Random(7)
     texts = ["".join(rng.choices("ab中", k=rng.randint(0, 400))) for _ in range(60)] + ["", "a", "b" * 40]
