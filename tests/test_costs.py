@@ -115,3 +115,22 @@ def test_section_tree_deals_rows_once_and_knows_all_ancestors(spark):
     found = chunking.section_tree(spark.createDataFrame(rows, "doc_id long, place long, level int, title string"))
     assert {(r.doc_id, r.place): (r.section_id, r.parent_id, r.path) for r in found.collect()} == want
     assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange ") == 1
+
+
+def test_pairs_of_blocks_work_out_no_patterns(spark, monkeypatch):
+    """What a request or a block alone tells comes before they meet."""
+    from corpusweft.operators import search
+
+    plans = []
+
+    def kept(df):
+        plans.append(plan(df))
+        raise StopIteration
+
+    monkeypatch.setattr(search, "checkpointed", kept)
+    try:
+        search.ranked_blocks(spark, "/root/testdata/sf0.001")
+    except StopIteration:
+        pass
+    pairs, _, apart = plans[0].partition("Join")
+    assert "regexp_replace(" in apart and not re.search(r"regexp_(replace|extract)\(|RLIKE", pairs)
