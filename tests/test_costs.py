@@ -134,3 +134,9 @@ def test_pairs_of_blocks_work_out_no_patterns(spark, monkeypatch):
         pass
     pairs, _, apart = plans[0].partition("Join")
     assert "regexp_replace(" in apart and not re.search(r"regexp_(replace|extract)\(|RLIKE", pairs)
+
+
+def test_broad_headings_are_told_once_before_the_windows(spark):
+    told = plan(cases.broad_parents(spark, "/root/testdata/sf0.001"))
+    top, window, below = told.partition("Window")
+    assert "RLIKE" in below and "RLIKE" not in top
